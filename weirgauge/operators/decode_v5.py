@@ -1,0 +1,35 @@
+"""Fixed-layout export packets: one header, then 48-byte records."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from weirgauge.functions.net import hex_uint, uint_be
+from weirgauge.schema import FLOW_COLUMNS
+from weirgauge.sources.datagrams import V5_HEADER, V5_RECORD
+
+# Fixed values: (column, byte offset in the record, width, Spark type).
+V5_FIELDS = [
+    ("src_ip", 0, 4, "bigint"), ("dst_ip", 4, 4, "bigint"),
+    ("packets", 16, 4, "bigint"), ("bytes", 20, 4, "bigint"),
+    ("start_time", 24, 4, "bigint"), ("end_time", 28, 4, "bigint"),
+    ("src_port", 32, 2, "int"), ("dst_port", 34, 2, "int"),
+    ("tcp_flags", 37, 1, "int"), ("protocol", 38, 1, "int"),
+]
+
+
+def decode_v5(classified: DataFrame) -> DataFrame:
+    """Classified datagrams → flows of the well-formed version 5 packets."""
+    count = uint_be(F.col("payload"), 2, 2).cast("int")
+    # sequence(0, -1) counts down, so empty packets must go first.
+    good = classified.where((F.col("kind") == "v5") & F.col("error").isNull() & (count > 0))
+    records = good.select(
+        "exporter_ip", "received_at", "payload", F.explode(F.sequence(F.lit(0), count - 1)).alias("n"))
+    texts = records.select(
+        "exporter_ip", "received_at",
+        F.hex(F.substring("payload", F.col("n") * V5_RECORD + (V5_HEADER + 1), F.lit(V5_RECORD))).alias("record"))
+    return texts.select(
+        *[hex_uint(F.col("record"), offset, width).cast(kind).alias(name) for name, offset, width, kind in V5_FIELDS],
+        "exporter_ip", "received_at", F.unix_millis("received_at").alias("received_at_ms"),
+    ).select(*FLOW_COLUMNS)
