@@ -1,0 +1,63 @@
+"""Exactly-once tables fed from ``foreachBatch``: one folder per micro-batch."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+_PREFIX = "batch-"
+
+
+def _folder(path: str, batch_id: int) -> str:
+    return f"{path.rstrip('/')}/{_PREFIX}{batch_id:012d}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, target = _file_system(spark, path)
+    return files.exists(target)
+
+
+def batch_done(spark: SparkSession, path: str, batch_id: int) -> bool:
+    return path_exists(spark, f"{_folder(path, batch_id)}/_SUCCESS")
+
+
+def newest_batch(spark: SparkSession, path: str, before: int) -> int | None:
+    """Number of the last batch written before ``before``. Only the batch being
+    worked on can be incomplete, so all earlier folders are whole."""
+    files, target = _file_system(spark, path)
+    if not files.exists(target):
+        return None
+    names = [status.getPath().getName() for status in files.listStatus(target)]
+    numbers = [int(n[len(_PREFIX):]) for n in names if n.startswith(_PREFIX)]
+    return max((n for n in numbers if n < before), default=None)
+
+
+def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Write the rows of one micro-batch. A replayed batch that had been written
+    completely is left alone, an incomplete one is replaced."""
+    if not batch_done(rows.sparkSession, path, batch_id):
+        rows.write.mode("overwrite").parquet(_folder(path, batch_id))
+
+
+def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All batches written so far."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
+
+def read_newest(spark: SparkSession, path: str, schema: T.StructType, before: int) -> DataFrame:
+    """The last batch written before ``before``, or no rows."""
+    number = newest_batch(spark, path, before)
+    if number is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(_folder(path, number))
+
+
+def stream_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path)

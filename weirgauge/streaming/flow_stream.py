@@ -1,0 +1,28 @@
+"""Running totals and persistence of a flow stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from weirgauge.operators.flow_queries import exporter_last_seen, flow_totals
+from weirgauge.sources.flow_table import PARTITION, flow_layout
+
+
+def start_flow_table(flows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Exactly-once append of flows to the date-partitioned table."""
+    return (
+        flow_layout(flows).writeStream.outputMode("append").format("parquet").partitionBy(PARTITION)
+        .option("path", path).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+    )
+
+
+def totals_stream(flows: DataFrame) -> DataFrame:
+    """For complete output mode: cumulative flows, packets and bytes."""
+    return flow_totals(flows)
+
+
+def last_seen_stream(flows: DataFrame) -> DataFrame:
+    """For complete or update output mode: last receive time per exporter."""
+    return exporter_last_seen(flows)
