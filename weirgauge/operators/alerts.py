@@ -9,6 +9,7 @@ from weirgauge.functions.clock import parse_rfc3339, rfc3339_text
 from weirgauge.functions.net import ip_literal, ip_number, ip_text
 from weirgauge.operators.prefix import running_totals
 from weirgauge.schema import ALERT_COLUMNS, ALERT_SCHEMA
+from weirgauge.storage import path_exists
 
 DEFAULT_LIMIT = 20
 MAX_LIMIT = 100
@@ -27,11 +28,11 @@ def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ALERT_SCHEMA).parquet(path)
 
 
-def append_alerts(fired: DataFrame, path: str, *, existing: bool = True) -> None:
+def append_alerts(fired: DataFrame, path: str) -> None:
     """Append fired alerts to the alert table with auto-incremented ids."""
     spark = fired.sparkSession
     last = 0
-    if existing:
+    if path_exists(spark, path):
         last = read_alerts(spark, path).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     number_alerts(fired, last).write.mode("append").parquet(path)
 

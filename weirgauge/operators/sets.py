@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weirgauge.functions.net import uint_be
 from weirgauge.sources.datagrams import IPFIX_HEADER, V9_HEADER
@@ -22,7 +23,8 @@ IPFIX_TEMPLATE_SET = 2
 FIRST_DATA_SET = 256
 SET_HEADER = 4
 
-SET_LIST = "array<struct<set_idx:int,set_id:int,start:int,size:int>>"
+SET_LIST = T.ArrayType(T.StructType([
+    T.StructField(n, T.IntegerType()) for n in ("set_idx", "set_id", "start", "size")]))
 SET_ARROW = pa.struct([(n, pa.int32()) for n in ("set_idx", "set_id", "start", "size")])
 
 

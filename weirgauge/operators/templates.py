@@ -7,6 +7,7 @@ import struct
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weirgauge.operators.sets import template_sets
 from weirgauge.storage import settle
@@ -32,10 +33,12 @@ OFFSET_COLUMNS = [f"at_{name}" for name, *_ in ELEMENTS]
 
 MAX_U16 = 65_535
 ENTERPRISE_BIT = 0x8000
-TEMPLATE_LIST = (
-    "array<struct<tmpl_idx:int,template_id:int,"
-    "fields:array<struct<type:int,len:int,enterprise:bigint>>,total_length:int>>"
-)
+FIELD_LIST = T.ArrayType(T.StructType([
+    T.StructField("type", T.IntegerType()), T.StructField("len", T.IntegerType()),
+    T.StructField("enterprise", T.LongType())]))
+TEMPLATE_LIST = T.ArrayType(T.StructType([
+    T.StructField("tmpl_idx", T.IntegerType()), T.StructField("template_id", T.IntegerType()),
+    T.StructField("fields", FIELD_LIST), T.StructField("total_length", T.IntegerType())]))
 FIELD_ARROW = pa.struct([("type", pa.int32()), ("len", pa.int32()), ("enterprise", pa.int64())])
 TEMPLATE_ARROW = pa.list_(pa.struct([
     ("tmpl_idx", pa.int32()), ("template_id", pa.int32()), ("fields", pa.list_(FIELD_ARROW)),

@@ -22,9 +22,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, target = file_system(spark, path)
+    return files.exists(target)
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def settle(rows: DataFrame, label: str) -> DataFrame:
     """Write ``rows`` once and read them back: cuts the lineage, survives lost
     executors, and later actions do not compute them again."""
-    path = f"{shared_folder(rows.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = shared_path(rows.sparkSession, label)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from weirgauge.storage import file_system, path_exists
+
 _PREFIX = "batch-"
 
 
@@ -12,16 +14,6 @@ def _folder(path: str, batch_id: int) -> str:
     return f"{path.rstrip('/')}/{_PREFIX}{batch_id:012d}"
 
 
-def _file_system(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    files, target = _file_system(spark, path)
-    return files.exists(target)
-
-
 def batch_done(spark: SparkSession, path: str, batch_id: int) -> bool:
     return path_exists(spark, f"{_folder(path, batch_id)}/_SUCCESS")
 
@@ -29,7 +21,7 @@ def batch_done(spark: SparkSession, path: str, batch_id: int) -> bool:
 def newest_batch(spark: SparkSession, path: str, before: int) -> int | None:
     """Number of the last batch written before ``before``. Only the batch being
     worked on can be incomplete, so all earlier folders are whole."""
-    files, target = _file_system(spark, path)
+    files, target = file_system(spark, path)
     if not files.exists(target):
         return None
     names = [status.getPath().getName() for status in files.listStatus(target)]

@@ -18,7 +18,7 @@ from weirgauge.operators.decode import decode_with_layouts
 from weirgauge.operators.decode_v5 import decode_v5
 from weirgauge.operators.sets import data_sets, split_sets
 from weirgauge.operators.templates import (
-    SETS_PER_PACKET, TEMPLATE_KEY, parse_templates, template_history, template_layouts,
+    FIELD_LIST, SETS_PER_PACKET, TEMPLATE_KEY, parse_templates, template_history, template_layouts,
 )
 from weirgauge.sources.datagrams import classify_datagrams, version_gate
 from weirgauge.storage import settle
@@ -31,11 +31,7 @@ TEMPLATE_SCHEMA = T.StructType([
     T.StructField("seq", T.LongType()),
     T.StructField("set_idx", T.IntegerType()),
     T.StructField("tmpl_idx", T.IntegerType()),
-    T.StructField("fields", T.ArrayType(T.StructType([
-        T.StructField("type", T.IntegerType()),
-        T.StructField("len", T.IntegerType()),
-        T.StructField("enterprise", T.LongType()),
-    ]))),
+    T.StructField("fields", FIELD_LIST),
     T.StructField("total_length", T.IntegerType()),
 ])
 
