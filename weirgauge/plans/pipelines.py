@@ -10,6 +10,7 @@ from weirgauge.operators.decode import decode_flows
 from weirgauge.operators.rules import candidate_alerts
 from weirgauge.schema import ALERT_SCHEMA, FLOW_SCHEMA
 from weirgauge.sources.datagrams import read_datagrams
+from weirgauge.storage import settle
 from weirgauge.streaming.alert_stream import FIRED_SCHEMA, start_alerts
 from weirgauge.streaming.batches import read_batches, stream_batches
 from weirgauge.streaming.decode_stream import start_decoding
@@ -17,10 +18,14 @@ from weirgauge.streaming.metrics_stream import read_pane_stream, start_panes, st
 
 
 def fired_alerts(flows: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """Flows → alerts after the cooldown."""
+    """Flows → alerts after the cooldown.
+
+    The candidates are few and are read several times by the cooldown, so they
+    are written once: the flows are never evaluated again for them.
+    """
     validate_config(config)
     candidates = candidate_alerts(flows, config.detection, config.snapshot_interval_secs)
-    return apply_cooldown(candidates, config.detection.cooldown_secs)
+    return apply_cooldown(settle(candidates, "candidates"), config.detection.cooldown_secs)
 
 
 def alerts_from_datagrams(datagrams: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:

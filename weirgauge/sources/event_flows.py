@@ -7,10 +7,9 @@ normal traffic, UDP flood, SYN flood, port scan and destination hotspot.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirgauge.functions.clock import MICROS, micros_of_ntz, timestamp_of_ms
 from weirgauge.schema import FLOW_COLUMNS
 
 # Time origin, phase length and the addresses of the five phases.
@@ -25,14 +24,7 @@ SYN_VICTIM = 3_221_225_985
 RESOLVER = 134_744_072
 HOTSPOT = 16_843_009
 INTRANET = 3_232_235_777
-
-
-def _pick(value: Column, cases: dict[int, object], default: object) -> Column:
-    chain = None
-    for key, result in cases.items():
-        result = result if isinstance(result, Column) else F.lit(result)
-        chain = F.when(value == key, result) if chain is None else chain.when(value == key, result)
-    return chain.otherwise(default if isinstance(default, Column) else F.lit(default))
+MICROS_SINCE_ORIGIN = "timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz))"
 
 
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,38 +33,33 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
 
 def flows_from_events(events: DataFrame) -> DataFrame:
     """``events`` → flows, with ``flow_id`` kept in front for numbering datagrams."""
-    n, user = F.col("event_id"), F.col("user_id")
-    micros = micros_of_ntz(F.col("ts").cast("timestamp_ntz"))
     timed = events.select(
         "event_id", "user_id",
-        (F.lit(ORIGIN_MS) + F.call_function("div", micros - ORIGIN_MS * 1000, F.lit(MICROS))).alias("received_at_ms"),
-    )
-    phased = timed.withColumn(
-        "phase", F.call_function("div", F.col("received_at_ms") - ORIGIN_MS, F.lit(PHASE_MS)) % PHASES)
-    phase = F.col("phase")
-    return phased.select(
-        n.alias("flow_id"),
-        _pick(phase, {1: BOT_BASE + n % 251, 2: BOT_BASE + n % 9973, 3: SCANNER}, CLIENT_BASE + user % 150)
-        .cast("bigint").alias("src_ip"),
-        _pick(phase, {
-            1: UDP_VICTIM, 2: SYN_VICTIM, 3: RESOLVER,
-            4: F.when(n % 20 < 19, HOTSPOT).otherwise(RESOLVER),
-        }, _pick(n % 4, {0: INTRANET, 1: RESOLVER, 2: HOTSPOT}, UDP_VICTIM)).cast("bigint").alias("dst_ip"),
-        (1024 + n % 64511).cast("int").alias("src_port"),
-        _pick(phase, {1: 53, 2: 80, 3: 1 + n % 200}, _pick(n % 3, {0: 443, 1: 80}, 22)).cast("int").alias("dst_port"),
-        F.when((phase == 1) & (n % 10 < 9), 17).when((phase == 0) & (n % 7 == 0), 17)
-        .when((phase == 0) & (n % 31 == 0), 1).otherwise(6).cast("int").alias("protocol"),
-        _pick(phase, {1: 400 + n % 200, 2: 180 + n % 40, 3: 1}, 12).cast("bigint").alias("packets"),
-        _pick(phase, {
-            1: (400 + n % 200) * 512, 2: (180 + n % 40) * 40, 3: 44,
-            4: F.when(n % 20 < 19, 50000).otherwise(5000),
-        }, 5840).cast("bigint").alias("bytes"),
-        F.lit(0).cast("bigint").alias("start_time"),
-        _pick(phase, {2: 50, 3: 10}, 10000).cast("bigint").alias("end_time"),
-        _pick(phase, {2: F.when(n % 10 < 9, 2).otherwise(18), 3: 2}, 24).cast("int").alias("tcp_flags"),
-        F.concat(F.lit("127.0.0."), (1 + user % 3).cast("string")).alias("exporter_ip"),
-        timestamp_of_ms(F.col("received_at_ms")).alias("received_at"),
-        F.col("received_at_ms"),
+        (F.lit(ORIGIN_MS) + F.expr(f"({MICROS_SINCE_ORIGIN}) div 1000000")).alias("received_at_ms"))
+    phased = timed.selectExpr("*", f"(received_at_ms - {ORIGIN_MS}) div {PHASE_MS} % {PHASES} as phase")
+    return phased.selectExpr(
+        "event_id as flow_id",
+        f"""case phase when 1 then {BOT_BASE} + event_id % 251 when 2 then {BOT_BASE} + event_id % 9973
+            when 3 then {SCANNER} else {CLIENT_BASE} + user_id % 150 end as src_ip""",
+        f"""cast(case phase when 1 then {UDP_VICTIM} when 2 then {SYN_VICTIM} when 3 then {RESOLVER}
+            when 4 then if(event_id % 20 < 19, {HOTSPOT}, {RESOLVER})
+            else case event_id % 4 when 0 then {INTRANET} when 1 then {RESOLVER} when 2 then {HOTSPOT}
+                 else {UDP_VICTIM} end end as bigint) as dst_ip""",
+        "cast(1024 + event_id % 64511 as int) as src_port",
+        """cast(case phase when 1 then 53 when 2 then 80 when 3 then 1 + event_id % 200
+            else case event_id % 3 when 0 then 443 when 1 then 80 else 22 end end as int) as dst_port""",
+        """case when phase = 1 and event_id % 10 < 9 then 17 when phase = 0 and event_id % 7 = 0 then 17
+            when phase = 0 and event_id % 31 = 0 then 1 else 6 end as protocol""",
+        """cast(case phase when 1 then 400 + event_id % 200 when 2 then 180 + event_id % 40 when 3 then 1
+            else 12 end as bigint) as packets""",
+        """cast(case phase when 1 then (400 + event_id % 200) * 512 when 2 then (180 + event_id % 40) * 40
+            when 3 then 44 when 4 then if(event_id % 20 < 19, 50000, 5000) else 5840 end as bigint) as bytes""",
+        "0L as start_time",
+        "case phase when 2 then 50L when 3 then 10L else 10000L end as end_time",
+        """case phase when 2 then if(event_id % 10 < 9, 2, 18) when 3 then 2 else 24 end as tcp_flags""",
+        "concat('127.0.0.', 1 + user_id % 3) as exporter_ip",
+        "timestamp_millis(received_at_ms) as received_at",
+        "received_at_ms",
     )
 
 
