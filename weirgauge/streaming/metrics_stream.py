@@ -24,7 +24,7 @@ from weirgauge.operators.metrics import (
     ACK, DST, SRC, SYN, TCP, TRAFFIC_SUMS, WINDOW_KEY, assemble_metrics, rank_talkers, window_counters,
 )
 from weirgauge.operators.rules import route_rules, widest_scanner, with_scanners
-from weirgauge.operators.ticks import event_us, pane_moment, pane_secs
+from weirgauge.operators.ticks import event_us, first_tick, pane_moment, pane_secs
 from weirgauge.streaming.batches import write_batch
 
 # What a pane row is about: an endpoint side, a protocol, or a (source, port) contact.
@@ -76,12 +76,19 @@ def pane_stream(flows: DataFrame, windows: Sequence[int] = WINDOW_SECS, tick_sec
 
 
 def _slide(panes: DataFrame, window_secs: int, tick_secs: int) -> DataFrame:
-    """Windows closed at both ends: one microsecond longer than nominal."""
-    lead = (tick_secs - window_secs % tick_secs) % tick_secs
+    """Windows closed at both ends, ``[T - W, T + 1 µs)`` for each tick T.
+
+    A window shorter than the tick spacing leaves gaps: rows in a gap go, the
+    rest falls into the one tick that follows.
+    """
+    every = f"{tick_secs} seconds"
     if window_secs >= tick_secs:
-        span = F.window("moment", f"{window_secs} seconds 1 microsecond", f"{tick_secs} seconds", f"{lead} seconds")
+        lead = (tick_secs - window_secs % tick_secs) % tick_secs
+        span = F.window("moment", f"{window_secs} seconds 1 microsecond", every, f"{lead} seconds")
     else:
-        raise ValueError("streamed windows must not be shorter than the tick spacing")
+        moment = F.unix_micros("moment")
+        panes = panes.where(first_tick(moment, tick_secs) - moment <= window_secs * MICROS)
+        span = F.window("moment", every, every, "1 microsecond")
     return panes.select(
         span.alias("span"), F.lit(window_secs).cast("bigint").alias("window_secs"), *PANE_KEY, *TRAFFIC_SUMS)
 
@@ -97,7 +104,7 @@ def window_stream(panes: DataFrame, windows: Sequence[int] = WINDOW_SECS, tick_s
     return (
         slid.groupBy("span", "window_secs", *PANE_KEY).agg(*[F.sum(c).alias(c) for c in TRAFFIC_SUMS])
         .select("window_secs",
-                (F.unix_micros("span.start") + F.col("window_secs") * MICROS).alias("tick_us"),
+                (F.unix_micros("span.end") - 1).alias("tick_us"),
                 *PANE_KEY, *TRAFFIC_SUMS)
     )
 
