@@ -3,8 +3,7 @@ from packets import STANDARD, cut, ipfix, record, template, v5, v5_record, v9
 from pyspark.sql import functions as F
 
 from conftest import T0, moment
-from weirgauge.operators.decode import decode_flows, decode_templated
-from weirgauge.operators.decode_v5 import decode_v5
+from weirgauge.operators.decode import decode_flows, decode_templated, decode_v5
 from weirgauge.operators.sets import split_sets
 from weirgauge.operators.templates import parse_templates, read_templates, template_history
 from weirgauge.schema import DATAGRAM_SCHEMA

@@ -8,14 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirgauge.functions.net import hex_uint
-from weirgauge.operators.decode_v5 import decode_v5
 from weirgauge.operators.sets import data_sets, split_sets
 from weirgauge.operators.templates import (
-    BROADCAST_VERSIONS, ELEMENTS, OFFSET_COLUMNS, parse_templates, resolve_template, template_history,
+    BROADCAST_VERSIONS, ELEMENTS, OFFSET_COLUMNS, V5_OFFSETS, parse_templates, resolve_template, template_history,
     template_layouts,
 )
 from weirgauge.schema import FLOW_COLUMNS
-from weirgauge.sources.datagrams import classify_datagrams, version_gate
+from weirgauge.sources.datagrams import V5_HEADER, V5_RECORD, classify_datagrams, version_gate
 
 
 def slice_records(resolved: DataFrame) -> DataFrame:
@@ -44,20 +43,36 @@ def map_fields(records: DataFrame) -> DataFrame:
     ).select(*FLOW_COLUMNS)
 
 
+def decode_v5(classified: DataFrame) -> DataFrame:
+    """Flows of the well-formed version 5 packets; needs no templates and no Python."""
+    body = F.substring("payload", F.lit(V5_HEADER + 1), F.length("payload") - V5_HEADER)
+    good = classified.where((F.col("kind") == "v5") & F.col("error").isNull())
+    return map_fields(slice_records(good.select(
+        "exporter_ip", "received_at", body.alias("body"), F.lit(V5_RECORD).alias("total_length"),
+        *[F.lit(V5_OFFSETS[name]).alias(f"at_{name}") for name, *_ in ELEMENTS])))
+
+
 def decode_with_layouts(
     data: DataFrame, layouts: DataFrame, broadcast_versions: int = BROADCAST_VERSIONS
 ) -> DataFrame:
     return map_fields(slice_records(resolve_template(data, layouts, broadcast_versions)))
 
 
+def _decode(classified: DataFrame, fixed_layout: bool, broadcast_versions: int) -> DataFrame:
+    layouts = template_layouts(template_history(parse_templates(split_sets(classified))))
+    return decode_with_layouts(data_sets(split_sets(classified, fixed_layout)), layouts, broadcast_versions)
+
+
 def decode_templated(classified: DataFrame, broadcast_versions: int = BROADCAST_VERSIONS) -> DataFrame:
     """Flows of the template-based packets (both formats share their templates)."""
-    sets = split_sets(classified)
-    layouts = template_layouts(template_history(parse_templates(sets)))
-    return decode_with_layouts(data_sets(sets), layouts, broadcast_versions)
+    return _decode(classified, False, broadcast_versions)
+
 
+def decode_flows(
+    datagrams: DataFrame, accepted: Sequence[int] = (), broadcast_versions: int = BROADCAST_VERSIONS
+) -> DataFrame:
+    """Flows of all formats. A bad datagram yields no rows and harms no other.
 
-def decode_flows(datagrams: DataFrame, accepted: Sequence[int] = ()) -> DataFrame:
-    """Flows of all formats. A bad datagram yields no rows and harms no other."""
-    classified = classify_datagrams(version_gate(datagrams, accepted))
-    return decode_v5(classified).unionByName(decode_templated(classified))
+    Two passes over the datagrams: one collects the templates, one decodes.
+    """
+    return _decode(classify_datagrams(version_gate(datagrams, accepted)), True, broadcast_versions)

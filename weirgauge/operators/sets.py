@@ -1,7 +1,8 @@
-"""Cutting template-based packets into their sets.
+"""Cutting packets into their sets.
 
 The position of a set depends on the lengths of all sets before it, which no
-built-in expression follows. The walk runs on whole Arrow batches: each step
+built-in expression follows. Packets with one set need no such walk and stay on
+the JVM side. For the others the walk runs on whole Arrow batches: each step
 reads the next set header of all packets still being walked. Only positions
 come back from Python; the bytes are cut out on the JVM side.
 """
@@ -10,18 +11,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weirgauge.functions.net import uint_be
-from weirgauge.sources.datagrams import IPFIX_HEADER, V9_HEADER
+from weirgauge.sources.datagrams import IPFIX_HEADER, V5_HEADER, V9_HEADER
 
 # Set ids and the size of a set header.
 V9_TEMPLATE_SET = 0
 IPFIX_TEMPLATE_SET = 2
 FIRST_DATA_SET = 256
 SET_HEADER = 4
+# Stands for the records of a version 5 packet; no real set has this id.
+V5_SET = -5
 
 SET_LIST = T.ArrayType(T.StructType([
     T.StructField(n, T.IntegerType()) for n in ("set_idx", "set_id", "start", "size")]))
@@ -68,27 +71,50 @@ def _sets_of(payload: pa.Array, header: pa.Array) -> pa.Array:
     return walk_sets(payload, header.to_numpy(zero_copy_only=False).astype(np.int64))
 
 
-def split_sets(classified: DataFrame) -> DataFrame:
-    """Template and data sets of the well-formed packets, with ``domain`` and order."""
-    is_v9 = F.col("kind") == "v9"
-    packets = classified.where(F.col("kind").isin("v9", "ipfix") & F.col("error").isNull())
-    payload = F.col("payload")
+def _one_set(set_id: Column, start: Column, size: Column) -> Column:
+    return F.array(F.struct(
+        F.lit(0).alias("set_idx"), set_id.cast("int").alias("set_id"),
+        start.cast("int").alias("start"), size.cast("int").alias("size")))
+
+
+def split_sets(classified: DataFrame, fixed_layout: bool = False) -> DataFrame:
+    """Template and data sets of the well-formed packets, with ``domain`` and order.
+
+    ``fixed_layout`` adds the records of version 5 packets as one set each, so
+    that all formats are decoded in a single pass over the datagrams.
+    """
+    payload, size = F.col("payload"), F.length("payload")
+    is_v5, is_v9 = F.col("kind") == "v5", F.col("kind") == "v9"
+    kinds = ["v9", "ipfix", "v5"] if fixed_layout else ["v9", "ipfix"]
+    packets = classified.where(F.col("kind").isin(*kinds) & F.col("error").isNull())
+    header = F.when(is_v9, V9_HEADER).otherwise(IPFIX_HEADER)
+    first_id, first_size = uint_be(payload, header, 2), uint_be(payload, header + 2, 2)
+    # Whole first set, and no room for the header of a second one.
+    alone = F.coalesce(
+        (first_size >= SET_HEADER) & (header + first_size <= size) & (header + first_size + SET_HEADER > size),
+        F.lit(False))
+    walked = _sets_of(F.when(~is_v5 & ~alone, payload), header)
+    sets = F.when(alone, _one_set(first_id, header + SET_HEADER, first_size - SET_HEADER)).otherwise(walked)
+    if fixed_layout:
+        sets = F.when(is_v5, _one_set(F.lit(V5_SET), F.lit(V5_HEADER), size - V5_HEADER)).otherwise(sets)
     listed = packets.select(
         "exporter_ip", "seq", "received_at", "kind", "payload",
-        F.when(is_v9, uint_be(payload, 16, 4)).otherwise(uint_be(payload, 12, 4)).alias("domain"),
-        F.explode(_sets_of(payload, F.when(is_v9, V9_HEADER).otherwise(IPFIX_HEADER))).alias("set"),
+        F.when(is_v9, uint_be(payload, 16, 4)).when(~is_v5, uint_be(payload, 12, 4)).alias("domain"),
+        F.explode(sets).alias("set"),
     )
     template_set = F.when(is_v9, V9_TEMPLATE_SET).otherwise(IPFIX_TEMPLATE_SET)
-    return listed.where((F.col("set.set_id") >= FIRST_DATA_SET) | (F.col("set.set_id") == template_set)).select(
+    wanted = (F.col("set.set_id") >= FIRST_DATA_SET) | (F.col("set.set_id") == template_set) | is_v5
+    return listed.where(wanted).select(
         "exporter_ip", "domain", "seq", "set.set_idx", "set.set_id", "kind", "received_at",
         F.substring(payload, F.col("set.start") + 1, F.col("set.size")).alias("body"),
     )
 
 
 def data_sets(sets: DataFrame) -> DataFrame:
-    return sets.where(F.col("set_id") >= FIRST_DATA_SET).select(
+    wanted = (F.col("set_id") >= FIRST_DATA_SET) | (F.col("set_id") == V5_SET)
+    return sets.where(wanted).select(
         "exporter_ip", "domain", F.col("set_id").alias("template_id"), "seq", "set_idx", "received_at", "body")
 
 
 def template_sets(sets: DataFrame) -> DataFrame:
-    return sets.where(F.col("set_id") < FIRST_DATA_SET)
+    return sets.where(F.col("set_id").isin(V9_TEMPLATE_SET, IPFIX_TEMPLATE_SET))

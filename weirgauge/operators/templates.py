@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirgauge.operators.sets import template_sets
+from weirgauge.operators.sets import V5_SET, template_sets
+from weirgauge.sources.datagrams import V5_RECORD
 from weirgauge.storage import settle
 
 TEMPLATE_KEY = ["exporter_ip", "domain", "template_id"]
@@ -30,6 +31,11 @@ ELEMENTS = [
     ("tcp_flags", 6, 1, "int", False),
 ]
 OFFSET_COLUMNS = [f"at_{name}" for name, *_ in ELEMENTS]
+# Byte offsets of the same columns in a version 5 record.
+V5_OFFSETS = {
+    "src_ip": 0, "dst_ip": 4, "packets": 16, "bytes": 20, "start_time": 24, "end_time": 28,
+    "src_port": 32, "dst_port": 34, "tcp_flags": 37, "protocol": 38,
+}
 
 MAX_U16 = 65_535
 ENTERPRISE_BIT = 0x8000
@@ -140,7 +146,8 @@ def template_layouts(history: DataFrame) -> DataFrame:
 def resolve_template(
     data: DataFrame, layouts: DataFrame, broadcast_versions: int = BROADCAST_VERSIONS
 ) -> DataFrame:
-    """Give each data set the layout valid at its place; sets without one are dropped.
+    """Give each data set the layout valid at its place; sets without one are
+    dropped. Version 5 sets carry their fixed layout and need no lookup.
 
     The layouts are written once and counted. Up to ``broadcast_versions`` rows
     they are broadcast and the payloads stay where they are. Beyond that both
@@ -149,15 +156,36 @@ def resolve_template(
     """
     layouts = settle(layouts, "template-layouts")
     placed = data.withColumn("pos", position())
-    valid = (F.col("pos") >= F.col("from_pos")) & (F.col("to_pos").isNull() | (F.col("pos") < F.col("to_pos")))
     if layouts.limit(broadcast_versions + 1).count() <= broadcast_versions:
-        joined = placed.join(F.broadcast(layouts), TEMPLATE_KEY).where(valid)
+        known = F.broadcast(layouts).alias("k")
+        match = F.lit(True)
+        for name in TEMPLATE_KEY:
+            match = match & (F.col(f"d.{name}") == F.col(f"k.{name}"))
+        joined = placed.alias("d").join(known, match & _valid(), "left").select(
+            "d.*", *[f"k.{c}" for c in ("total_length", "usable", *OFFSET_COLUMNS)])
     else:
-        joined = _blocked_lookup(placed, layouts, valid)
-    return joined.where("usable").drop("pos", "from_pos", "to_pos", "usable", "set_idx", "seq")
+        fixed = placed.where(F.col("template_id") == V5_SET)
+        joined = _blocked_lookup(placed.where(F.col("template_id") != V5_SET), layouts).unionByName(fixed, True)
+    return with_fixed_layout(joined).where("usable").select(
+        "exporter_ip", "received_at", "body", "total_length", *OFFSET_COLUMNS)
 
 
-def _blocked_lookup(placed: DataFrame, layouts: DataFrame, valid: Column) -> DataFrame:
+def with_fixed_layout(joined: DataFrame) -> DataFrame:
+    """Fill in the layout of the version 5 sets."""
+    is_v5 = F.col("template_id") == V5_SET
+    kept = [c for c in joined.columns if c not in ("total_length", "usable", *OFFSET_COLUMNS)]
+    return joined.select(
+        *kept,
+        F.when(is_v5, V5_RECORD).otherwise(F.col("total_length")).alias("total_length"),
+        F.when(is_v5, True).otherwise(F.col("usable")).alias("usable"),
+        *[F.when(is_v5, V5_OFFSETS[name]).otherwise(F.col(f"at_{name}")).alias(f"at_{name}") for name, *_ in ELEMENTS])
+
+
+def _valid() -> Column:
+    return (F.col("pos") >= F.col("from_pos")) & (F.col("to_pos").isNull() | (F.col("pos") < F.col("to_pos")))
+
+
+def _blocked_lookup(placed: DataFrame, layouts: DataFrame) -> DataFrame:
     span = F.lit(SETS_PER_PACKET * HISTORY_BLOCK)
 
     def block(pos: Column) -> Column:
@@ -170,4 +198,7 @@ def _blocked_lookup(placed: DataFrame, layouts: DataFrame, valid: Column) -> Dat
         .withColumn("block", F.explode(F.sequence(block(F.col("from_pos")), block(until))))
         .drop("last_pos")
     )
-    return placed.withColumn("block", block(F.col("pos"))).join(spread, [*TEMPLATE_KEY, "block"]).where(valid).drop("block")
+    return (
+        placed.withColumn("block", block(F.col("pos"))).join(spread, [*TEMPLATE_KEY, "block"])
+        .where(_valid()).drop("block", "from_pos", "to_pos")
+    )

@@ -23,8 +23,7 @@ from weirgauge.operators import rules as R
 from weirgauge.operators import ticks
 from weirgauge.operators import views as V
 from weirgauge.operators.cooldown import apply_cooldown
-from weirgauge.operators.decode import decode_flows, decode_templated
-from weirgauge.operators.decode_v5 import decode_v5
+from weirgauge.operators.decode import decode_flows, decode_templated, decode_v5
 from weirgauge.operators.sets import split_sets
 from weirgauge.operators.templates import (
     ELEMENTS, parse_templates, template_history, template_layouts,

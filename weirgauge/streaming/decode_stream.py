@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from weirgauge.operators.decode import decode_with_layouts
-from weirgauge.operators.decode_v5 import decode_v5
 from weirgauge.operators.sets import data_sets, split_sets
 from weirgauge.operators.templates import (
     FIELD_LIST, SETS_PER_PACKET, TEMPLATE_KEY, parse_templates, template_history, template_layouts,
@@ -40,12 +39,11 @@ def decode_batch(datagrams: DataFrame, batch_id: int, flows_path: str, templates
                  accepted: Sequence[int] = ()) -> None:
     spark = datagrams.sparkSession
     classified = classify_datagrams(version_gate(datagrams, accepted))
-    sets = split_sets(classified)
+    sets = split_sets(classified, fixed_layout=True)
     known = read_newest(spark, templates_path, TEMPLATE_SCHEMA, before=batch_id)
     received = parse_templates(sets).select(*TEMPLATE_SCHEMA.fieldNames())
     history = settle(template_history(known.unionByName(received)), "template-history")
-    flows = decode_v5(classified).unionByName(decode_with_layouts(data_sets(sets), template_layouts(history)))
-    write_batch(flows, flows_path, batch_id)
+    write_batch(decode_with_layouts(data_sets(sets), template_layouts(history)), flows_path, batch_id)
     # Repeats of a template leave the history as it was. Only a real change
     # writes a new snapshot, so snapshots grow with redefinitions alone.
     if history.count() > known.count():
