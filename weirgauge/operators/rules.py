@@ -164,14 +164,15 @@ def with_scanners(metrics: DataFrame, per_tick: DataFrame) -> DataFrame:
 
 
 def candidate_alerts(
-    flows: DataFrame, config: DetectionConfig = DetectionConfig(), tick_secs: int = TICK_SECS
+    flows: DataFrame, config: DetectionConfig = DetectionConfig(), tick_secs: int = TICK_SECS,
+    metrics: DataFrame | None = None,
 ) -> DataFrame:
-    """Flows → candidates. Computes only the windows that enabled rules read."""
+    """Flows → candidates. Takes the metrics rows if they exist already, else
+    computes only the windows that enabled rules read."""
     names = enabled_rules(config)
-    if not names:
-        return route_rules(window_metrics(flows, (10,), tick_secs, keep_empty=False).limit(0), config)
-    windows = tuple(sorted({RULES[n][0] for n in names}))
-    metrics = window_metrics(flows, windows, tick_secs)
+    if metrics is None:
+        windows = tuple(sorted({RULES[n][0] for n in names})) or (10,)
+        metrics = window_metrics(flows, windows, tick_secs)
     if "port_scan" in names:
         metrics = with_scanners(metrics, scanners(flows, config, tick_secs))
     return route_rules(metrics, config)

@@ -17,14 +17,16 @@ from weirgauge.streaming.decode_stream import start_decoding
 from weirgauge.streaming.metrics_stream import read_pane_stream, start_panes, start_windows
 
 
-def fired_alerts(flows: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+def fired_alerts(
+    flows: DataFrame, config: EngineConfig = EngineConfig(), metrics: DataFrame | None = None
+) -> DataFrame:
     """Flows → alerts after the cooldown.
 
     The candidates are few and are read several times by the cooldown, so they
     are written once: the flows are never evaluated again for them.
     """
     validate_config(config)
-    candidates = candidate_alerts(flows, config.detection, config.snapshot_interval_secs)
+    candidates = candidate_alerts(flows, config.detection, config.snapshot_interval_secs, metrics)
     return apply_cooldown(settle(candidates, "candidates"), config.detection.cooldown_secs)
 
 

@@ -496,8 +496,9 @@ def _(spark, folder):
 
 def _samples(spark: SparkSession, folder: str) -> DataFrame:
     flows = event_flows(spark, folder)
+    metrics = settle(M.window_metrics(flows), "metrics")
     return V.metric_samples(
-        flows, M.window_metrics(flows), fired_alerts(flows), ticks.tick_spine(flows, (10,)))
+        flows, metrics, fired_alerts(flows, metrics=metrics), ticks.tick_spine(flows, (10,)))
 
 
 @query("metric_samples")
