@@ -1,9 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import T0
+from weirgauge.operators import coverage as C
 from weirgauge.operators import metrics as M
 from weirgauge.operators.ticks import assign_windows, pane_secs, tick_spine
 
@@ -42,19 +44,26 @@ def test_panes_agree_with_direct_windows(spark, make_flows, windows, step):
          direct.groupBy("window_secs", "tick", "src_ip").agg(F.sum("bytes")))
     same(M.source_port_fanout(flows, windows, step).select("window_secs", "tick", "src_ip", "n_ports"),
          direct.groupBy("window_secs", "tick", "src_ip").agg(F.countDistinct("dst_port")))
+    rank = F.row_number().over(Window.partitionBy("window_secs", "tick").orderBy(F.desc("bytes"), F.asc("ip")))
+    largest = direct.groupBy("window_secs", "tick", F.col("src_ip").alias("ip")).agg(F.sum("bytes").alias("bytes"))
+    for n in (1, 3, 5):
+        same(M.top_talkers(flows, windows, step, n).where("side = 0").select("window_secs", "tick", "ip", "bytes", "rank"),
+             largest.withColumn("rank", rank).where(F.col("rank") <= n))
 
 
 def test_segments_do_not_change_results(make_flows):
-    from weirgauge.operators.coverage import at_ticks, count_spans, key_spans
     rng = random.Random(3)
     flows = make_flows(*[dict(at=rng.randrange(0, 900_000), src_ip=rng.randrange(5)) for _ in range(300)])
-    panes = M.endpoint_panes(flows, 10).where("side = 0").drop("side")
+    panes = M.endpoint_panes(flows, 10).where("side = 0").drop("side").withColumnRenamed("bytes", "amount")
+    reaches = M.closed_reaches((10, 300))
     results = []
     for ticks in (1, 30, 31, 360):
-        spans = key_spans(panes, ["ip"], M.closed_reaches((10, 300)), amount="bytes", segment_ticks=ticks)
-        results.append((
-            sorted(map(tuple, at_ticks(spans).collect())),
-            sorted(map(tuple, at_ticks(count_spans(spans, [], "n")).collect()))))
+        placed = C.place_partials(panes, ["ip"], reaches, segment_ticks=ticks)
+        sums = C.amount_spans(placed, ["ip"], reaches, segment_ticks=ticks)
+        present = C.presence_spans(placed, ["ip"], reaches, segment_ticks=ticks)
+        results.append([sorted(map(tuple, C.at_ticks(spans).collect())) for spans in (
+            sums, present, C.count_spans(present, [], "n"), C.count_spans(sums, [], "n"))])
+        assert results[-1][2] == results[-1][3]
     assert all(r == results[0] for r in results) and results[0][0]
 
 

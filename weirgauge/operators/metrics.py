@@ -16,7 +16,7 @@ from weirgauge.config import TICK_SECS, TOP_TALKERS, WINDOW_SECS
 from weirgauge.functions.clock import MICROS, timestamp_of_us
 from weirgauge.functions.net import has_bits, ip_text
 from weirgauge.functions.numbers import saturating_minus, whole_quotient
-from weirgauge.operators.coverage import at_ticks, count_spans, key_spans
+from weirgauge.operators.coverage import amount_spans, at_ticks, count_spans, place_partials, presence_spans
 from weirgauge.operators.ticks import event_us, expand_windows, pane_moment, pane_secs, tick_spine
 from weirgauge.schema import METRIC_COLUMNS
 
@@ -29,6 +29,7 @@ SRC = 0
 DST = 1
 
 WINDOW_KEY = ["window_secs", "tick_us"]
+ENDPOINT = ["ip", "side"]
 TRAFFIC_SUMS = ["flows", "packets", "bytes", "syn_only_flows", "duration_ms"]
 
 
@@ -140,27 +141,29 @@ def tcp_counters(flows: DataFrame, windows=WINDOW_SECS, tick_secs: int = TICK_SE
 
 # -- endpoints ----------------------------------------------------------------
 
-def endpoint_spans(flows: DataFrame, windows=WINDOW_SECS, tick_secs: int = TICK_SECS) -> DataFrame:
-    panes = endpoint_panes(flows, pane_secs(windows, tick_secs))
-    return key_spans(panes, ["side", "ip"], closed_reaches(windows), tick_secs, amount="bytes")
+def placed_endpoints(flows: DataFrame, windows=WINDOW_SECS, tick_secs: int = TICK_SECS) -> DataFrame:
+    panes = endpoint_panes(flows, pane_secs(windows, tick_secs)).withColumnRenamed("bytes", "amount")
+    return place_partials(panes, ENDPOINT, closed_reaches(windows), tick_secs)
 
 
-def bytes_by_endpoint(flows: DataFrame, windows=WINDOW_SECS, tick_secs: int = TICK_SECS) -> DataFrame:
-    return with_tick(at_ticks(endpoint_spans(flows, windows, tick_secs), tick_secs))
+def byte_spans(placed: DataFrame, windows=WINDOW_SECS, tick_secs: int = TICK_SECS) -> DataFrame:
+    """Window byte sums of each endpoint, as spans."""
+    return amount_spans(placed, ENDPOINT, closed_reaches(windows), tick_secs).withColumnRenamed("amount", "bytes")
+
 
+def bytes_by_endpoint(flows: DataFrame, windows=WINDOW_SECS, tick_secs: int = TICK_SECS) -> DataFrame:
+    placed = placed_endpoints(flows, windows, tick_secs)
+    return with_tick(at_ticks(byte_spans(placed, windows, tick_secs), tick_secs))
 
-def distinct_per_side(spans: DataFrame, tick_secs: int = TICK_SECS) -> DataFrame:
-    """Number of different addresses per (window, tick, side).
 
-    No byte sum is negative. Asking for it keeps the column, which keeps this
-    branch equal to the one that ranks talkers: Spark then shuffles the pane
-    sums once for both instead of scanning the flows again without bytes.
-    """
-    return at_ticks(count_spans(spans.where("bytes >= 0"), ["side"], "addresses"), tick_secs)
+def distinct_per_side(placed: DataFrame, windows=WINDOW_SECS, tick_secs: int = TICK_SECS) -> DataFrame:
+    """Number of different addresses per (window, tick, side)."""
+    spans = presence_spans(placed, ENDPOINT, closed_reaches(windows), tick_secs)
+    return at_ticks(count_spans(spans, ["side"], "addresses"), tick_secs)
 
 
 def unique_endpoints(flows: DataFrame, windows=WINDOW_SECS, tick_secs: int = TICK_SECS) -> DataFrame:
-    counted = distinct_per_side(endpoint_spans(flows, windows, tick_secs), tick_secs)
+    counted = distinct_per_side(placed_endpoints(flows, windows, tick_secs), windows, tick_secs)
     sides = counted.groupBy(*WINDOW_KEY).agg(
         F.max(F.when(F.col("side") == SRC, F.col("addresses"))).alias("unique_src_ips"),
         F.max(F.when(F.col("side") == DST, F.col("addresses"))).alias("unique_dst_ips"),
@@ -174,15 +177,28 @@ def rank_talkers(per_tick: DataFrame, top_n: int = TOP_TALKERS) -> DataFrame:
     The rank limit runs before the shuffle too, so each task sends at most
     ``top_n`` rows per group.
     """
-    order = Window.partitionBy(*WINDOW_KEY, "side").orderBy(F.desc("bytes"), F.asc("ip"))
+    order = Window.partitionBy("tick_us", "side", "window_secs").orderBy(F.desc("bytes"), F.asc("ip"))
     return per_tick.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
 
 
+def talker_ticks(spans: DataFrame, tick_secs: int = TICK_SECS, top_n: int = TOP_TALKERS) -> DataFrame:
+    """Spans → ranked talkers per tick.
+
+    Among spans with the same extent only the ``top_n`` largest can ever be in a
+    tick's list: the others are beaten at each of their ticks. Addresses seen
+    once all share a few extents, so nearly all of them go before the spans are
+    expanded, and no result changes.
+    """
+    order = Window.partitionBy("from_us", "to_us", "side", "window_secs").orderBy(F.desc("bytes"), F.asc("ip"))
+    contenders = spans.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top_n).drop("place")
+    return rank_talkers(at_ticks(contenders, tick_secs), top_n)
+
+
 def top_talkers(
     flows: DataFrame, windows=WINDOW_SECS, tick_secs: int = TICK_SECS, top_n: int = TOP_TALKERS
 ) -> DataFrame:
-    per_tick = at_ticks(endpoint_spans(flows, windows, tick_secs), tick_secs)
-    return with_tick(rank_talkers(per_tick, top_n))
+    spans = byte_spans(placed_endpoints(flows, windows, tick_secs), windows, tick_secs)
+    return with_tick(talker_ticks(spans, tick_secs, top_n))
 
 
 # -- destination ports per source ----------------------------------------------
@@ -190,7 +206,8 @@ def top_talkers(
 def fanout_spans(flows: DataFrame, windows=(60,), tick_secs: int = TICK_SECS) -> DataFrame:
     """Distinct destination ports of each source, as spans."""
     panes = port_panes(flows, pane_secs(windows, tick_secs))
-    contacts = key_spans(panes, ["src_ip", "dst_port"], closed_reaches(windows), tick_secs)
+    contact, reaches = ["dst_port", "src_ip"], closed_reaches(windows)
+    contacts = presence_spans(place_partials(panes, contact, reaches, tick_secs), contact, reaches, tick_secs)
     return count_spans(contacts, ["src_ip"], "n_ports")
 
 
@@ -247,11 +264,11 @@ def window_metrics(
     ``keep_empty`` reports every tick between the first and the last flow;
     without it only ticks whose window holds flows appear, also past the last flow.
     """
-    spans = endpoint_spans(flows, windows, tick_secs)
+    placed = placed_endpoints(flows, windows, tick_secs)
     return assemble_metrics(
         window_counters(protocol_windows(flows, windows, tick_secs)),
-        distinct_per_side(spans, tick_secs),
-        rank_talkers(at_ticks(spans, tick_secs), top_n),
+        distinct_per_side(placed, windows, tick_secs),
+        talker_ticks(byte_spans(placed, windows, tick_secs), tick_secs, top_n),
         tick_spine(flows, windows, tick_secs) if keep_empty else None,
     )
 

@@ -11,7 +11,7 @@ from weirgauge.config import EXPORTER_ACTIVE_SECS, TICK_SECS
 from weirgauge.functions.clock import MICROS, timestamp_of_us
 from weirgauge.functions.net import ip_text
 from weirgauge.functions.numbers import ceil_to, floor_to
-from weirgauge.operators.coverage import at_ticks, count_spans, key_spans
+from weirgauge.operators.coverage import at_ticks, count_spans, place_partials, presence_spans
 from weirgauge.operators.metrics import latest_snapshot, with_tick
 from weirgauge.operators.prefix import running_totals
 from weirgauge.operators.rules import RULES
@@ -29,7 +29,8 @@ def exporters_per_tick(flows: DataFrame, tick_secs: int = TICK_SECS) -> DataFram
     panes = flows.select(
         pane_moment(event_us(flows), tick_secs).alias("moment_us"), "exporter_ip").distinct()
     reach = {EXPORTER_ACTIVE_SECS: EXPORTER_ACTIVE_SECS * MICROS - 1}
-    spans = key_spans(panes, ["exporter_ip"], reach, tick_secs)
+    key = ["exporter_ip"]
+    spans = presence_spans(place_partials(panes, key, reach, tick_secs), key, reach, tick_secs)
     counted = count_spans(spans, [], "active_exporters")
     return with_tick(at_ticks(counted, tick_secs)).select("tick", "active_exporters")
 
