@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import T0, moment
 from weirgauge.operators.cooldown import apply_cooldown

@@ -1,6 +1,5 @@
 import pytest
 from packets import STANDARD, cut, ipfix, record, template, v5, v5_record, v9
-from pyspark.sql import functions as F
 
 from conftest import T0, moment
 from weirgauge.operators.decode import decode_flows, decode_templated, decode_v5

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirgauge.config import TICK_SECS, TOP_TALKERS, WINDOW_SECS
@@ -282,12 +282,12 @@ def latest_snapshot(metrics: DataFrame) -> DataFrame:
 
 # -- text form -----------------------------------------------------------------
 
-def talkers_text(talkers) -> "F.Column":
+def talkers_text(talkers: Column) -> Column:
     return F.array_join(F.transform(
         talkers, lambda t: F.concat(ip_text(t["ip"]), F.lit("="), t["bytes"].cast("string"))), ",")
 
 
-def protocols_text(dist) -> "F.Column":
+def protocols_text(dist: Column) -> Column:
     entries = F.array_sort(F.map_entries(dist))
     return F.array_join(F.transform(
         entries, lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"].cast("string"))), ",")
