@@ -12,6 +12,8 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import check_queries  # noqa: E402
 from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
+from weirgauge.plans.registry import QUERIES  # noqa: E402
+from weirgauge.testing.oracles import ORACLES  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables not present")
@@ -30,7 +32,8 @@ def test_same_as_sql(spark, name):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):
