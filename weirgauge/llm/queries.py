@@ -7,8 +7,11 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from weirgauge.llm import licences, line_dedup, quality, substring_dedup
 from weirgauge.llm.decontaminate import contaminated
+from weirgauge.llm.html_text import page_texts
 from weirgauge.llm.mixing import mix_sources
 from weirgauge.llm.simhash import simhash_components
 from weirgauge.llm.token_store import read_digests, write_store
@@ -29,6 +32,12 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    cleaned = line_dedup.drop_site_lines(pages, line_dedup.host_of(F.col("url")), line_dedup.page_lines(F.col("html")))
+    return cleaned.select("page_id", "url", "host", "n_lines", "n_dropped", F.array_join("kept_lines", "\n").alias("text"))
+
+
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_components(table(spark, folder, "documents"))
 
@@ -39,10 +48,26 @@ def op3_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return read_digests(spark, path)
 
 
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge_quality(table(spark, folder, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op6_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return page_texts(table(spark, folder, "pages"))
+
+
+def op7_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan_licences(table(spark, folder, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.repeat_digests(table(spark, folder, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents")).drop("text_key")
 
@@ -52,11 +77,21 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_simhash": op2_simhash,
     "op3_token_store": op3_token_store,
+    "op4_quality_rules": op4_quality_rules,
     "op5_decontaminate": op5_decontaminate,
+    "op6_html_text": op6_html_text,
+    "op7_licences": op7_licences,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": line_dedup.sql(),
+    "op4_quality_rules": quality.sql(),
+    "op7_licences": licences.sql(),
+    "op8_substring_dedup": substring_dedup.sql(),
+}
