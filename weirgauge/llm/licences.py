@@ -160,22 +160,22 @@ def sql() -> str:
     return rf"""
 with known(sentence, name) as (values {known}),
 cut as (
-  select doc_id, row_number() over () as row,
+  select doc_id, row_number() over () as rid,
          string_split(regexp_replace(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''),
            '[.!?;:]+([\x20\x09-\x0D]+|$)', chr(10), 'g'), chr(10)) as parts
   from documents),
 each as (
-  select doc_id, row, unnest(parts) as part, generate_subscripts(parts, 1) - 1 as place from cut),
+  select doc_id, rid, unnest(parts) as part, generate_subscripts(parts, 1) - 1 as place from cut),
 matched as (
-  select doc_id, row, place, name from each
+  select doc_id, rid, place, name from each
   join known on trim(regexp_replace(part, '[^a-z0-9]+', ' ', 'g')) = sentence),
 marked as (
-  select any_value(doc_id) as doc_id, row, string_agg(name, ',' order by place) as sentence_ids,
+  select any_value(doc_id) as doc_id, rid, string_agg(name, ',' order by place) as sentence_ids,
          count(*) as n_sentences, cast(min(place) as bigint) as first_sentence,
          string_agg('<' || name || '>', '' order by place) as marks0
-  from matched group by row),
+  from matched group by rid),
 {', '.join(steps)}
 select doc_id,
-       array_to_string(list_sort(list_distinct(list_filter([{hits}], x -> x is not null))), ',') as licences,
+       array_to_string(list_sort(list_distinct(list_filter([{hits}], lambda x: x is not null))), ',') as licences,
        sentence_ids, n_sentences, first_sentence
 from r{len(RULES)}"""

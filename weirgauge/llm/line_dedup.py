@@ -98,7 +98,7 @@ with cut as (
   select page_id, url, row_number() over () as page,
          lower(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1), '')) as host,
          list_filter(list_transform(string_split({text}, chr(10)),
-           x -> trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))), x -> x <> '') as lines
+           lambda x: trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))), lambda x: x <> '') as lines
   from pages),
 counts as (
   select host, line, count(*) as n
@@ -108,6 +108,6 @@ totals as (select host, count(*) as n_pages from cut where host is not null grou
 site as (
   select host, list(line) as dropped from counts join totals using (host) where n > {max_ratio} * n_pages group by host)
 select page_id, url, cut.host, cast(len(lines) as bigint) as n_lines,
-       cast(len(lines) - len(list_filter(lines, x -> not list_contains(coalesce(dropped, []), x))) as bigint) as n_dropped,
-       array_to_string(list_filter(lines, x -> not list_contains(coalesce(dropped, []), x)), chr(10)) as text
+       cast(len(lines) - len(list_filter(lines, lambda x: not list_contains(coalesce(dropped, []), x))) as bigint) as n_dropped,
+       array_to_string(list_filter(lines, lambda x: not list_contains(coalesce(dropped, []), x)), chr(10)) as text
 from cut left join site on cut.host = site.host"""

@@ -173,26 +173,26 @@ def sql(min_docs: int = MIN_DOCS) -> str:
         ("own", "lang", "source"), ("lang", "lang", "null"), ("all", "null", "null")))
     return rf"""
 with cut as (
-  select row_number() over () as row, doc_id, lang, source, coalesce(text, '') as text,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as words,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+  select row_number() over () as rid, doc_id, lang, source, coalesce(text, '') as text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
   from documents),
 grams as (
-  select row, at, array_to_string(list_slice(words, at + 1, at + {REPEAT_WORDS}), ' ') as gram
-  from (select row, words, unnest(range(len(words) - {REPEAT_WORDS - 1})) as at from cut)),
+  select rid, pos, array_to_string(list_slice(words, pos + 1, pos + {REPEAT_WORDS}), ' ') as gram
+  from (select rid, words, unnest(range(len(words) - {REPEAT_WORDS - 1})) as pos from cut)),
 repeats as (
-  select row, count(distinct word) as n_repeat_words
-  from (select row, unnest(range(at, at + {REPEAT_WORDS})) as word
-        from (select row, at, count(*) over (partition by row, gram) as times from grams) where times > 1)
-  group by row),
+  select rid, count(distinct word) as n_repeat_words
+  from (select rid, unnest(range(pos, pos + {REPEAT_WORDS})) as word
+        from (select rid, pos, count(*) over (partition by rid, gram) as times from grams) where times > 1)
+  group by rid),
 counted as (
-  select row, doc_id, lang, source, cast(len(words) as bigint) as n_words,
+  select rid, doc_id, lang, source, cast(len(words) as bigint) as n_words,
          cast(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) as bigint) as word_chars,
          cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
          cast(len(lines) as bigint) as n_lines,
          cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines,
          cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words
-  from cut left join repeats using (row)),
+  from cut left join repeats using (rid)),
 featured as (
   select *, word_chars / nullif(n_words, 0) as mean_word, n_symbols / nullif(n_words, 0) as symbol_share,
          n_dup_lines / nullif(n_lines, 0) as dup_line_share, n_repeat_words / nullif(n_words, 0) as repeat_share
@@ -226,10 +226,10 @@ limits as (
   join fences a on a.level = 'all' and a.feature = o.feature
   where o.level = 'own'),
 judged as (
-  select f.row, {inside} as within
+  select f.rid, {inside} as within
   from featured f left join limits l on l.lang is not distinct from f.lang and l.source is not distinct from f.source
-  group by f.row, {', '.join(f'f.{f}' for f in FEATURES)})
+  group by f.rid, {', '.join(f'f.{f}' for f in FEATURES)})
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < {MIN_WORDS} or 100 * n_repeat_words > {repeated} * n_words as base_failed,
        not (n_words < {MIN_WORDS} or 100 * n_repeat_words > {repeated} * n_words) and within as kept
-from featured join judged using (row)"""
+from featured join judged using (rid)"""

@@ -339,22 +339,22 @@ def sql(window: int = WINDOW) -> str:
     """The digests over ``documents`` in DuckDB's SQL, by grouping all windows."""
     return rf"""
 with cut as (
-  select doc_id, row_number() over () as row,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as words
+  select doc_id, row_number() over () as rid,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words
   from documents),
 windows as (
-  select row, doc_id, at, array_to_string(list_slice(words, at + 1, at + {window}), ' ') as passage
-  from (select row, doc_id, words, unnest(range(len(words) - {window - 1})) as at from cut)),
+  select rid, doc_id, pos, array_to_string(list_slice(words, pos + 1, pos + {window}), ' ') as passage
+  from (select rid, doc_id, words, unnest(range(len(words) - {window - 1})) as pos from cut)),
 repeats as (
-  select row, at
-  from (select row, at, row_number() over (partition by passage order by doc_id, at) as place from windows) where place > 1),
+  select rid, pos
+  from (select rid, pos, row_number() over (partition by passage order by doc_id, pos) as place from windows) where place > 1),
 gone as (
-  select row, list(distinct word) as places
-  from (select row, unnest(range(at, at + {window})) as word from repeats) group by row),
+  select rid, list(distinct word) as places
+  from (select rid, unnest(range(pos, pos + {window})) as word from repeats) group by rid),
 kept as (
   select doc_id, words, coalesce(places, []) as places,
-         list_filter(range(len(words)), x -> not list_contains(coalesce(places, []), x)) as left_places
-  from cut left join gone using (row))
+         list_filter(range(len(words)), lambda x: not list_contains(coalesce(places, []), x)) as left_places
+  from cut left join gone using (rid))
 select doc_id, cast(len(words) as bigint) as n_words, cast(len(places) as bigint) as n_removed,
-       sha256(array_to_string(list_transform(left_places, x -> words[x + 1]), ' ')) as kept_sha256
+       sha256(array_to_string(list_transform(left_places, lambda x: words[x + 1]), ' ')) as kept_sha256
 from kept"""
