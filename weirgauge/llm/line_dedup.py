@@ -35,7 +35,7 @@ def host_of(url: Column) -> Column:
 def page_lines(html: Column) -> Column:
     """Visible lines of a page as an array: text between block-level tags, white space
     collapsed, empty lines left out. Null html has none."""
-    text = F.coalesce(html, F.lit(""))
+    text = F.regexp_replace(F.coalesce(html, F.lit("")), r"[\x20\x09-\x0D]+", " ")
     for pattern in HIDDEN:
         text = F.regexp_replace(text, pattern, "\n")
     text = F.regexp_replace(text, rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>", "\n")
@@ -85,7 +85,7 @@ def sql(max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> str:
     """The same over ``pages`` in DuckDB's SQL."""
     def quoted(value: str) -> str:
         return "'" + value.replace("'", "''") + "'"
-    text = "coalesce(html, '')"
+    text = r"regexp_replace(coalesce(html, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
     for pattern in HIDDEN:
         text = f"regexp_replace({text}, {quoted(pattern)}, chr(10), 'g')"
     text = f"regexp_replace({text}, {quoted(rf'(?i)</?(?:{BLOCK_TAGS})[[:>:]]?[^>]*>')}, chr(10), 'g')".replace(

@@ -8,9 +8,9 @@ coordinates become 0 or 1. With two constraints any three open documents have su
 a direction, so the flight never holds more than three.
 
 The flight runs in blocks of a source, dealt by a hash of the document. A block
-leaves two documents open at most and holds back its ten largest; these form the
-blocks of the next level, until one block per source is left. Its last twelve are
-landed by the rounding that comes closest to the tokens due.
+leaves two documents open at most and holds back ten of assorted sizes, the largest
+among them; these form the blocks of the next level, until one block per source is
+left. Its last twelve are landed by the rounding that comes closest to the tokens due.
 """
 
 from __future__ import annotations
@@ -111,6 +111,14 @@ def land(units: list[Unit]) -> dict[int, float]:
     return {key: k for (key, _, _), k in zip(units, best)}
 
 
+def held_back(n: int) -> list[int]:
+    """Ranks, by falling size, of the units kept for the landing: the largest, whose
+    rounding must be made up for, and others down to the smallest, to do it finely."""
+    top = HELD_BACK // 2
+    spread = [top + (n - 1 - top) * i // (HELD_BACK - top) for i in range(1, HELD_BACK - top + 1)]
+    return sorted({i for i in (*range(top), *spread) if 0 <= i < n})
+
+
 def cube_sample(units: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Replace the probabilities in ``prob`` (double, 0 to 1) by 0.0 or 1.0.
 
@@ -125,8 +133,9 @@ def cube_sample(units: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         rows = list(zip(range(len(block)), block["prob"].astype(float), block["size"].astype(float)))
         sure = {i: float(round(p)) for i, p, _ in rows if p < _EDGE or p > 1 - _EDGE}
         moving = [r for r in rows if r[0] not in sure]
-        decided, open_rows = flight(moving[HELD_BACK:], int(block["key"].iloc[0]))
-        open_rows = moving[:HELD_BACK] + open_rows
+        held = held_back(len(moving))
+        decided, open_rows = flight([r for i, r in enumerate(moving) if i not in held], int(block["key"].iloc[0]))
+        open_rows = [moving[i] for i in held] + open_rows
         if int(block["_blocks"].iloc[0]) == 1:
             decided |= land(open_rows)
             open_rows = []

@@ -25,7 +25,7 @@ SPACES = " \t\n\v\f\r"
 REPEAT_WORDS = 8
 MIN_WORDS = 20
 MOST_REPEATED = 0.3  # share of the words
-ALPHA = 0.01
+ALPHA = 0.001
 MIN_DOCS = 100  # of a group, to have thresholds of its own
 FENCE = 6.0  # quartile distances outside the quartiles
 
@@ -93,7 +93,7 @@ def merged(sketch: DataFrame, groups: Sequence[str]) -> DataFrame:
 def fences(sketch: DataFrame, groups: Sequence[str], fence: float = FENCE) -> DataFrame:
     """``<groups>, n_docs, <feature>_low, <feature>_high`` from the quartiles of each
     sketch. A window sees the buckets of one sketch: some thousands at most, since a
-    bucket more is 2 % more in value."""
+    bucket more is 0.2 % more in value."""
     gamma = (1 + ALPHA) / (1 - ALPHA)
     value = F.when(F.col("bucket").isNull(), 0.0).otherwise(2 * F.pow(F.lit(gamma), F.col("bucket")) / (gamma + 1))
     of = Window.partitionBy(*groups, "feature")

@@ -162,8 +162,9 @@ def _find_anchors(group: pd.DataFrame) -> pd.DataFrame:
 def _windows_of(unit: Unit, anchors: list[np.ndarray], number: int, buckets: int, window: int, block: int) -> pd.DataFrame:
     """Windows around anchors, per bucket. Of equal windows the first goes on; the
     others are marked at once."""
-    # In order of identity, so that places follow the order that decides.
-    by_identity = sorted(range(len(unit.docs)), key=lambda i: unit.docs[i][:2])
+    # In order of identity, so that places follow the order that decides; a repeated
+    # row is the same document.
+    by_identity = sorted({d[:2]: i for i, d in enumerate(unit.docs)}.values(), key=lambda i: unit.docs[i][:2])
     unit.docs, anchors = [unit.docs[i] for i in by_identity], [anchors[i] for i in by_identity]
     table = unit.table()
     first, second, places = [], [], []
