@@ -7,10 +7,10 @@ from weirgauge.functions import clock, net, numbers
 
 
 def test_addresses(spark):
-    texts = ["10.0.0.1", "255.255.255.255", "0.0.0.0", "256.1.1.1", "1.2.3", "01.2.3.4", "", None, "1.2.3.4 "]
+    texts = ["10.0.0.1", "255.255.255.255", "0.0.0.0", "256.1.1.1", "1.2.3", "01.2.3.4", "", None, "1.2.3.4 ", "1.2.3.4\n", "\n1.2.3.4"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
         net.ip_number(F.col("t")).alias("n")).collect()
-    assert [r.n for r in rows] == [167772161, 4294967295, 0, None, None, None, None, None, None]
+    assert [r.n for r in rows] == [167772161, 4294967295, 0, *[None] * 8]
     back = spark.createDataFrame([(167772161,), (4294967295,), (None,)], "n bigint").select(
         net.ip_text(F.col("n")).alias("t")).collect()
     assert [r.t for r in back] == ["10.0.0.1", "255.255.255.255", None]
@@ -59,9 +59,11 @@ def test_time_text(spark):
 
 def test_parse_rfc3339(spark):
     texts = ["2024-01-01T00:00:00Z", "2024-01-01T02:00:00+02:00", "2024-01-01 00:00:00.5Z", "2024-01-01T00:00:00",
-             "2024-02-31T00:00:00Z", "soon", None]
+             "2024-02-31T00:00:00Z", "soon", None, "2024-01-01t00:00:05z", "2024-01-01T00:00:60Z", "2024-12-31T23:59:60.5+00:00",
+             "2024-01-01T00:00:61Z", "2024-01-01T00:00:00Z\n", " 2024-01-01T00:00:00Z"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
         F.unix_millis(clock.parse_rfc3339(F.col("t"))).alias("ms")).collect()
     base = 1_704_067_200_000
-    assert [r.ms for r in rows] == [base, base, base + 500, None, None, None, None]
-    assert [clock.rfc3339_argument_ms(t) for t in texts] == [base, base, base + 500, None, None, None, None]
+    want = [base, base, base + 500, None, None, None, None, base + 5000, base + 60_000, 1_735_689_600_500, None, None, None]
+    assert [r.ms for r in rows] == want
+    assert [clock.rfc3339_argument_ms(t) for t in texts] == want

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 MICROS = 1_000_000
 DAY_MS = 86_400_000
 
-RFC3339_PATTERN = (
-    r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])[Tt ]([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?"
-    r"([Zz]|[+-]([01]\d|2[0-3]):[0-5]\d)$"
+# The last second of a minute may be 60, a leap second.
+RFC3339 = (
+    r"\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])[Tt ]([01]\d|2[0-3]):[0-5]\d:([0-5]\d|60)(\.\d+)?"
+    r"([Zz]|[+-]([01]\d|2[0-3]):[0-5]\d)"
 )
 
 
@@ -67,14 +68,20 @@ def rfc3339_text(micros: Column, offset: str = "+00:00") -> Column:
 
 
 def parse_rfc3339(text: Column) -> Column:
-    """Timestamp of RFC 3339 text; NULL when it does not parse."""
-    return F.when(text.rlike(RFC3339_PATTERN), text.try_cast("timestamp"))
+    """Timestamp of RFC 3339 text; NULL when it does not parse. Second 60 is the
+    first of the next minute."""
+    leap = F.substring(text, 18, 2) == "60"
+    shown = F.upper(F.when(leap, F.overlay(text, F.lit("59"), 18)).otherwise(text)).try_cast("timestamp")
+    moment = F.when(leap, shown + F.expr("interval 1 second")).otherwise(shown)
+    return F.when(text.rlike(rf"^{RFC3339}\z"), moment)
 
 
 def rfc3339_argument_ms(text: str | None) -> int | None:
     """Epoch milliseconds of a request argument; ``None`` when absent or malformed."""
-    if text is None or not re.match(RFC3339_PATTERN, text):
+    if text is None or not re.fullmatch(RFC3339, text, re.ASCII):
         return None
+    leap = text[17:19] == "60"
+    text = text[:17] + "59" + text[19:] if leap else text
     body, fraction = text.replace("t", "T").replace(" ", "T"), ""
     found = re.match(r"^(.{19})\.(\d+)(.*)$", body)
     if found:
@@ -84,4 +91,4 @@ def rfc3339_argument_ms(text: str | None) -> int | None:
     except ValueError:
         return None
     whole = (moment - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) // dt.timedelta(seconds=1)
-    return whole * 1000 + int((fraction + "000")[:3])
+    return (whole + leap) * 1000 + int((fraction + "000")[:3])

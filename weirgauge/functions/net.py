@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # Dotted-quad text with octets 0..255 and no leading zeros.
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-IPV4_PATTERN = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
+IPV4_PATTERN = rf"^{_OCTET}(\.{_OCTET}){{3}}\z"
 
 
 def uint_be(data: Column, offset: int | Column, width: int) -> Column:

@@ -11,6 +11,11 @@ from weirgauge.operators.prefix import running_totals
 from weirgauge.schema import ALERT_COLUMNS, ALERT_SCHEMA
 from weirgauge.storage import path_exists
 
+# The whole text is a JSON array of strings.
+_BLANK = r"[ \t\r\n]*+"
+_STRING = r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+"'
+STRING_LIST = rf"^{_BLANK}\[{_BLANK}(?:{_STRING}{_BLANK}(?:,{_BLANK}{_STRING}{_BLANK})*+)?\]{_BLANK}\z"
+
 DEFAULT_LIMIT = 20
 MAX_LIMIT = 100
 RECENT_ALERTS = 100
@@ -112,13 +117,12 @@ def normalize_alert_rows(rows: DataFrame, now: Column | None = None) -> DataFram
     """Tolerant read of text rows: odd severities become High, unreadable
     addresses NULL, unreadable indicator lists empty, unreadable times ``now``."""
     fallback = F.current_timestamp() if now is None else now
-    parsed = F.from_json("indicators", "array<string>")
-    complete = parsed.isNotNull() & ~F.exists(parsed, lambda item: item.isNull())
+    parsed = F.when(F.col("indicators").rlike(STRING_LIST), F.from_json("indicators", "array<string>"))
     return rows.select(
         "id", "rule",
         F.when(F.col("severity").isin("Low", "Medium"), F.col("severity")).otherwise("High").alias("severity"),
         ip_number(F.col("target_ip")).alias("target_ip"),
         "window_secs",
-        F.when(complete, parsed).otherwise(F.array().cast("array<string>")).alias("indicators"),
+        F.coalesce(parsed, F.array().cast("array<string>")).alias("indicators"),
         F.coalesce(parse_rfc3339(F.col("triggered_at")), fallback).alias("triggered_at"),
     )

@@ -473,11 +473,13 @@ def _(spark, folder):
     raw = read_events(spark, folder).select(
         n.alias("id"), F.col("event_type").alias("rule"),
         cycle("Low", "Medium", "High", "odd").alias("severity"),
-        cycle(F.concat(F.lit("10.0.0."), number), "300.1.1.1", None, "1.2.3", "01.2.3.4").alias("target_ip"),
+        cycle(F.concat(F.lit("10.0.0."), number), "300.1.1.1", None, "1.2.3", "01.2.3.4", "1.2.3.4\n").alias("target_ip"),
         F.lit(60).cast("bigint").alias("window_secs"),
-        cycle(F.concat(F.lit('["a '), number, F.lit('","b"]')), "not json", "[]").alias("indicators"),
+        cycle(F.concat(F.lit('["a '), number, F.lit('","b"]')), "not json", "[]", "[1,2]", '["a"] x', "[true]", '[{"a":1}]',
+              ' [ "q" ]\n', '["a", null]').alias("indicators"),
         cycle(F.concat(F.lit("2024-01-01T00:00:"), F.lpad((n % 60).cast("string"), 2, "0"), F.lit("+00:00")),
-              "yesterday", "2024-01-01 00:00:05.250Z", "2024-01-01T00:00:00").alias("triggered_at"))
+              "yesterday", "2024-01-01 00:00:05.250Z", "2024-01-01T00:00:00", "2024-01-01t00:00:05z", "2024-01-01T00:00:60Z",
+              "2024-01-01T00:00:05Z\n").alias("triggered_at"))
     return _flat_alerts(A.normalize_alert_rows(raw, _moment(NORMALIZE_NOW)))
 
 

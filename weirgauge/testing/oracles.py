@@ -448,10 +448,11 @@ ORACLES: dict[str, str] = {
     "alert_json": _store(f"select id, {_json('id', '+00:00')} as json from stored"),
     "normalize_alert_rows": (
         "select event_id as id, event_type as rule, case event_id % 4 when 0 then 'Low' when 1 then 'Medium' else 'High' end "
-        "as severity, case when event_id % 5 = 0 then 167772160 + event_id % 100 end as target_ip, "
-        "cast(60 as bigint) as window_secs, case when event_id % 3 = 0 then 'a ' || event_id % 100 || ' | b' else '' end "
-        "as indicators, case event_id % 4 when 0 then 1704067200000 + event_id % 60 * 1000 "
-        "when 2 then 1704067205250 else 1706832000000 end as triggered_ms from events"),
+        "as severity, case when event_id % 6 = 0 then 167772160 + event_id % 100 end as target_ip, "
+        "cast(60 as bigint) as window_secs, case event_id % 9 when 0 then 'a ' || event_id % 100 || ' | b' when 7 then 'q' "
+        "else '' end as indicators, case event_id % 7 when 0 then 1704067200000 + event_id % 60 * 1000 "
+        "when 2 then 1704067205250 when 4 then 1704067205000 when 5 then 1704067260000 else 1706832000000 end "
+        "as triggered_ms from events"),
     "summary": sql(FLOWS, windows(sizes="(10)"), EXPORTER_TICKS, body=(
         "select window_secs, flows_per_sec, packets_per_sec, bytes_per_sec, unique_src_ips, unique_dst_ips, "
         "coalesce(active_exporters, 0) as active_exporters from metrics left join exporter_ticks using (tick_ms) "
