@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import T0, moment
 from weirgauge.operators import alerts as A
-from weirgauge.streaming.alert_stream import FIRED_SCHEMA
+from weirgauge.streaming.metrics_stream import FIRED_SCHEMA
 
 
 @pytest.fixture(scope="module")

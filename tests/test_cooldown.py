@@ -5,7 +5,7 @@ import pytest
 from conftest import T0, moment
 from weirgauge.operators.cooldown import apply_cooldown
 from weirgauge.schema import ALERT_SCHEMA, FIRED_COLUMNS
-from weirgauge.streaming.alert_stream import FIRED_SCHEMA
+from weirgauge.streaming.metrics_stream import FIRED_SCHEMA
 
 
 @pytest.fixture(scope="module")

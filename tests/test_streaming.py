@@ -5,18 +5,23 @@ from packets import STANDARD, cut, record, template, v5, v5_record, v9
 from pyspark.sql import functions as F
 
 from conftest import T0, moment
+from weirgauge.config import DetectionConfig, EngineConfig, PortScanConfig
+from weirgauge.operators import alerts as A
 from weirgauge.operators import metrics as M
 from weirgauge.operators.cooldown import apply_cooldown
 from weirgauge.operators.decode import decode_flows
 from weirgauge.operators.rules import candidate_alerts
-from weirgauge.plans.pipelines import run_available, stored_alerts
+from weirgauge.plans.pipelines import run_available, stream_samples
 from weirgauge.schema import DATAGRAM_SCHEMA, FLOW_SCHEMA, WINDOW_METRICS_SCHEMA
-from weirgauge.streaming.alert_stream import FIRED_SCHEMA, start_alerts
-from weirgauge.streaming.batches import newest_batch, read_batches, write_batch
-from weirgauge.streaming.flow_stream import last_seen_stream, start_flow_table, totals_stream
-from weirgauge.streaming.metrics_stream import read_pane_stream, start_panes, start_windows
+from weirgauge.sources.flow_table import read_flows
+from weirgauge.streaming import metrics_stream
+from weirgauge.streaming.alert_stream import sent_alerts, stored_alerts
+from weirgauge.streaming.engine import FLOW_TABLE, process_flows, start_flow_engine
+from weirgauge.streaming.metrics_stream import absorb_flows, current_metrics, stored_exporters, stored_totals
+from weirgauge.streaming.tables import read_batch, read_table, write_batch
 
 NOW = {"availableNow": True}
+FLAT = ["map_entries(protocol_dist) as protocol_dist" if c == "protocol_dist" else c for c in WINDOW_METRICS_SCHEMA.fieldNames()]
 
 
 def same(left, right):
@@ -28,107 +33,162 @@ def capture(spark, path, first, *packets):
     spark.createDataFrame(rows, DATAGRAM_SCHEMA).coalesce(1).write.mode("append").parquet(path)
 
 
+def stream_equals_batch(spark, root, flows):
+    """Everything the stream holds is what the batch operators make of all flows."""
+    same(read_flows(spark, f"{root}/flows").select(*FLOW_SCHEMA.fieldNames()), flows)
+    same(current_metrics(spark, root).selectExpr(*FLAT), M.window_metrics(flows, keep_empty=False).selectExpr(*FLAT))
+    want = A.number_alerts(apply_cooldown(candidate_alerts(flows)))
+    same(stored_alerts(spark, root), want)
+    totals = stored_totals(spark, root).first()
+    assert totals["flows"] == flows.count() and totals["bytes"] == flows.agg(F.sum("bytes")).first()[0]
+    return want
+
+
+def traffic(rng, exporter, start, seconds):
+    out = []
+    for second in range(start, start + seconds):
+        for _ in range(3):
+            out.append((second * 1000 + rng.randrange(1000), exporter, v5(
+                v5_record(dst=(1, 1, 1, 1), octets=90_000 + second, sport=rng.randrange(9)),
+                v5_record(src=(10, 0, rng.randrange(3), 7), dport=rng.randrange(40), proto=17, octets=700))))
+    return sorted(out, key=lambda packet: packet[0])
+
+
 def test_datagrams_to_alerts_in_two_sittings(spark, tmp_path):
     folder, root = str(tmp_path / "capture"), str(tmp_path / "out")
     rng = random.Random(5)
 
-    def traffic(start, seconds):
-        out = []
-        for second in range(start, start + seconds):
-            for _ in range(3):
-                out.append((second * 1000 + rng.randrange(1000), "10.9.9.1", v5(
-                    v5_record(dst=(1, 1, 1, 1), octets=90_000 + second, sport=rng.randrange(9)),
-                    v5_record(src=(10, 0, rng.randrange(3), 7), dport=rng.randrange(40), proto=17, octets=700))))
-            out.append((second * 1000, "10.9.9.2", v9(cut(256, record(ie1=100 + second)))))
-        return sorted(out, key=lambda packet: packet[0])
-
-    announce = (0, "10.9.9.2", v9(cut(0, template(256, STANDARD))))
+    def templated(start, seconds):
+        return [(s * 1000, "10.9.9.2", v9(cut(256, record(ie1=100 + s)))) for s in range(start, start + seconds)]
+
+    def mixed(start, seconds):
+        return sorted(traffic(rng, "10.9.9.1", start, seconds) + templated(start, seconds), key=lambda p: p[0])
+
+    announce = (20_000, "10.9.9.2", v9(cut(0, template(256, STANDARD))))
     # The template of the second exporter arrives after its first packets and is
     # only sent in the first sitting.
-    capture(spark, folder, 0, *traffic(0, 20), (20_000, *announce[1:]), *traffic(20, 100))
+    capture(spark, folder, 0, *mixed(0, 20), announce, *mixed(20, 100))
     run_available(spark, folder, root)
-    capture(spark, folder, 10_000, *traffic(120, 120))
+    capture(spark, folder, 10_000, *mixed(120, 95))
     run_available(spark, folder, root)
 
-    datagrams = spark.read.schema(DATAGRAM_SCHEMA).parquet(folder)
-    flows = decode_flows(datagrams).cache()
-    same(read_batches(spark, f"{root}/flows", FLOW_SCHEMA), flows)
-    assert flows.where("exporter_ip = '10.9.9.2'").count() == 220
-
-    closed = F.col("tick") <= F.timestamp_millis(F.lit(T0 + 200_000))
-    flat = [F.map_entries("protocol_dist").alias("protocol_dist") if c == "protocol_dist" else F.col(c)
-            for c in WINDOW_METRICS_SCHEMA.fieldNames()]
-    streamed = read_batches(spark, f"{root}/metrics", WINDOW_METRICS_SCHEMA).where(closed).select(*flat)
-    assert streamed.count() == 60
-    same(streamed, M.window_metrics(flows, keep_empty=False).where(closed).select(*flat))
-
-    early = F.col("triggered_at") <= F.timestamp_millis(F.lit(T0 + 200_000))
-    alerts = stored_alerts(spark, root).where(early)
-    expected = apply_cooldown(candidate_alerts(flows)).where(early)
-    # The hot destination and the SYN-only TCP flows each fire at 10, 70, 130 and 190 seconds.
-    assert {r.rule: r["count"] for r in alerts.groupBy("rule").count().collect()} == {
-        "destination_hotspot": 4, "syn_flood": 4}
-    same(alerts.drop("id"), expected.select(*alerts.drop("id").columns))
-    assert sorted(r.id for r in stored_alerts(spark, root).collect()) == list(range(1, stored_alerts(spark, root).count() + 1))
-
-
-def test_cooldown_remembers_across_batches(spark, tmp_path):
-    source, alerts = str(tmp_path / "candidates"), str(tmp_path / "alerts")
-
-    def put(*seconds):
-        spark.createDataFrame([("r", "High", target, 10, ["x"], moment(T0 + s * 1000)) for s in seconds for target in (None, 7)],
-                              FIRED_SCHEMA).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(FIRED_SCHEMA).parquet(source)
-        start_alerts(stream, alerts, str(tmp_path / "cp"), str(tmp_path / "outbox"), **NOW).awaitTermination()
-
-    put(0, 10, 50)
-    put(59, 60, 70)
-    put(110, 119)
-    put(120)
-    fired = stored_alerts(spark, str(tmp_path)).orderBy("id").collect()
-    assert [(r.id, r.target_ip, int(r.triggered_at.timestamp()) - T0 // 1000) for r in fired] == [
-        (1, None, 0), (2, 7, 0), (3, None, 60), (4, 7, 60), (5, None, 120), (6, 7, 120)]
-    assert spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "outbox")).count() == 6
-
-
-def test_replayed_batches(spark, tmp_path):
+    flows = decode_flows(spark.read.schema(DATAGRAM_SCHEMA).parquet(folder)).cache()
+    assert flows.where("exporter_ip = '10.9.9.2'").count() == 195
+    want = stream_equals_batch(spark, root, flows)
+    # The hot destination and the SYN-only TCP flows fire at 10, 70, 130 and 190 seconds.
+    assert {r.rule: r["count"] for r in want.groupBy("rule").count().collect()} == {"destination_hotspot": 4, "syn_flood": 4}
+    sent = sent_alerts(spark, root)
+    same(sent.select("rule", "target_ip", "triggered_at"), want.select("rule", "target_ip", "triggered_at"))
+    assert stored_exporters(spark, root).count() == 2
+    samples = stream_samples(spark, root)
+    assert samples.where("metric = 'flows_total'").agg(F.max("value")).first()[0] == flows.count()
+
+
+def test_a_second_exporter_comes_later_over_the_same_time(spark, tmp_path):
+    """Late flows, several micro-batches, files out of order: nothing is lost."""
+    folder, root = str(tmp_path / "capture"), str(tmp_path / "out")
+    rng = random.Random(6)
+    early = traffic(rng, "10.9.9.1", 0, 100)
+    capture(spark, folder, 5000, *early[150:])
+    capture(spark, folder, 0, *early[:150])
+    run_available(spark, folder, root, files_per_batch=1)
+    capture(spark, folder, 9000, *traffic(rng, "10.9.9.3", 0, 80))
+    capture(spark, folder, 9900, *traffic(rng, "10.9.9.1", 400, 5))
+    run_available(spark, folder, root, files_per_batch=1)
+    flows = decode_flows(spark.read.schema(DATAGRAM_SCHEMA).parquet(folder)).cache()
+    assert flows.count() == 2 * 3 * 185
+    stream_equals_batch(spark, root, flows)
+    sent = sent_alerts(spark, root)
+    assert sent.count() == sent.select("rule", "target_ip", "triggered_at").distinct().count() > 0
+
+
+def hot_flows(make_flows, seconds, exporter="e"):
+    return make_flows(*[dict(at=s * 1000 + n, src_ip=n, dst_ip=9, bytes=50_000, exporter_ip=exporter) for s in seconds for n in range(4)])
+
+
+def test_replayed_batches_leave_no_double(spark, make_flows, tmp_path, monkeypatch):
+    """A batch breaks off after some of its tables are written, is read meanwhile, and
+    runs again."""
+    root = str(tmp_path / "out")
+    first, second = hot_flows(make_flows, range(0, 50)), hot_flows(make_flows, range(50, 130))
+    process_flows(first, 0, root)
+    for broken in ("absorb_flows", "deliver_batch", None):
+        if broken:
+            with monkeypatch.context() as patch:
+                def fail(*args, **kwargs):
+                    raise RuntimeError("executor lost")
+                patch.setattr(f"weirgauge.streaming.engine.{broken}", fail)
+                with pytest.raises(RuntimeError):
+                    process_flows(second, 1, root)
+            assert read_table(spark, f"{root}/flows", FLOW_TABLE).count() == 4 * 130
+        else:
+            process_flows(second, 1, root)
+            process_flows(second, 1, root)
+    flows = first.unionByName(second)
+    want = stream_equals_batch(spark, root, flows)
+    sent = sent_alerts(spark, root)
+    assert sent.count() == sent.select("rule", "target_ip", "triggered_at").distinct().count()
+    # All but the tick still open has been sent.
+    closed = want.where(F.unix_millis("triggered_at") <= T0 + 120_000)
+    same(sent.select("rule", "target_ip", "triggered_at"), closed.select("rule", "target_ip", "triggered_at"))
+
+
+def test_earlier_batches_do_not_see_later_ones(spark, make_flows, tmp_path):
+    """A replay computes from the tables as its predecessors left them."""
+    root = str(tmp_path / "out")
+    for n, seconds in enumerate((range(0, 10), range(10, 20), range(20, 30))):
+        process_flows(hot_flows(make_flows, seconds), n, root)
+    before = read_batch(spark, f"{root}/metrics", metrics_stream._METRICS, 1, ["day"]).selectExpr(*FLAT).collect()
+    process_flows(hot_flows(make_flows, range(10, 20)), 1, root)
+    assert sorted(read_batch(spark, f"{root}/metrics", metrics_stream._METRICS, 1, ["day"]).selectExpr(*FLAT).collect()) == sorted(before)
+
+
+def test_write_batch(spark, tmp_path):
     path = str(tmp_path / "table")
+    schema = spark.range(1).schema
+    assert read_table(spark, path, schema).count() == 0
     write_batch(spark.range(3), path, 4)
     write_batch(spark.range(30), path, 4)
-    schema = spark.range(1).schema
-    assert read_batches(spark, path, schema).count() == 3
-    (tmp_path / "table" / "batch-000000000004" / "_SUCCESS").unlink()
-    write_batch(spark.range(5), path, 4)
-    assert read_batches(spark, path, schema).count() == 5
-    assert newest_batch(spark, path, 4) is None and newest_batch(spark, path, 9) == 4
-    assert read_batches(spark, str(tmp_path / "none"), schema).count() == 0
+    write_batch(spark.range(2), path, 5)
+    assert read_table(spark, path, schema).count() == 32 and read_batch(spark, path, schema, 4).count() == 30
+    assert read_batch(spark, path, schema, 6).count() == 0
 
 
-def test_flow_table_and_totals(spark, make_flows, tmp_path):
-    source = str(tmp_path / "in")
-    make_flows(dict(at=1), dict(at=2, exporter_ip="b", bytes=5)).write.parquet(source)
-    flows = spark.readStream.schema(FLOW_SCHEMA).parquet(source)
-    start_flow_table(flows, str(tmp_path / "flows"), str(tmp_path / "cp"), **NOW).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "flows")).where("flow_date = '2024-01-01'").count() == 2
-    for name, view in (("totals", totals_stream(flows)), ("seen", last_seen_stream(flows))):
-        view.writeStream.outputMode("complete").format("memory").queryName(name).trigger(**NOW).start().awaitTermination()
-    assert tuple(spark.table("totals").first()) == (2, 2, 105)
-    assert spark.table("seen").count() == 2
+def test_contacts_only_where_they_are_read(spark, make_flows, tmp_path):
+    off = DetectionConfig(port_scan=PortScanConfig(enabled=False))
+    flows = make_flows(*[dict(at=n * 100, dst_port=n) for n in range(60)])
+    absorb_flows(flows, 0, str(tmp_path / "on"))
+    absorb_flows(flows, 0, str(tmp_path / "off"), off)
+    topics = {name: {r.topic for r in read_table(spark, str(tmp_path / name / "panes"), metrics_stream._PANES).select("topic").distinct().collect()}
+              for name in ("on", "off")}
+    assert topics == {"on": {0, 1, 2, 3}, "off": {0, 1, 2}}
+
+
+def test_empty_batches(spark, make_flows, tmp_path):
+    root = str(tmp_path / "out")
+    process_flows(make_flows(), 0, root)
+    assert current_metrics(spark, root).count() == 0 and stored_alerts(spark, root).count() == 0
+    process_flows(hot_flows(make_flows, range(5)), 1, root)
+    process_flows(make_flows(), 2, root)
+    process_flows(hot_flows(make_flows, range(5, 9)), 3, root)
+    stream_equals_batch(spark, root, hot_flows(make_flows, range(9)))
 
 
 @pytest.mark.parametrize("windows, step", [((10,), 25), ((15, 40), 10)])
 def test_odd_windows(spark, make_flows, tmp_path, windows, step):
     rng = random.Random(step)
     at = [rng.choice([rng.randrange(300_000), rng.randrange(60) * 5000]) for _ in range(200)]
-    make_flows(*[dict(at=ms, src_ip=ms % 5) for ms in at], dict(at=900_000), dict(at=1_200_000)).coalesce(1).write.parquet(
-        str(tmp_path / "flows"))
-    flows = spark.readStream.schema(FLOW_SCHEMA).parquet(str(tmp_path / "flows"))
-    start_panes(flows, str(tmp_path / "panes"), str(tmp_path / "cp1"), windows, step, **NOW).awaitTermination()
-    start_windows(read_pane_stream(spark, str(tmp_path / "panes")), str(tmp_path / "metrics"), str(tmp_path / "candidates"),
-                  str(tmp_path / "cp2"), windows=windows, tick_secs=step, **NOW).awaitTermination()
-    early = F.col("tick") <= F.timestamp_millis(F.lit(T0 + 400_000))
-    columns = ["window_secs", "tick", "flows", "bytes", "unique_src_ips", "top_src_ips"]
-    streamed = read_batches(spark, str(tmp_path / "metrics"), WINDOW_METRICS_SCHEMA).where(early).select(*columns)
-    assert streamed.count() > 10
-    batch = M.window_metrics(spark.read.parquet(str(tmp_path / "flows")), windows, step, keep_empty=False)
-    same(streamed, batch.where(early).select(*columns))
+    root = str(tmp_path / "out")
+    off = DetectionConfig(enabled=False)
+    flows = make_flows(*[dict(at=ms, src_ip=ms % 5) for ms in at], dict(at=900_000))
+    for n, part in enumerate(flows.randomSplit([1.0, 1.0, 1.0], 3)):
+        absorb_flows(part, n, root, off, windows, step)
+    same(current_metrics(spark, root).selectExpr(*FLAT), M.window_metrics(flows, windows, step, keep_empty=False).selectExpr(*FLAT))
+
+
+def test_flow_stream(spark, make_flows, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "out")
+    make_flows(dict(at=1), dict(at=2, exporter_ip="b", bytes=5)).write.parquet(source)
+    start_flow_engine(spark.readStream.schema(FLOW_SCHEMA).parquet(source), root, EngineConfig(), **NOW).awaitTermination()
+    assert tuple(stored_totals(spark, root).first()) == (2, 2, 105)
+    assert read_flows(spark, f"{root}/flows").where("flow_date = '2024-01-01'").count() == 2

@@ -97,12 +97,12 @@ def alert_json(alerts: DataFrame) -> DataFrame:
     return alerts.select("id", _json(F.col("id"), stamp).alias("json"))
 
 
-def alert_outbox(fired: DataFrame) -> DataFrame:
+def alert_outbox(fired: DataFrame, *more: str) -> DataFrame:
     """One JSON payload per fired alert for a downstream deliverer; the id is
-    not assigned yet at that point and is sent as null."""
+    not assigned yet at that point and is sent as null. ``more`` columns are kept."""
     stamp = rfc3339_text(F.unix_micros("triggered_at"), "Z")
     return fired.select(
-        "rule", "triggered_at", _json(F.lit(None).cast("bigint"), stamp).alias("payload"))
+        "rule", "triggered_at", *more, _json(F.lit(None).cast("bigint"), stamp).alias("payload"))
 
 
 def alert_text_rows(alerts: DataFrame) -> DataFrame:

@@ -90,16 +90,19 @@ def port_panes(flows: DataFrame, width_secs: int) -> DataFrame:
 
 # -- per-protocol windows and the scalar counters -----------------------------
 
-def protocol_windows(
-    flows: DataFrame, windows: Sequence[int] = WINDOW_SECS, tick_secs: int = TICK_SECS
-) -> DataFrame:
-    panes = protocol_panes(flows, pane_secs(windows, tick_secs))
+def per_protocol_sums(panes: DataFrame, windows: Sequence[int], tick_secs: int) -> DataFrame:
     return (
         expand_windows(panes, "moment_us", windows, tick_secs)
         .groupBy(*WINDOW_KEY, "protocol").agg(*[F.sum(c).alias(c) for c in TRAFFIC_SUMS])
     )
 
 
+def protocol_windows(
+    flows: DataFrame, windows: Sequence[int] = WINDOW_SECS, tick_secs: int = TICK_SECS
+) -> DataFrame:
+    return per_protocol_sums(protocol_panes(flows, pane_secs(windows, tick_secs)), windows, tick_secs)
+
+
 def window_counters(per_protocol: DataFrame) -> DataFrame:
     """Counts, protocol mix and TCP counters per (window, tick)."""
     def tcp_sum(name: str):
@@ -203,14 +206,18 @@ def top_talkers(
 
 # -- destination ports per source ----------------------------------------------
 
-def fanout_spans(flows: DataFrame, windows=(60,), tick_secs: int = TICK_SECS) -> DataFrame:
-    """Distinct destination ports of each source, as spans."""
-    panes = port_panes(flows, pane_secs(windows, tick_secs))
+def contact_spans(panes: DataFrame, windows: Sequence[int], tick_secs: int = TICK_SECS) -> DataFrame:
+    """Distinct destination ports of each source, as spans, from contacts at pane
+    moments; repeats of a contact add nothing."""
     contact, reaches = ["dst_port", "src_ip"], closed_reaches(windows)
     contacts = presence_spans(place_partials(panes, contact, reaches, tick_secs), contact, reaches, tick_secs)
     return count_spans(contacts, ["src_ip"], "n_ports")
 
 
+def fanout_spans(flows: DataFrame, windows=(60,), tick_secs: int = TICK_SECS) -> DataFrame:
+    return contact_spans(port_panes(flows, pane_secs(windows, tick_secs)), windows, tick_secs)
+
+
 def source_port_fanout(flows: DataFrame, windows=WINDOW_SECS, tick_secs: int = TICK_SECS) -> DataFrame:
     return with_tick(at_ticks(fanout_spans(flows, windows, tick_secs), tick_secs))
 
@@ -252,6 +259,21 @@ def assemble_metrics(counters: DataFrame, addresses: DataFrame, talkers: DataFra
     return with_tick(with_rates(merged.where("wanted"))).select(*METRIC_COLUMNS)
 
 
+def metrics_from_panes(
+    protocols: DataFrame, endpoints: DataFrame, windows: Sequence[int], tick_secs: int, top_n: int,
+    spine: DataFrame | None = None,
+) -> DataFrame:
+    """Metrics rows from protocol sums and endpoint bytes at pane moments."""
+    placed = place_partials(
+        endpoints.withColumnRenamed("bytes", "amount"), ENDPOINT, closed_reaches(windows), tick_secs)
+    return assemble_metrics(
+        window_counters(per_protocol_sums(protocols, windows, tick_secs)),
+        distinct_per_side(placed, windows, tick_secs),
+        talker_ticks(byte_spans(placed, windows, tick_secs), tick_secs, top_n),
+        spine,
+    )
+
+
 def window_metrics(
     flows: DataFrame,
     windows: Sequence[int] = WINDOW_SECS,
@@ -264,13 +286,10 @@ def window_metrics(
     ``keep_empty`` reports every tick between the first and the last flow;
     without it only ticks whose window holds flows appear, also past the last flow.
     """
-    placed = placed_endpoints(flows, windows, tick_secs)
-    return assemble_metrics(
-        window_counters(protocol_windows(flows, windows, tick_secs)),
-        distinct_per_side(placed, windows, tick_secs),
-        talker_ticks(byte_spans(placed, windows, tick_secs), tick_secs, top_n),
-        tick_spine(flows, windows, tick_secs) if keep_empty else None,
-    )
+    width = pane_secs(windows, tick_secs)
+    return metrics_from_panes(
+        protocol_panes(flows, width), endpoint_panes(flows, width), windows, tick_secs, top_n,
+        tick_spine(flows, windows, tick_secs) if keep_empty else None)
 
 
 def latest_snapshot(metrics: DataFrame) -> DataFrame:

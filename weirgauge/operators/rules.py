@@ -15,8 +15,10 @@ from weirgauge.config import TICK_SECS, DetectionConfig
 from weirgauge.functions.net import ip_text
 from weirgauge.functions.numbers import ratio, text_0, text_1
 from weirgauge.operators.coverage import at_ticks
-from weirgauge.operators.metrics import UDP, fanout_spans, window_metrics, with_tick
+from weirgauge.operators.metrics import UDP, with_tick
+from weirgauge.operators.panes import pane_contacts, pane_metrics, pane_rows
 from weirgauge.schema import FIRED_COLUMNS
+from weirgauge.storage import settle
 
 HIGH = "High"
 MEDIUM = "Medium"
@@ -114,7 +116,8 @@ def port_scan(config: DetectionConfig) -> Column:
     ])
 
 
-# Which window size feeds which rule. A new detector is one more entry.
+# Names, severities and indicator texts above; which window size feeds
+# which rule. A new detector is one more entry.
 RULES: dict[str, tuple[int, Callable[[DetectionConfig], Column]]] = {
     "udp_flood": (10, udp_flood),
     "syn_flood": (10, syn_flood),
@@ -141,14 +144,14 @@ def route_rules(metrics: DataFrame, config: DetectionConfig = DetectionConfig())
     )
 
 
-def scanners(flows: DataFrame, config: DetectionConfig = DetectionConfig(), tick_secs: int = TICK_SECS) -> DataFrame:
-    """Sources with enough distinct destination ports, per tick.
+def scanners(spans: DataFrame, config: DetectionConfig = DetectionConfig(), tick_secs: int = TICK_SECS) -> DataFrame:
+    """Sources with enough distinct destination ports, per tick, from the spans of
+    their port counts.
 
     The threshold is applied to spans, before they are expanded to ticks.
     """
     c = config.port_scan
-    wide = fanout_spans(flows, (RULES["port_scan"][0],), tick_secs).where(
-        F.col("n_ports") >= c.min_unique_dst_ports)
+    wide = spans.where(F.col("n_ports") >= c.min_unique_dst_ports)
     per_tick = with_tick(at_ticks(wide, tick_secs)).select(
         "window_secs", "tick", F.col("src_ip").alias("scan_ip"), F.col("n_ports").alias("scan_ports"))
     return per_tick if c.all_sources else widest_scanner(per_tick)
@@ -163,16 +166,23 @@ def with_scanners(metrics: DataFrame, per_tick: DataFrame) -> DataFrame:
     return metrics.join(per_tick, ["window_secs", "tick"], "left")
 
 
+def scan_windows(config: DetectionConfig) -> tuple[int, ...]:
+    """The window whose port contacts are read, if any is."""
+    return (RULES["port_scan"][0],) if "port_scan" in enabled_rules(config) else ()
+
+
 def candidate_alerts(
     flows: DataFrame, config: DetectionConfig = DetectionConfig(), tick_secs: int = TICK_SECS,
     metrics: DataFrame | None = None,
 ) -> DataFrame:
     """Flows → candidates. Takes the metrics rows if they exist already, else
-    computes only the windows that enabled rules read."""
-    names = enabled_rules(config)
-    if metrics is None:
-        windows = tuple(sorted({RULES[n][0] for n in names})) or (10,)
-        metrics = window_metrics(flows, windows, tick_secs)
-    if "port_scan" in names:
-        metrics = with_scanners(metrics, scanners(flows, config, tick_secs))
+    computes only the windows that enabled rules read. The flows are read once: their
+    pane sums are written and everything follows from these."""
+    windows = tuple(sorted({RULES[n][0] for n in enabled_rules(config)})) or (10,)
+    scanned = scan_windows(config)
+    if metrics is None or scanned:
+        panes = settle(pane_rows(flows, windows, tick_secs, contacts=bool(scanned)), "panes")
+        metrics = pane_metrics(panes, windows, tick_secs) if metrics is None else metrics
+    if scanned:
+        metrics = with_scanners(metrics, scanners(pane_contacts(panes, scanned, tick_secs), config, tick_secs))
     return route_rules(metrics, config)

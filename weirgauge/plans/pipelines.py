@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weirgauge.config import EngineConfig, validate_config
+from weirgauge.functions.clock import timestamp_of_us
 from weirgauge.operators.cooldown import apply_cooldown
 from weirgauge.operators.decode import decode_flows
 from weirgauge.operators.rules import candidate_alerts
-from weirgauge.schema import ALERT_SCHEMA, FLOW_SCHEMA
+from weirgauge.operators.ticks import tick_spine
+from weirgauge.operators.views import metric_samples
+from weirgauge.schema import METRIC_COLUMNS
 from weirgauge.sources.datagrams import read_datagrams
+from weirgauge.sources.flow_table import PARTITION, read_flows
 from weirgauge.storage import settle
-from weirgauge.streaming.alert_stream import FIRED_SCHEMA, start_alerts
-from weirgauge.streaming.batches import read_batches, stream_batches
-from weirgauge.streaming.decode_stream import start_decoding
-from weirgauge.streaming.metrics_stream import read_pane_stream, start_panes, start_windows
+from weirgauge.streaming.alert_stream import deliver_rest, stored_alerts
+from weirgauge.streaming.engine import start_engine
+from weirgauge.streaming.metrics_stream import current_metrics
 
 
 def fired_alerts(
@@ -31,35 +35,32 @@ def fired_alerts(
 
 
 def alerts_from_datagrams(datagrams: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
-    return fired_alerts(decode_flows(datagrams, config.accepted_versions), config)
+    """Datagrams → alerts. The flows are written once, so payloads are decoded once."""
+    return fired_alerts(settle(decode_flows(datagrams, config.accepted_versions), "flows"), config)
 
 
 def run_available(spark: SparkSession, capture: str, root: str, config: EngineConfig = EngineConfig(),
-                  delay: str = "10 seconds") -> None:
-    """Work through all captured datagrams that are there now, stage after stage.
+                  ipfix: str | None = None, files_per_batch: int | None = None) -> None:
+    """Work through all captured datagrams that are there now.
 
-    Each stage resumes from its checkpoint, so calling this again continues with
-    newly captured datagrams. For continuous operation start the same stages
-    side by side with a processing-time trigger.
+    Calling this again continues with newly captured ones, whatever time they are
+    from. ``files_per_batch`` bounds a micro-batch. At the end the alerts of the tick
+    still open are sent too.
     """
     validate_config(config)
-    tick, detection = config.snapshot_interval_secs, config.detection
-    now = {"availableNow": True}
+    root = root.rstrip("/")
+    datagrams = read_datagrams(spark, capture, ipfix, streaming=True, files_per_batch=files_per_batch)
+    query = start_engine(datagrams, root, config, availableNow=True)
+    query.awaitTermination()
+    if query.lastProgress is not None:
+        deliver_rest(spark, root, query.lastProgress["batchId"], config.detection.cooldown_secs, config.snapshot_interval_secs)
 
-    def at(name: str) -> str:
-        return f"{root.rstrip('/')}/{name}"
 
-    datagrams = read_datagrams(spark, capture, streaming=True)
-    start_decoding(datagrams, at("flows"), at("templates"), at("checkpoints/decode"),
-                   config.accepted_versions, **now).awaitTermination()
-    flows = stream_batches(spark, at("flows"), FLOW_SCHEMA)
-    start_panes(flows, at("panes"), at("checkpoints/panes"), tick_secs=tick, delay=delay, **now).awaitTermination()
-    start_windows(read_pane_stream(spark, at("panes")), at("metrics"), at("candidates"), at("checkpoints/windows"),
-                  detection, tick_secs=tick, delay=delay, **now).awaitTermination()
-    candidates = stream_batches(spark, at("candidates"), FIRED_SCHEMA)
-    start_alerts(candidates, at("alerts"), at("checkpoints/alerts"), at("outbox"),
-                 detection.cooldown_secs, **now).awaitTermination()
-
-
-def stored_alerts(spark: SparkSession, root: str) -> DataFrame:
-    return read_batches(spark, f"{root.rstrip('/')}/alerts", ALERT_SCHEMA)
+def stream_samples(spark: SparkSession, root: str, config: EngineConfig = EngineConfig(), prefix: str = "") -> DataFrame:
+    """Metric samples of all that a stream has taken in, as of every tick up to the newest."""
+    tick = config.snapshot_interval_secs
+    flows = read_flows(spark, f"{root}/flows").drop(PARTITION)
+    spine = tick_spine(flows, (tick,), tick)
+    wanted = spine.select(timestamp_of_us(F.col("tick_us")).alias("tick")).distinct()
+    metrics = current_metrics(spark, root).join(wanted, "tick", "left_semi").select(*METRIC_COLUMNS)
+    return metric_samples(flows, metrics, stored_alerts(spark, root, config.detection.cooldown_secs, tick), spine, tick, prefix)

@@ -28,14 +28,15 @@ from weirgauge.operators.sets import split_sets
 from weirgauge.operators.templates import (
     ELEMENTS, parse_templates, template_history, template_layouts,
 )
-from weirgauge.plans.pipelines import fired_alerts, run_available, stored_alerts
+from weirgauge.plans.pipelines import fired_alerts, run_available
 from weirgauge.schema import FLOW_COLUMNS, FLOW_SCHEMA, WINDOW_METRICS_SCHEMA
 from weirgauge.sources import datagrams as D
 from weirgauge.sources.event_flows import event_flows, flows_from_events, read_events
 from weirgauge.sources.flow_table import read_flows, write_flows
 from weirgauge.storage import settle, shared_path
-from weirgauge.streaming.batches import read_batches
-from weirgauge.streaming.metrics_stream import read_pane_stream, start_panes, start_windows
+from weirgauge.streaming.alert_stream import stored_alerts
+from weirgauge.streaming.engine import start_flow_engine
+from weirgauge.streaming.metrics_stream import current_metrics, stored_totals
 from weirgauge.testing.datagram_fixture import datagrams_from_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,7 +53,6 @@ AS_OF = "2024-01-01T00:20:00Z"
 ALERT_ID = 7
 HOT_TARGET = "1.1.1.1"
 NORMALIZE_NOW = "2024-02-02T00:00:00Z"
-UNSETTLED_MS = 60_000
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -574,28 +574,40 @@ def _(spark, folder):
 
 # -- streams -------------------------------------------------------------------------------------------
 
-def _settled_part(rows: DataFrame, column: str, flows: DataFrame) -> DataFrame:
-    """Only ticks that every run has closed: those well before the newest flow."""
-    newest = flows.agg(F.max("received_at_ms")).first()[0]
-    return rows.where(F.unix_millis(column) <= newest // 10_000 * 10_000 - UNSETTLED_MS)
+def _flow_source(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
+    """A stream over written flows, one file per micro-batch."""
+    path = shared_path(spark, "flow-source")
+    shards.write.parquet(path)
+    return spark.readStream.schema(FLOW_SCHEMA).option("maxFilesPerTrigger", 2).parquet(path)
 
 
 @query("stream_window_metrics")
 def _(spark, folder):
-    flows = settle(event_flows(spark, folder).repartitionByRange(4, "received_at_ms"), "flows")
-    root, now = shared_path(spark, "stream"), {"availableNow": True}
-    source = spark.readStream.schema(FLOW_SCHEMA).parquet(flows.inputFiles()[0].rsplit("/", 1)[0])
-    start_panes(source, f"{root}/panes", f"{root}/checkpoints/panes", **now).awaitTermination()
-    start_windows(read_pane_stream(spark, f"{root}/panes"), f"{root}/metrics", f"{root}/candidates",
-                  f"{root}/checkpoints/windows", **now).awaitTermination()
-    metrics = read_batches(spark, f"{root}/metrics", WINDOW_METRICS_SCHEMA)
-    return _full_metrics(_settled_part(metrics, "tick", flows))
+    root = shared_path(spark, "stream")
+    source = _flow_source(spark, folder, event_flows(spark, folder).repartitionByRange(4, "received_at_ms"))
+    start_flow_engine(source, root, availableNow=True).awaitTermination()
+    return _full_metrics(current_metrics(spark, root))
+
+
+@query("stream_window_metrics_out_of_order")
+def _(spark, folder):
+    """Each batch has flows of all times: most of them are late."""
+    root = shared_path(spark, "stream")
+    source = _flow_source(spark, folder, event_flows(spark, folder).repartition(4, "src_port"))
+    start_flow_engine(source, root, availableNow=True).awaitTermination()
+    return _full_metrics(current_metrics(spark, root))
 
 
 @query("stream_alerts_from_datagrams")
 def _(spark, folder):
     capture, root = shared_path(spark, "capture"), shared_path(spark, "stream")
     _captured(spark, folder).repartitionByRange(4, "seq").write.parquet(capture)
-    run_available(spark, capture, root)
-    flows = read_batches(spark, f"{root}/flows", FLOW_SCHEMA)
-    return _flat_alerts(_settled_part(stored_alerts(spark, root), "triggered_at", flows))
+    run_available(spark, capture, root, files_per_batch=2)
+    return _flat_alerts(stored_alerts(spark, root))
+
+
+@query("stream_totals")
+def _(spark, folder):
+    root = shared_path(spark, "stream")
+    start_flow_engine(_flow_source(spark, folder, event_flows(spark, folder)), root, availableNow=True).awaitTermination()
+    return stored_totals(spark, root)

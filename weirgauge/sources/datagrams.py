@@ -18,11 +18,15 @@ IPFIX_HEADER = 16
 
 
 def read_datagrams(
-    spark: SparkSession, primary: str, ipfix: str | None = None, *, streaming: bool = False, fmt: str = "parquet"
+    spark: SparkSession, primary: str, ipfix: str | None = None, *, streaming: bool = False, fmt: str = "parquet",
+    files_per_batch: int | None = None,
 ) -> DataFrame:
-    """Datagrams of one capture folder, or of two merged; both are treated alike."""
+    """Datagrams of one capture folder, or of two merged; both are treated alike.
+    ``files_per_batch`` bounds the micro-batches of a stream."""
     def load(path: str) -> DataFrame:
         reader = spark.readStream if streaming else spark.read
+        if streaming and files_per_batch is not None:
+            reader = reader.option("maxFilesPerTrigger", files_per_batch)
         return reader.format(fmt).schema(DATAGRAM_SCHEMA).load(path)
 
     merged = load(primary)

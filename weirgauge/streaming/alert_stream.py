@@ -1,70 +1,87 @@
-"""Candidate stream → cooldown → alert table and outbox."""
+"""Candidates of the touched ticks → cooldown → outbox."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from weirgauge.functions.clock import MICROS
+from weirgauge.config import TICK_SECS
+from weirgauge.functions.clock import MICROS, date_of_ms
 from weirgauge.operators.alerts import alert_outbox, number_alerts
-from weirgauge.operators.cooldown import alert_key
-from weirgauge.schema import ALERT_SCHEMA, FIRED_COLUMNS
-from weirgauge.streaming.batches import read_newest, write_batch
-
-FIRED_SCHEMA = T.StructType([f for f in ALERT_SCHEMA.fields if f.name in FIRED_COLUMNS])
-_HIT_SCHEMA = T.StructType([T.StructField("alert_key", T.StringType()), T.StructField("at_us", T.LongType()),
-                            *FIRED_SCHEMA.fields])
-_LAST_FIRED = T.StructType([T.StructField("at_us", T.LongType())])
-
-
-def stream_cooldown(candidates: DataFrame, cooldown_secs: int = 60) -> DataFrame:
-    """Fired alerts of a candidate stream. The state is one instant per (rule, target);
-    a micro-batch brings at most one candidate per key and tick."""
-    quiet_us = cooldown_secs * MICROS
-
-    def fire(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        hits = pd.concat([p for p in parts if len(p)]).sort_values("at_us", kind="stable")
-        last = state.get[0] if state.exists else None
-        kept = []
-        for place, at_us in enumerate(hits["at_us"].tolist()):
-            if last is None or at_us - last >= quiet_us:
-                kept.append(place)
-                last = at_us
-        if kept:
-            state.update((last,))
-        yield hits.iloc[kept][_HIT_SCHEMA.fieldNames()]
-
-    hits = candidates.select(
-        alert_key().alias("alert_key"), F.unix_micros("triggered_at").alias("at_us"), *FIRED_COLUMNS)
-    return hits.groupBy("alert_key").applyInPandasWithState(
-        fire, _HIT_SCHEMA, _LAST_FIRED, "append", GroupStateTimeout.NoTimeout).select(*FIRED_COLUMNS)
-
-
-def emit_alerts(fired: DataFrame, batch_id: int, alerts_path: str, outbox_path: str | None) -> None:
-    fired.persist()
-    try:
-        # Ids only grow and empty batches are not written: the newest batch has the last id.
-        newest = read_newest(fired.sparkSession, alerts_path, ALERT_SCHEMA, before=batch_id)
-        last_id = newest.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        if fired.isEmpty():
-            return
-        write_batch(number_alerts(fired, last_id), alerts_path, batch_id)
-        if outbox_path is not None:
-            write_batch(alert_outbox(fired), outbox_path, batch_id)
-    finally:
-        fired.unpersist()
-
-
-def start_alerts(candidates: DataFrame, alerts_path: str, checkpoint: str, outbox_path: str | None = None,
-                 cooldown_secs: int = 60, **trigger) -> StreamingQuery:
-    return (
-        stream_cooldown(candidates, cooldown_secs).writeStream.outputMode("append")
-        .foreachBatch(lambda rows, batch_id: emit_alerts(rows, batch_id, alerts_path, outbox_path))
-        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
-    )
+from weirgauge.operators.cooldown import apply_cooldown
+from weirgauge.schema import FIRED_COLUMNS
+from weirgauge.streaming.metrics_stream import (
+    DAY, FIRED_SCHEMA, current_candidates, days_between, last_tick_us, newest_moment,
+)
+from weirgauge.streaming.tables import BATCH, read_parts, read_table, write_batch
+
+OPEN = "open"  # 1: sent at the end of the input, for the tick that was still open
+SENT_SCHEMA = T.StructType([
+    *FIRED_SCHEMA.fields, T.StructField("payload", T.StringType()), T.StructField(DAY, T.DateType()),
+    T.StructField(OPEN, T.IntegerType())])
+ALERT = ["rule", "target_ip", "triggered_at"]
+
+
+def _at() -> Column:
+    return F.unix_micros("triggered_at")
+
+
+def deliver(spark: SparkSession, root: str, batch_id: int, from_us: int, upto_us: int, cooldown_secs: int = 60,
+            still_open: bool = False) -> None:
+    """Put alerts of the ticks in ``[from_us, upto_us]`` into the outbox, those that
+    were not sent before. What was sent in the cooldown before ``from_us`` still
+    suppresses; an alert that late flows call into question stays sent."""
+    quiet = cooldown_secs * MICROS
+    span = (from_us - quiet, upto_us)
+    path = f"{root}/outbox"
+    sent = read_parts(spark, path, SENT_SCHEMA, DAY, days_between(*span)).where(
+        (F.col(BATCH) < batch_id) | ((F.col(BATCH) == batch_id) & (F.col(OPEN) < int(still_open)))
+    ).where(_at().between(*span)).select(*FIRED_COLUMNS)
+    before = sent.where(_at() < from_us)
+    due = current_candidates(spark, root, batch_id, span).where(_at().between(from_us, upto_us))
+    fired = apply_cooldown(before.unionByName(due), cooldown_secs).where(_at() >= from_us)
+    mine, known = fired.alias("f"), sent.select(*ALERT).alias("s")
+    same = F.lit(True)
+    for column in ALERT:
+        same = same & F.col(f"f.{column}").eqNullSafe(F.col(f"s.{column}"))
+    new = mine.join(known, same, "left_anti")
+    payload = alert_outbox(new, "severity", "target_ip", "window_secs", "indicators")
+    day = date_of_ms(F.unix_millis("triggered_at"))
+    write_batch(payload.withColumn(DAY, day).withColumn(OPEN, F.lit(int(still_open))).select(*SENT_SCHEMA.fieldNames()),
+                path, batch_id, [DAY, OPEN])
+
+
+def deliver_batch(spark: SparkSession, root: str, batch_id: int, oldest_us: int, cooldown_secs: int = 60,
+                  tick_secs: int = TICK_SECS) -> None:
+    """Alerts of the ticks that a batch has touched or closed. A tick is closed when a
+    flow at or after it has come in."""
+    newest, former = newest_moment(spark, root, batch_id), newest_moment(spark, root, batch_id - 1)
+    step = tick_secs * MICROS
+    closed = newest // step * step
+    start = last_tick_us(oldest_us, tick_secs)
+    if former is not None:
+        start = min(start, former // step * step + step)
+    if start <= closed:
+        deliver(spark, root, batch_id, start, closed, cooldown_secs)
+
+
+def deliver_rest(spark: SparkSession, root: str, batch_id: int, cooldown_secs: int = 60, tick_secs: int = TICK_SECS) -> None:
+    """At the end of the input: alerts of the tick that is still open."""
+    newest = newest_moment(spark, root, batch_id)
+    if newest is not None and newest % (tick_secs * MICROS):
+        last = last_tick_us(newest, tick_secs)
+        deliver(spark, root, batch_id, last, last, cooldown_secs, still_open=True)
+
+
+def stored_alerts(spark: SparkSession, root: str, cooldown_secs: int = 60, tick_secs: int = TICK_SECS) -> DataFrame:
+    """Numbered alerts of all flows received so far, up to the tick of the newest: what
+    the batch engine finds in them, whenever they came in."""
+    newest = newest_moment(spark, root) or 0
+    due = current_candidates(spark, root).where(_at() <= last_tick_us(newest, tick_secs))
+    return number_alerts(apply_cooldown(due, cooldown_secs))
+
+
+def sent_alerts(spark: SparkSession, root: str) -> DataFrame:
+    """The outbox: payloads in the order of their ticks, each alert once."""
+    return read_table(spark, f"{root}/outbox", SENT_SCHEMA).select(*FIRED_COLUMNS, "payload")

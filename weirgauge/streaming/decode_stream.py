@@ -1,8 +1,8 @@
-"""Datagram stream → flow table.
+"""Datagrams of a micro-batch → flows.
 
-Templates are the only state. They are kept as a table of versions, not as
-keyed operator state: payloads of a busy exporter then need not meet in one
-task, and every micro-batch uses the same lookup as the batch decoder.
+Templates are the only memory. They are kept as a table of versions, not as keyed
+operator state: payloads of a busy exporter then need not meet in one task, and every
+micro-batch uses the same lookup as the batch decoder.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
 
 from weirgauge.operators.decode import decode_with_layouts
 from weirgauge.operators.sets import data_sets, split_sets
@@ -20,8 +19,7 @@ from weirgauge.operators.templates import (
     FIELD_LIST, SETS_PER_PACKET, TEMPLATE_KEY, parse_templates, template_history, template_layouts,
 )
 from weirgauge.sources.datagrams import classify_datagrams, version_gate
-from weirgauge.storage import settle
-from weirgauge.streaming.batches import read_newest, write_batch
+from weirgauge.streaming.tables import read_batch, write_batch
 
 TEMPLATE_SCHEMA = T.StructType([
     T.StructField("exporter_ip", T.StringType()),
@@ -35,29 +33,18 @@ TEMPLATE_SCHEMA = T.StructType([
 ])
 
 
-def decode_batch(datagrams: DataFrame, batch_id: int, flows_path: str, templates_path: str,
-                 accepted: Sequence[int] = ()) -> None:
+def decode_batch(datagrams: DataFrame, batch_id: int, templates_path: str, accepted: Sequence[int] = ()) -> DataFrame:
+    """Flows of the batch. The template versions known before and those received are
+    written as the batch's snapshot, which the next batch begins with."""
     spark = datagrams.sparkSession
-    classified = classify_datagrams(version_gate(datagrams, accepted))
-    sets = split_sets(classified, fixed_layout=True)
-    known = read_newest(spark, templates_path, TEMPLATE_SCHEMA, before=batch_id)
+    sets = split_sets(classify_datagrams(version_gate(datagrams, accepted)), fixed_layout=True)
+    known = read_batch(spark, templates_path, TEMPLATE_SCHEMA, batch_id - 1)
     received = parse_templates(sets).select(*TEMPLATE_SCHEMA.fieldNames())
-    history = settle(template_history(known.unionByName(received)), "template-history")
-    write_batch(decode_with_layouts(data_sets(sets), template_layouts(history)), flows_path, batch_id)
-    # Repeats of a template leave the history as it was. Only a real change
-    # writes a new snapshot, so snapshots grow with redefinitions alone.
-    if history.count() > known.count():
-        snapshot = history.select(
-            *TEMPLATE_KEY, F.call_function("div", F.col("from_pos"), F.lit(SETS_PER_PACKET)).alias("seq"),
-            (F.col("from_pos") % SETS_PER_PACKET).cast("int").alias("set_idx"),
-            F.lit(0).alias("tmpl_idx"), "fields", "total_length")
-        write_batch(snapshot, templates_path, batch_id)
-
-
-def start_decoding(datagrams: DataFrame, flows_path: str, templates_path: str, checkpoint: str,
-                   accepted: Sequence[int] = (), **trigger) -> StreamingQuery:
-    return (
-        datagrams.writeStream
-        .foreachBatch(lambda rows, batch_id: decode_batch(rows, batch_id, flows_path, templates_path, accepted))
-        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
-    )
+    history = template_history(known.unionByName(received))
+    snapshot = history.select(
+        *TEMPLATE_KEY, F.call_function("div", F.col("from_pos"), F.lit(SETS_PER_PACKET)).alias("seq"),
+        (F.col("from_pos") % SETS_PER_PACKET).cast("int").alias("set_idx"),
+        F.lit(0).alias("tmpl_idx"), "fields", "total_length")
+    write_batch(snapshot.select(*TEMPLATE_SCHEMA.fieldNames()), templates_path, batch_id)
+    written = read_batch(spark, templates_path, TEMPLATE_SCHEMA, batch_id)
+    return decode_with_layouts(data_sets(sets), template_layouts(template_history(written)))

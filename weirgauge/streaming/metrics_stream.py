@@ -1,164 +1,143 @@
-"""Flow stream → pane sums → window metrics and candidate alerts.
+"""Flows of a micro-batch → pane sums → metrics and candidates of the ticks they touch.
 
-Two chained queries. The first adds flows up into panes; its state holds open
-panes only. The second slides windows over pane sums, so a flow is never copied
-into the windows it belongs to. A window closes when the watermark passes its
-tick; all its groups then arrive in the same micro-batch and are assembled by
-the batch operators.
+Pane sums of every batch are kept as partial rows that add up. A batch computes anew
+the windows that its flows fall into, from its own and all earlier partial rows, with
+the operators of the batch engine. Whatever order flows arrive in, from however many
+sources, and however late, every window is complete after the batch that brings its
+last flow, nothing is dropped, and nothing waits for later traffic.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
 
 from weirgauge.config import TICK_SECS, WINDOW_SECS, DetectionConfig
-from weirgauge.functions.clock import MICROS, timestamp_of_us
-from weirgauge.functions.net import has_bits
-from weirgauge.functions.numbers import saturating_minus
-from weirgauge.operators.metrics import (
-    ACK, DST, SRC, SYN, TCP, TRAFFIC_SUMS, WINDOW_KEY, assemble_metrics, rank_talkers, window_counters,
-)
-from weirgauge.operators.rules import route_rules, widest_scanner, with_scanners
-from weirgauge.operators.ticks import event_us, first_tick, pane_moment, pane_secs
-from weirgauge.streaming.batches import write_batch
-
-# What a pane row is about: an endpoint side, a protocol, or a (source, port) contact.
-PROTOCOL = 2
-CONTACT = 3
-PANE_KEY = ["topic", "key", "sub"]
-PANE_SCHEMA = T.StructType([
-    T.StructField("moment", T.TimestampType()),
-    T.StructField("topic", T.IntegerType()),
-    T.StructField("key", T.LongType()),
-    T.StructField("sub", T.IntegerType()),
-    *[T.StructField(name, T.LongType()) for name in TRAFFIC_SUMS],
-])
-
-
-def pane_stream(flows: DataFrame, windows: Sequence[int] = WINDOW_SECS, tick_secs: int = TICK_SECS,
-                delay: str = "10 seconds") -> DataFrame:
-    """Append-mode stream of closed pane sums; later flows are dropped."""
-    width = pane_secs(windows, tick_secs)
-    is_tcp = F.col("protocol") == TCP
-    syn_only = is_tcp & has_bits(F.col("tcp_flags"), SYN) & ~has_bits(F.col("tcp_flags"), ACK)
+from weirgauge.functions.clock import MICROS, date_of_ms, timestamp_of_us
+from weirgauge.operators.flow_queries import exporter_last_seen, flow_totals
+from weirgauge.operators.panes import PANE_SCHEMA, pane_contacts, pane_metrics, pane_rows
+from weirgauge.operators.rules import route_rules, scan_windows, scanners, with_scanners
+from weirgauge.operators.ticks import expand_windows
+from weirgauge.schema import ALERT_SCHEMA, FIRED_COLUMNS, METRIC_COLUMNS, WINDOW_METRICS_SCHEMA
+from weirgauge.streaming.tables import BATCH, read_batch, read_parts, read_table, write_batch
+
+DAY = "day"  # of a pane moment or a tick
+_PANES = T.StructType([*PANE_SCHEMA.fields, T.StructField(DAY, T.DateType())])
+_METRICS = T.StructType([*WINDOW_METRICS_SCHEMA.fields, T.StructField(DAY, T.DateType())])
+FIRED_SCHEMA = T.StructType([f for f in ALERT_SCHEMA.fields if f.name in FIRED_COLUMNS])
+_CANDIDATES = T.StructType([*FIRED_SCHEMA.fields, T.StructField(DAY, T.DateType())])
+PROGRESS_SCHEMA = T.StructType([T.StructField("newest_us", T.LongType())])
+EXPORTERS_SCHEMA = T.StructType([T.StructField("exporter_ip", T.StringType()), T.StructField("last_seen", T.TimestampType())])
+TOTALS_SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in ("flows", "packets", "bytes")])
+
+
+def _day(micros: Column) -> Column:
+    return date_of_ms(F.call_function("div", micros, F.lit(1000)))
+
+
+def days_between(low_us: int, high_us: int) -> list[dt.date]:
+    first, last = (dt.date(1970, 1, 1) + dt.timedelta(microseconds=us) for us in (low_us, high_us))
+    return [first + dt.timedelta(days=n) for n in range((last - first).days + 1)]
+
+
+def panes_around(spark: SparkSession, path: str, batch_id: int, low_us: int, high_us: int) -> DataFrame:
+    """Pane rows of all batches up to this one between two moments. Only the folders
+    of their days are listed."""
+    rows = read_parts(spark, path, _PANES, DAY, days_between(low_us, high_us))
+    return rows.where((F.col(BATCH) <= batch_id) & F.col("moment_us").between(low_us, high_us)).drop(BATCH, DAY)
+
+
+def absorb_flows(flows: DataFrame, batch_id: int, root: str, config: DetectionConfig = DetectionConfig(),
+                 windows: Sequence[int] = WINDOW_SECS, tick_secs: int = TICK_SECS) -> tuple[int, int] | None:
+    """Add the flows of one batch to the tables under ``root``. Returns the oldest and
+    newest moment of the batch, None without flows."""
+    spark, scanned = flows.sparkSession, scan_windows(config)
+    panes = pane_rows(flows, windows, tick_secs, contacts=bool(scanned))
+    write_batch(panes.withColumn(DAY, _day(F.col("moment_us"))), f"{root}/panes", batch_id, [DAY])
+    own = read_batch(spark, f"{root}/panes", _PANES, batch_id, [DAY])
+    low, high = own.agg(F.min("moment_us"), F.max("moment_us")).first()
+    newest = [m for m in (newest_moment(spark, root, batch_id - 1), high) if m is not None]
+    if newest:
+        write_batch(spark.createDataFrame([(max(newest),)], PROGRESS_SCHEMA), f"{root}/progress", batch_id)
+    if low is None:
+        return None
+
+    touched = expand_windows(own.select("moment_us").distinct(), "moment_us", windows, tick_secs).distinct().select(
+        "window_secs", timestamp_of_us(F.col("tick_us")).alias("tick"))
+    # A touched window reaches back to W before its tick, which is at most W after.
+    reach = (max(windows) + tick_secs) * MICROS
+    around = panes_around(spark, f"{root}/panes", batch_id, low - reach, high + reach)
+    metrics = pane_metrics(around, windows, tick_secs, keep_empty=False).join(touched, ["window_secs", "tick"], "left_semi")
+    by_day = _day(F.unix_micros("tick"))
+    write_batch(metrics.select(*METRIC_COLUMNS).withColumn(DAY, by_day), f"{root}/metrics", batch_id, [DAY])
+    watched = read_batch(spark, f"{root}/metrics", _METRICS, batch_id, [DAY]).drop(DAY)
+    if scanned:
+        watched = with_scanners(watched, scanners(pane_contacts(around, scanned, tick_secs), config, tick_secs))
+    found = route_rules(watched, config).withColumn(DAY, _day(F.unix_micros("triggered_at")))
+    write_batch(found, f"{root}/candidates", batch_id, [DAY])
+    return low, high
+
+
+def add_totals(flows: DataFrame, batch_id: int, root: str) -> None:
+    """Totals and last receive time per exporter of one batch."""
+    write_batch(flow_totals(flows), f"{root}/totals", batch_id)
+    write_batch(exporter_last_seen(flows), f"{root}/exporters", batch_id)
+
+
+# -- views ----------------------------------------------------------------------
+
+def _between(spark: SparkSession, path: str, schema: T.StructType, span: tuple[int, int] | None) -> DataFrame:
+    if span is None:
+        return read_table(spark, path, schema)
+    return read_parts(spark, path, schema, DAY, days_between(*span))
+
+
+def newest_batches(spark: SparkSession, root: str, upto: int | None = None, span: tuple[int, int] | None = None) -> DataFrame:
+    """The batch that computed each (window, tick) last, of all days or those of ``span``."""
+    rows = _between(spark, f"{root}/metrics", _METRICS, span)
+    if upto is not None:
+        rows = rows.where(F.col(BATCH) <= upto)
+    return rows.groupBy("window_secs", "tick").agg(F.max(BATCH).alias(BATCH))
+
+
+def current_metrics(spark: SparkSession, root: str) -> DataFrame:
+    """One metrics row per (window, tick) that holds flows."""
+    rows = read_table(spark, f"{root}/metrics", _METRICS)
+    return rows.join(newest_batches(spark, root), ["window_secs", "tick", BATCH], "left_semi").select(*METRIC_COLUMNS)
+
+
+def newest_moment(spark: SparkSession, root: str, batch_id: int | None = None) -> int | None:
+    """Pane moment of the newest flow so far, or as of a batch, in microseconds."""
+    path = f"{root}/progress"
+    rows = read_table(spark, path, PROGRESS_SCHEMA) if batch_id is None else read_batch(spark, path, PROGRESS_SCHEMA, batch_id)
+    return rows.agg(F.max("newest_us")).first()[0]
+
+
+def current_candidates(spark: SparkSession, root: str, upto: int | None = None, span: tuple[int, int] | None = None) -> DataFrame:
+    """Candidates as the latest computation of their tick has them."""
+    rows = _between(spark, f"{root}/candidates", _CANDIDATES, span)
+    latest = newest_batches(spark, root, upto, span).withColumnRenamed("tick", "triggered_at")
+    return rows.join(latest, ["window_secs", "triggered_at", BATCH], "left_semi").select(*FIRED_COLUMNS)
+
+
+def last_tick_us(moment_us: int, tick_secs: int = TICK_SECS) -> int:
+    """The tick that sees a moment first."""
+    step = tick_secs * MICROS
+    return -(-moment_us // step) * step
+
+
+def stored_totals(spark: SparkSession, root: str) -> DataFrame:
+    """Cumulative flows, packets and bytes of all batches."""
     zero = F.lit(0).cast("bigint")
+    return read_table(spark, f"{root}/totals", TOTALS_SCHEMA).agg(
+        *[F.coalesce(F.sum(c), zero).alias(c) for c in TOTALS_SCHEMA.fieldNames()])
+
 
-    def topic(number: int, key, sub=None):
-        full = number == PROTOCOL
-        return F.struct(
-            F.lit(number).alias("topic"), key.cast("bigint").alias("key"),
-            (F.lit(0) if sub is None else sub).cast("int").alias("sub"),
-            (F.lit(1).cast("bigint") if full else zero).alias("flows"),
-            (F.col("packets") if full else zero).alias("packets"),
-            (F.col("bytes") if number != CONTACT else zero).alias("bytes"),
-            (F.when(syn_only, 1).otherwise(0).cast("bigint") if full else zero).alias("syn_only_flows"),
-            (F.when(is_tcp, saturating_minus(F.col("end_time"), F.col("start_time"))).otherwise(zero)
-             if full else zero).alias("duration_ms"),
-        )
-
-    topics = F.array(
-        topic(SRC, F.col("src_ip")), topic(DST, F.col("dst_ip")),
-        topic(PROTOCOL, F.col("protocol")), topic(CONTACT, F.col("src_ip"), F.col("dst_port")))
-    watched = flows.withWatermark("received_at", delay)
-    rows = watched.select(
-        "received_at", pane_moment(event_us(watched), width).alias("moment_us"),
-        F.explode(topics).alias("t")).select("received_at", "moment_us", "t.*")
-    return (
-        rows.groupBy(F.window("received_at", f"{width} seconds"), "moment_us", *PANE_KEY)
-        .agg(*[F.sum(c).alias(c) for c in TRAFFIC_SUMS])
-        .select(timestamp_of_us(F.col("moment_us")).alias("moment"), *PANE_KEY, *TRAFFIC_SUMS)
-    )
-
-
-def _slide(panes: DataFrame, window_secs: int, tick_secs: int) -> DataFrame:
-    """Windows closed at both ends, ``[T - W, T + 1 µs)`` for each tick T.
-
-    A window shorter than the tick spacing leaves gaps: rows in a gap go, the
-    rest falls into the one tick that follows.
-    """
-    every = f"{tick_secs} seconds"
-    if window_secs >= tick_secs:
-        lead = (tick_secs - window_secs % tick_secs) % tick_secs
-        span = F.window("moment", f"{window_secs} seconds 1 microsecond", every, f"{lead} seconds")
-    else:
-        moment = F.unix_micros("moment")
-        panes = panes.where(first_tick(moment, tick_secs) - moment <= window_secs * MICROS)
-        span = F.window("moment", every, every, "1 microsecond")
-    return panes.select(
-        span.alias("span"), F.lit(window_secs).cast("bigint").alias("window_secs"), *PANE_KEY, *TRAFFIC_SUMS)
-
-
-def window_stream(panes: DataFrame, windows: Sequence[int] = WINDOW_SECS, tick_secs: int = TICK_SECS,
-                  delay: str = "10 seconds") -> DataFrame:
-    """Append-mode stream of closed (window, tick, topic) sums."""
-    watched = panes.withWatermark("moment", delay)
-    slid = None
-    for size in windows:
-        part = _slide(watched, size, tick_secs)
-        slid = part if slid is None else slid.unionByName(part)
-    return (
-        slid.groupBy("span", "window_secs", *PANE_KEY).agg(*[F.sum(c).alias(c) for c in TRAFFIC_SUMS])
-        .select("window_secs",
-                (F.unix_micros("span.end") - 1).alias("tick_us"),
-                *PANE_KEY, *TRAFFIC_SUMS)
-    )
-
-
-def metrics_of_batch(closed: DataFrame) -> DataFrame:
-    """Closed window sums of one micro-batch → metrics rows."""
-    counters = window_counters(
-        closed.where(F.col("topic") == PROTOCOL)
-        .select(*WINDOW_KEY, F.col("key").cast("int").alias("protocol"), *TRAFFIC_SUMS))
-    ends = closed.where(F.col("topic").isin(SRC, DST)).select(
-        *WINDOW_KEY, F.col("topic").alias("side"), F.col("key").alias("ip"), "bytes")
-    addresses = ends.groupBy(*WINDOW_KEY, "side").agg(F.count(F.lit(1)).alias("addresses"))
-    return assemble_metrics(counters, addresses, rank_talkers(ends))
-
-
-def scanners_of_batch(closed: DataFrame, config: DetectionConfig) -> DataFrame:
-    c = config.port_scan
-    contacts = closed.where((F.col("topic") == CONTACT) & (F.col("window_secs") == c.window_secs))
-    wide = contacts.groupBy(*WINDOW_KEY, F.col("key").alias("scan_ip")).agg(
-        F.count(F.lit(1)).alias("scan_ports")).where(F.col("scan_ports") >= c.min_unique_dst_ports)
-    per_tick = wide.select("window_secs", timestamp_of_us(F.col("tick_us")).alias("tick"), "scan_ip", "scan_ports")
-    return per_tick if c.all_sources else widest_scanner(per_tick)
-
-
-def emit_windows(closed: DataFrame, batch_id: int, metrics_path: str, candidates_path: str,
-                 config: DetectionConfig) -> None:
-    closed.persist()
-    try:
-        metrics = metrics_of_batch(closed)
-        write_batch(metrics, metrics_path, batch_id)
-        watched = with_scanners(metrics, scanners_of_batch(closed, config))
-        write_batch(route_rules(watched, config), candidates_path, batch_id)
-    finally:
-        closed.unpersist()
-
-
-def start_panes(flows: DataFrame, path: str, checkpoint: str, windows: Sequence[int] = WINDOW_SECS,
-                tick_secs: int = TICK_SECS, delay: str = "10 seconds", **trigger) -> StreamingQuery:
-    return (
-        pane_stream(flows, windows, tick_secs, delay).writeStream.outputMode("append").format("parquet")
-        .option("path", path).option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"processingTime": "10 seconds"})).start()
-    )
-
-
-def read_pane_stream(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(PANE_SCHEMA).parquet(path)
-
-
-def start_windows(panes: DataFrame, metrics_path: str, candidates_path: str, checkpoint: str,
-                  config: DetectionConfig = DetectionConfig(), windows: Sequence[int] = WINDOW_SECS,
-                  tick_secs: int = TICK_SECS, delay: str = "10 seconds", **trigger) -> StreamingQuery:
-    return (
-        window_stream(panes, windows, tick_secs, delay).writeStream.outputMode("append")
-        .foreachBatch(lambda rows, batch_id: emit_windows(rows, batch_id, metrics_path, candidates_path, config))
-        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
-    )
+def stored_exporters(spark: SparkSession, root: str) -> DataFrame:
+    """Last receive time of every exporter."""
+    return read_table(spark, f"{root}/exporters", EXPORTERS_SCHEMA).groupBy("exporter_ip").agg(
+        F.max("last_seen").alias("last_seen"))

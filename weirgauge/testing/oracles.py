@@ -342,7 +342,6 @@ def _store(body: str) -> str:
     return detected(STORED, body=body)
 
 
-_SETTLED = " where {tick} <= (select max(received_at_ms) // 10000 * 10000 - 60000 from {flows})"
 _TIES = FLOW_FIELDS
 _HISTORY = (f"select {ip('src_ip')} as src_ip, {ip('dst_ip')} as dst_ip, src_port, dst_port, protocol, packets, bytes, "
             f"{_second('received_at_ms')} || 'Z' as received_at, count(*) over () as total from "
@@ -481,8 +480,9 @@ ORACLES: dict[str, str] = {
     "log_rate": sql(LOGS, body=(
         "select tick_ms, level, count(*) / 60.0::double as rate from (select level, unnest(generate_series("
         "(ts_ms + 14999) // 15000 * 15000, (ts_ms + 59999) // 15000 * 15000, 15000)) as tick_ms from logs) group by all")),
-    "stream_window_metrics": windowed(
-        f"select {ALL_METRIC_FIELDS} from busy" + _SETTLED.format(tick="tick_ms", flows="all_flows")),
-    "stream_alerts_from_datagrams": detected(STORED, flows="all_decoded", body=(
-        f"select {STORED_FIELDS} from stored" + _SETTLED.format(tick="triggered_ms", flows="all_decoded"))),
+    "stream_window_metrics": windowed(f"select {ALL_METRIC_FIELDS} from busy"),
+    "stream_window_metrics_out_of_order": windowed(f"select {ALL_METRIC_FIELDS} from busy"),
+    "stream_alerts_from_datagrams": detected(STORED, flows="all_decoded", body=f"select {STORED_FIELDS} from stored"),
+    "stream_totals": sql(FLOWS, body="select count(*) as flows, cast(sum(packets) as bigint) as packets, "
+                                     "cast(sum(bytes) as bigint) as bytes from all_flows"),
 }
