@@ -18,7 +18,7 @@ shards. A chunk closes at ``CHUNK_IDS`` ids; a longer document is a chunk alone.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,33 +30,94 @@ from weirgauge.llm.words import small_batches, split_words
 
 CHUNK_IDS = 1 << 18
 END_ID = 2
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 KEPT_BYTES = 64
+RUNS_PER_CALL = 5_000
+MARKS = ".,;:!?"
 SCHEMA = "shard int, chunk int, first_id long, n_ids long, doc_ids array<{id}>, boundaries binary, width int, ids binary"
 
 
 class WordIds(dict):
-    """Ids of single words, little-endian in 32 bits. The tokenizer drops white space
-    and looks at words one by one, so the ids of a text are those of its words. Keeps
-    the words it has seen, up to a bound that only decides what is computed again."""
+    """Ids of single words, little-endian in 32 bits.
+
+    The tokenizer drops white space and looks at words one by one, so the ids of a
+    text are those of its words. Within a word it looks at runs of letters and of
+    marks one by one, in lower case: words that differ in case or punctuation share
+    the ids of their runs, and all runs new to a batch are encoded in one call. What
+    is kept is bounded; the bound only decides what is computed again.
+    """
 
     def __init__(self, tokenizer_file: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(tokenizer_file)
+        self._runs: dict[str, bytes] = {}
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self._tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        packed = np.array(ids, "<u4").tobytes()
+        packed = self._encode(word.decode("utf-8", "replace"))
         if len(word) <= KEPT_BYTES:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
             self[word] = packed
         return packed
 
-    def of(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, split_words(text)))
+    def of_batch(self, texts: Iterable[str | None]) -> list[bytes]:
+        """Ids of each text of a batch."""
+        split = [_words(text) for text in texts]
+        self._learn(split)
+        return [b"".join(map(self.__getitem__, words)) for words in split]
+
+    def _learn(self, split: list[list[bytes]]) -> None:
+        if len(self) > KEPT_WORDS or len(self._runs) > KEPT_WORDS:
+            self.clear()
+            self._runs.clear()
+        new: dict[bytes, tuple[str, ...]] = {}
+        for words in split:
+            for word in set(words):
+                if word not in self and word not in new and len(word) <= KEPT_BYTES and (runs := _runs_of(word)):
+                    new[word] = runs
+        unknown = [*{run for runs in new.values() for run in runs}.difference(self._runs)]
+        for at in range(0, len(unknown), RUNS_PER_CALL):
+            self._encode_runs(unknown[at:at + RUNS_PER_CALL])
+        known = self._runs
+        for word, runs in new.items():
+            self[word] = known[runs[0]] if len(runs) == 1 else known[runs[0]] + known[runs[1]]
+
+    def _encode_runs(self, runs: list[str]) -> None:
+        found = self._tokenizer.encode(" ".join(runs), add_special_tokens=False)
+        packed, owners = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids, np.int64)
+        first = (4 * np.flatnonzero(np.diff(owners, prepend=-1))).tolist()
+        if len(first) != len(runs):  # a run is not one unit to this tokenizer
+            self._runs.update((r, self._encode(r)) for r in runs)
+            return
+        for run, start, end in zip(runs, first, [*first[1:], len(packed)]):
+            self._runs[run] = packed[start:end]
+
+
+def _words(text: str | None) -> list[bytes]:
+    """Words of a text, A-Z in lower case where that surely changes no id: without
+    special tokens and without letters that could combine with others."""
+    if not text:
+        return []
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return split_words(text)
+    words = text.encode()
+    return (words if b"<|" in words else words.lower()).split()
+
+
+def _runs_of(word: bytes) -> tuple[str, ...]:
+    """The runs of a word of Latin-1 letters, with one ASCII mark at most at its end;
+    empty for any other, which the tokenizer has to cut itself."""
+    text = word.decode("utf-8", "replace").lower()
+    if not text.isascii() and max(text) > "\xff":
+        return ()
+    if text.isalpha():
+        return (text,)
+    return (text[:-1], text[-1]) if text[-1] in MARKS and text[:-1].isalpha() else ()
 
 
 def _chunks(batches: Iterator[pd.DataFrame], tokenizer_file: str, end_id: int, width: int) -> Iterator[pd.DataFrame]:
@@ -77,8 +138,9 @@ def _chunks(batches: Iterator[pd.DataFrame], tokenizer_file: str, end_id: int, w
             "boundaries": encode(starts), "width": width, "ids": ids.astype(wide).tobytes()}])
 
     for batch in batches:
-        for doc_id, text in zip(batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), batch["text"]):
-            part = word_ids.of(text) + end
+        given = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None)
+        for doc_id, part in zip(given, word_ids.of_batch(batch["text"])):
+            part += end
             if doc_ids and starts[-1] + len(part) // 4 > CHUNK_IDS:
                 yield close()
                 first, chunk = first + starts[-1], chunk + 1
