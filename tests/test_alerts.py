@@ -36,6 +36,7 @@ def test_append_continues_ids(fired, spark, tmp_path):
     path = str(tmp_path / "alerts")
     A.append_alerts(fired.where("rule = 'udp_flood'"), path)
     A.append_alerts(fired.where("rule <> 'udp_flood'"), path)
+    A.append_alerts(fired, path)  # a repeated call adds nothing
     table = A.read_alerts(spark, path)
     assert sorted(ids(table)) == [1, 2, 3, 4, 5]
     assert {r.rule for r in table.where("id <= 2").collect()} == {"udp_flood"}

@@ -9,7 +9,7 @@ from weirgauge.functions.clock import parse_rfc3339, rfc3339_text
 from weirgauge.functions.net import ip_literal, ip_number, ip_text
 from weirgauge.operators.prefix import running_totals
 from weirgauge.schema import ALERT_COLUMNS, ALERT_SCHEMA
-from weirgauge.storage import path_exists
+from weirgauge.storage import read_if_there
 
 # The whole text is a JSON array of strings.
 _BLANK = r"[ \t\r\n]*+"
@@ -22,24 +22,29 @@ RECENT_ALERTS = 100
 
 
 def number_alerts(fired: DataFrame, last_id: int = 0) -> DataFrame:
-    """Give fired alerts consecutive ids after ``last_id``, in (time, rule, target) order."""
-    day = F.call_function("div", F.unix_micros("triggered_at"), F.lit(86_400_000_000))
+    """Give fired alerts consecutive ids after ``last_id``, in (time, rule, target)
+    order. Hours are numbered side by side."""
+    hour = F.call_function("div", F.unix_micros("triggered_at"), F.lit(3_600_000_000))
     order = [F.asc("triggered_at"), F.asc("rule"), F.asc_nulls_first("target_ip")]
-    numbered = running_totals(fired, day, order, {"id": F.lit(1).cast("bigint")})
+    numbered = running_totals(fired, hour, order, {"id": F.lit(1).cast("bigint")})
     return numbered.withColumn("id", F.col("id") + last_id).select(*ALERT_COLUMNS)
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ALERT_SCHEMA).parquet(path)
+    return read_if_there(spark, path, ALERT_SCHEMA)
 
 
 def append_alerts(fired: DataFrame, path: str) -> None:
-    """Append fired alerts to the alert table with auto-incremented ids."""
-    spark = fired.sparkSession
-    last = 0
-    if path_exists(spark, path):
-        last = read_alerts(spark, path).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    number_alerts(fired, last).write.mode("append").parquet(path)
+    """Append fired alerts to the alert table with auto-incremented ids. Alerts that
+    the table has, by rule, target and time, are left out, so that a repeated call
+    changes nothing. One writer at a time."""
+    stored = read_alerts(fired.sparkSession, path)
+    last = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    same = F.lit(True)
+    for column in ("rule", "target_ip", "triggered_at"):
+        same = same & F.col(f"f.{column}").eqNullSafe(F.col(f"s.{column}"))
+    new = fired.alias("f").join(stored.alias("s"), same, "left_anti")
+    number_alerts(new, last).write.mode("append").parquet(path)
 
 
 def newest_first(alerts: DataFrame, limit: int) -> DataFrame:

@@ -132,6 +132,14 @@ def with_rates(counters: DataFrame) -> DataFrame:
     return counters
 
 
+def all_rates(flows: DataFrame, windows=WINDOW_SECS, tick_secs: int = TICK_SECS) -> DataFrame:
+    """Counts and rates of every tick between the first and the last flow; quiet ones
+    are zero. Neither addresses nor talkers are looked at."""
+    spine = with_tick(tick_spine(flows, windows, tick_secs))
+    counted = spine.join(window_counts(flows, windows, tick_secs), ["window_secs", "tick"], "left")
+    return with_rates(counted.na.fill(0, ["flows", "packets", "bytes"]))
+
+
 def protocol_distribution(flows: DataFrame, windows=WINDOW_SECS, tick_secs: int = TICK_SECS) -> DataFrame:
     per_protocol = protocol_windows(flows, windows, tick_secs)
     return with_tick(per_protocol.select(*WINDOW_KEY, "protocol", "flows"))

@@ -14,13 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weirgauge.config import TICK_SECS, TOP_TALKERS, WINDOW_SECS
-from weirgauge.functions.clock import MICROS
 from weirgauge.functions.net import has_bits
 from weirgauge.functions.numbers import saturating_minus
 from weirgauge.operators.metrics import (
     ACK, DST, SRC, SYN, TCP, TRAFFIC_SUMS, contact_spans, metrics_from_panes,
 )
-from weirgauge.operators.ticks import event_us, first_tick, pane_moment, pane_secs
+from weirgauge.operators.ticks import event_us, first_tick, pane_moment, pane_secs, unrolled_ticks
 
 # Topics besides the endpoint sides SRC and DST.
 PROTOCOL = 2
@@ -83,14 +82,7 @@ def pane_contacts(panes: DataFrame, windows: Sequence[int], tick_secs: int = TIC
 
 
 def pane_spine(panes: DataFrame, windows: Sequence[int] = WINDOW_SECS, tick_secs: int = TICK_SECS) -> DataFrame:
-    """Every (window size, tick) from the first to the last tick of the data. A pane's
-    moment has the first tick of its flows. The timeline is cut into stretches that
-    are unrolled in parallel."""
-    step = tick_secs * MICROS
-    stretch = 1024 * step
-    low, high = first_tick(F.min("moment_us"), tick_secs), first_tick(F.max("moment_us"), tick_secs)
-    bounds = panes.agg(low.alias("low"), high.alias("high")).where(F.col("low").isNotNull())
-    sizes = F.array(*[F.lit(w).cast("bigint") for w in windows])
-    stretches = bounds.select("high", F.explode(F.sequence("low", "high", F.lit(stretch))).alias("begin")).repartition("begin")
-    ticks = F.sequence(F.col("begin"), F.least(F.col("high"), F.col("begin") + stretch - step), F.lit(step))
-    return stretches.select(F.explode(ticks).alias("tick_us")).select(F.explode(sizes).alias("window_secs"), "tick_us")
+    """``tick_spine`` from pane rows: a pane's moment has the first tick of its flows."""
+    return unrolled_ticks(panes.agg(
+        first_tick(F.min("moment_us"), tick_secs).alias("low"), first_tick(F.max("moment_us"), tick_secs).alias("high")),
+        windows, tick_secs)

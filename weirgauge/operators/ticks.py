@@ -76,16 +76,23 @@ def assign_windows(
     return expanded.withColumn("tick", timestamp_of_us(F.col("tick_us"))).drop("tick_us")
 
 
+def unrolled_ticks(bounds: DataFrame, windows: Sequence[int], tick_secs: int) -> DataFrame:
+    """Every (window size, tick) from ``low`` to ``high``, two ticks in microseconds in
+    a single row. The timeline is cut into stretches that tasks unroll side by side."""
+    step = tick_secs * MICROS
+    stretch = 1024 * step
+    sizes = F.array(*[F.lit(w).cast("bigint") for w in windows])
+    stretches = bounds.where(F.col("low").isNotNull()).select(
+        "high", F.explode(F.sequence("low", "high", F.lit(stretch))).alias("begin")).repartition("begin")
+    ticks = F.sequence(F.col("begin"), F.least(F.col("high"), F.col("begin") + stretch - step), F.lit(step))
+    return stretches.select(F.explode(ticks).alias("tick_us")).select(F.explode(sizes).alias("window_secs"), "tick_us")
+
+
 def tick_spine(
     flows: DataFrame, windows: Sequence[int] = WINDOW_SECS, tick_secs: int = TICK_SECS
 ) -> DataFrame:
     """Every (window size, tick) from the first to the last tick of the data."""
-    bounds = flows.agg(F.min("received_at").alias("low"), F.max("received_at").alias("high"))
-    sizes = F.array(*[F.lit(w).cast("bigint") for w in windows])
-    return (
-        bounds.where(F.col("low").isNotNull())
-        .select(F.explode(F.sequence(
-            first_tick(F.unix_micros("low"), tick_secs), first_tick(F.unix_micros("high"), tick_secs),
-            F.lit(tick_secs * MICROS))).alias("tick_us"))
-        .select(F.explode(sizes).alias("window_secs"), "tick_us")
-    )
+    moment = event_us(flows)
+    return unrolled_ticks(flows.agg(
+        first_tick(F.min(moment), tick_secs).alias("low"), first_tick(F.max(moment), tick_secs).alias("high")),
+        windows, tick_secs)

@@ -12,7 +12,7 @@ from weirgauge.functions.clock import MICROS, timestamp_of_us
 from weirgauge.functions.net import ip_text
 from weirgauge.functions.numbers import ceil_to, floor_to
 from weirgauge.operators.coverage import at_ticks, count_spans, place_partials, presence_spans
-from weirgauge.operators.metrics import latest_snapshot, with_tick
+from weirgauge.operators.metrics import latest_snapshot, window_metrics, with_tick
 from weirgauge.operators.prefix import running_totals
 from weirgauge.operators.rules import RULES
 from weirgauge.operators.ticks import event_us, first_tick, pane_moment, pane_secs
@@ -35,6 +35,26 @@ def exporters_per_tick(flows: DataFrame, tick_secs: int = TICK_SECS) -> DataFram
     return with_tick(at_ticks(counted, tick_secs)).select("tick", "active_exporters")
 
 
+def newest_flows(flows: DataFrame, reach_secs: int = EXPORTER_ACTIVE_SECS, tick_secs: int = TICK_SECS) -> DataFrame:
+    """Flows that the windows of the newest tick reach back to. Views of the newest row
+    need no others; the bound is a plain filter, so old files are skipped."""
+    newest = flows.agg(F.unix_micros(F.max("received_at"))).first()[0]
+    if newest is None:
+        return flows
+    step = tick_secs * MICROS
+    return flows.where(F.col("received_at") >= timestamp_of_us(F.lit(-(-newest // step) * step - reach_secs * MICROS)))
+
+
+def newest_gauges(flows: DataFrame, window_secs: int = SUMMARY_WINDOW, tick_secs: int = TICK_SECS) -> DataFrame:
+    """Gauge and exporter samples of the newest tick, from the flows it reaches."""
+    recent = newest_flows(flows, max(window_secs, EXPORTER_ACTIVE_SECS), tick_secs)
+    newest = latest_snapshot(window_metrics(recent, (window_secs,), tick_secs))
+    exporters = exporters_per_tick(recent, tick_secs).join(newest.select("tick"), "tick").select(
+        "tick", F.lit("active_exporters").alias("metric"), _labels().alias("labels"),
+        F.col("active_exporters").cast("double").alias("value"))
+    return gauge_samples(newest).unionByName(exporters)
+
+
 def summary(metrics: DataFrame, flows: DataFrame, tick_secs: int = TICK_SECS) -> DataFrame:
     """Headline numbers of the newest short window; no row when there is no data."""
     newest = latest_snapshot(metrics.where(F.col("window_secs") == SUMMARY_WINDOW))
@@ -150,9 +170,9 @@ def total_alerts(fired: DataFrame) -> DataFrame:
     return fired.agg(F.count(F.lit(1)).alias("alerts"))
 
 
-def rate_series(metrics: DataFrame, measure: str) -> DataFrame:
+def rate_series(rates: DataFrame, measure: str) -> DataFrame:
     """Time series of one per-second rate for all window sizes."""
-    return metrics.select("tick", "window_secs", F.col(measure).alias("value"))
+    return rates.select("tick", "window_secs", F.col(measure).alias("value"))
 
 
 def parse_log_lines(lines: DataFrame) -> DataFrame:

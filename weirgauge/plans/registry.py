@@ -355,7 +355,7 @@ def _(spark, folder):
 
 @query("latest_snapshot")
 def _(spark, folder):
-    return _full_metrics(M.latest_snapshot(M.window_metrics(event_flows(spark, folder))))
+    return _full_metrics(M.latest_snapshot(M.window_metrics(V.newest_flows(event_flows(spark, folder)))))
 
 
 @query("snapshot_event")
@@ -487,13 +487,13 @@ def _(spark, folder):
 
 @query("summary")
 def _(spark, folder):
-    flows = event_flows(spark, folder)
+    flows = V.newest_flows(event_flows(spark, folder))
     return V.summary(M.window_metrics(flows, (10,)), flows)
 
 
 @query("top_talkers_view")
 def _(spark, folder):
-    return V.top_talkers_view(M.window_metrics(event_flows(spark, folder), (60,)))
+    return V.top_talkers_view(M.window_metrics(V.newest_flows(event_flows(spark, folder)), (60,)))
 
 
 def _samples(spark: SparkSession, folder: str) -> DataFrame:
@@ -519,7 +519,7 @@ def _(spark, folder):
 @query("dashboard_stats")
 def _(spark, folder):
     wanted = ["flows_per_sec", "bytes_per_sec", "unique_src_ips", "unique_dst_ips", "active_exporters"]
-    return V.latest_samples(_samples(spark, folder), wanted, "10s")
+    return V.latest_samples(V.newest_gauges(event_flows(spark, folder)), wanted, "10s")
 
 
 @query("dashboard_total_alerts")
@@ -537,7 +537,7 @@ def _(spark, folder):
 
 def _series_query(measure: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return _flat_tick(V.rate_series(M.window_metrics(event_flows(spark, folder)), measure))
+        return _flat_tick(V.rate_series(M.all_rates(event_flows(spark, folder)), measure))
     return run
 
 

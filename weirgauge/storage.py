@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -22,14 +24,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def file_system(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    files, target = file_system(spark, path)
-    return files.exists(target)
+def read_if_there(spark: SparkSession, path: str, schema: T.StructType, folders: str | None = None) -> DataFrame:
+    """The Parquet table at ``path``, or no rows if nothing is there yet. ``folders``
+    is a pattern of partition folders, to list these only."""
+    where = path if folders is None else f"{path.rstrip('/')}/{folders}"
+    try:
+        return spark.read.schema(schema).option("basePath", path).parquet(where)
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def shared_path(spark: SparkSession, label: str) -> str:

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weirgauge.storage import read_if_there
+
 BATCH = "batch_id"
 
 
@@ -24,16 +25,11 @@ def write_batch(rows: DataFrame, path: str, batch_id: int, by: Sequence[str] = (
      .option("partitionOverwriteMode", "dynamic").partitionBy(*by, BATCH).parquet(path))
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType, below: str = "") -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: T.StructType, below: str | None = None) -> DataFrame:
     """What batches have written so far, with ``batch_id``. ``below`` is a pattern of
     partition folders, to list these only. ``schema`` includes the ``by`` columns."""
     full = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
-    try:
-        return spark.read.schema(full).option("basePath", path).parquet(f"{path.rstrip('/')}/{below}".rstrip("/"))
-    except AnalysisException as err:
-        if err.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], full)
+    return read_if_there(spark, path, full, below)
 
 
 def read_batch(spark: SparkSession, path: str, schema: T.StructType, batch_id: int, by: Sequence[str] = ()) -> DataFrame:
