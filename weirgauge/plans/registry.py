@@ -37,7 +37,7 @@ from weirgauge.storage import settle, shared_path
 from weirgauge.streaming.alert_stream import stored_alerts
 from weirgauge.streaming.engine import start_flow_engine
 from weirgauge.streaming.metrics_stream import current_metrics, stored_totals
-from weirgauge.testing.datagram_fixture import datagrams_from_events
+from weirgauge.testing.datagram_fixture import datagrams_from_events, multi_set_datagrams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -157,6 +157,13 @@ def _(spark, folder):
         "exporter_ip", "domain", "seq", "set_idx", "set_id", F.length("body").alias("body_bytes"))
 
 
+@query("split_sets_several")
+def _(spark, folder):
+    packets = D.classify_datagrams(multi_set_datagrams(read_events(spark, folder)))
+    return split_sets(packets).select(
+        "exporter_ip", "seq", "set_idx", "set_id", F.length("body").alias("body_bytes"))
+
+
 @query("parse_templates")
 def _(spark, folder):
     fields = F.array_join(F.transform("fields", lambda f: F.concat_ws(
@@ -188,6 +195,11 @@ def _(spark, folder):
     return _flat_flows(decode_flows(_captured(spark, folder)))
 
 
+@query("decode_flows_several_sets")
+def _(spark, folder):
+    return _flat_flows(decode_flows(multi_set_datagrams(read_events(spark, folder))))
+
+
 # -- flows ---------------------------------------------------------------------------
 
 @query("flow_totals")

@@ -54,8 +54,8 @@ def _v5_record() -> Column:
         _hex(F.col("protocol"), 1), F.lit("00" * 9))
 
 
-def template_hex(layout: list) -> str:
-    out = f"{TEMPLATE_ID:04x}{len(layout):04x}"
+def template_hex(layout: list, template_id: int = TEMPLATE_ID) -> str:
+    out = f"{template_id:04x}{len(layout):04x}"
     for name, element, width in layout:
         out += f"{element | 0x8000:04x}{width:04x}{VENDOR:08x}" if name == "vendor" else f"{element:04x}{width:04x}"
     return out
@@ -131,3 +131,28 @@ def datagrams_from_events(events: DataFrame) -> DataFrame:
     return merged.select(
         "seq", timestamp_of_ms(F.col("at_ms")).alias("received_at"), "exporter_ip",
         F.unhex("hex").alias("payload")).select(*DATAGRAM_SCHEMA.fieldNames())
+
+
+def multi_set_datagrams(events: DataFrame) -> DataFrame:
+    """Version 9 and IPFIX packets of several sets, as routers send them: one set with
+    two templates, records of the first (even flow ids), an options set, records of the
+    second (odd ones), and a set that is cut off."""
+    flows = chunked_flows(events).where(F.col("exporter_ip") != V5_EXPORTER)
+
+    def records(rest: int, layout: list) -> Column:
+        mine = F.collect_list(F.when(F.col("flow_id") % 2 == rest, F.struct("flow_id", _record(layout).alias("record"))))
+        return F.array_join(F.transform(F.array_sort(mine), lambda r: r["record"]), "")
+
+    packed = flows.groupBy("exporter_ip", "chunk").agg(
+        records(0, STANDARD).alias("even"), records(1, COMPACT).alias("odd"), F.max("received_at_ms").alias("at_ms"))
+    templates = F.lit(template_hex(STANDARD) + template_hex(COMPACT, TEMPLATE_ID + 1))
+
+    def packet(header: Column, template_set: int, options_set: int) -> Column:
+        return F.concat(
+            header, _set(template_set, templates), _set(TEMPLATE_ID, F.col("even")), _set(options_set, F.lit("abcdef")),
+            _set(TEMPLATE_ID + 1, F.col("odd")), F.lit("01900064ffff"))
+
+    payload = F.when(F.col("exporter_ip") == V9_EXPORTER, packet(_v9_header(), 0, 1)).otherwise(packet(_ipfix_header(), 2, 3))
+    return packed.select(
+        F.col("chunk").alias("seq"), timestamp_of_ms(F.col("at_ms")).alias("received_at"), "exporter_ip",
+        F.unhex(payload).alias("payload")).select(*DATAGRAM_SCHEMA.fieldNames())

@@ -372,6 +372,17 @@ ORACLES: dict[str, str] = {
     "decode_templated_flows": _decoded("decoded_templated"),
     "decode_templated_flows_without_broadcast": _decoded("decoded_templated"),
     "decode_flows": _decoded("all_decoded"),
+    "split_sets_several": sql(FLOWS, body=(
+        "select exporter_ip, seq, s.set_idx, s.set_id, cast(s.body_bytes as integer) as body_bytes from (select exporter_ip, "
+        "flow_id // 30 as seq, unnest([{'set_idx': 0, 'set_id': case exporter_ip when '127.0.0.2' then 0 else 2 end, "
+        "'body_bytes': 84}, {'set_idx': 1, 'set_id': 300, 'body_bytes': 30 * count(*) filter (flow_id % 2 = 0)}, "
+        "{'set_idx': 3, 'set_id': 301, 'body_bytes': 23 * count(*) filter (flow_id % 2 = 1)}]) as s "
+        "from all_flows where exporter_ip <> '127.0.0.1' group by exporter_ip, flow_id // 30)")),
+    "decode_flows_several_sets": sql(FLOWS, body=(
+        f"select {FLOW_FIELDS}, received_at_ms from (select * replace (case when flow_id % 2 = 0 then start_time else 0 end "
+        "as start_time, case when flow_id % 2 = 0 then end_time else 0 end as end_time, "
+        "max(received_at_ms) over (partition by exporter_ip, flow_id // 30) as received_at_ms) from all_flows "
+        "where exporter_ip <> '127.0.0.1')")),
     "flow_totals": sql(FLOWS, body="select count(*) as flows, cast(sum(packets) as bigint) as packets, "
                                    "cast(sum(bytes) as bigint) as bytes from all_flows"),
     "exporter_last_seen": sql(
