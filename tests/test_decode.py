@@ -99,6 +99,19 @@ def test_history_drops_repeats(capture):
     assert [(h.total_length, h.to_pos is None) for h in history] == [(30, False), (13, False), (30, True)]
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_flapping_template(spark, capture, limit):
+    """One key whose layout changes with every second packet: thousands of versions."""
+    narrow = [*STANDARD[:5], *STANDARD[6:]]
+    packets, wanted = [], []
+    for n in range(1500):
+        fields = narrow if n % 2 else STANDARD
+        packets += [v9(cut(0, template(256, fields))), v9(cut(256, record(fields, ie1=n)), cut(256, record(fields, ie1=n + 10_000)))]
+        wanted += [] if n % 2 else [n, n + 10_000]
+    found = sorted(r.bytes for r in decode_flows(capture(*packets), broadcast_versions=limit).select("bytes").collect())
+    assert found == sorted(wanted)
+
+
 def test_withdrawn_template(capture):
     rows = flows_of(capture(
         ipfix(cut(2, template(256, STANDARD))), ipfix(cut(256, record())), ipfix(cut(2, template(256, []))),

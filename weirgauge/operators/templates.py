@@ -17,6 +17,7 @@ TEMPLATE_KEY = ["exporter_ip", "domain", "template_id"]
 # A packet holds at most 65535 / 4 sets, so (seq, set_idx) fits one long.
 SETS_PER_PACKET = 1 << 14
 HISTORY_BLOCK = 1 << 16
+LOOKUP_BLOCK = 1 << 12
 # A layout row is below 200 bytes (fixed columns, addresses up to 45 characters),
 # so a broadcast of this many stays below 40 MB.
 BROADCAST_VERSIONS = 200_000
@@ -150,19 +151,18 @@ def resolve_template(
     dropped. Version 5 sets carry their fixed layout and need no lookup.
 
     The layouts are written once and counted. Up to ``broadcast_versions`` rows
-    they are broadcast and the payloads stay where they are. Beyond that both
-    sides meet on (key, block of the arrival order), so neither a busy exporter
-    nor a long version list lands in one task.
+    they are broadcast and the payloads stay where they are: past versions are found
+    by (key, block of the arrival order), so that a template that keeps changing is
+    no long chain, the latest by its key. Beyond that both sides meet on (key, block),
+    so neither a busy exporter nor a long version list lands in one task.
     """
     layouts = settle(layouts, "template-layouts")
     placed = data.withColumn("pos", position())
-    if layouts.limit(broadcast_versions + 1).count() <= broadcast_versions:
-        known = F.broadcast(layouts).alias("k")
-        match = F.lit(True)
-        for name in TEMPLATE_KEY:
-            match = match & (F.col(f"d.{name}") == F.col(f"k.{name}"))
-        joined = placed.alias("d").join(known, match & _valid(), "left").select(
-            "d.*", *[f"k.{c}" for c in ("total_length", "usable", *OFFSET_COLUMNS)])
+    closed = _by_block(layouts.where(F.col("to_pos").isNotNull()))
+    latest = layouts.where(F.col("to_pos").isNull())
+    rows = closed.select("template_id").unionByName(latest.select("template_id"))
+    if rows.limit(broadcast_versions + 1).count() <= broadcast_versions:
+        joined = _broadcast_lookup(placed, closed, latest)
     else:
         fixed = placed.where(F.col("template_id") == V5_SET)
         joined = _blocked_lookup(placed.where(F.col("template_id") != V5_SET), layouts).unionByName(fixed, True)
@@ -185,20 +185,44 @@ def _valid() -> Column:
     return (F.col("pos") >= F.col("from_pos")) & (F.col("to_pos").isNull() | (F.col("pos") < F.col("to_pos")))
 
 
-def _blocked_lookup(placed: DataFrame, layouts: DataFrame) -> DataFrame:
-    span = F.lit(SETS_PER_PACKET * HISTORY_BLOCK)
+def _block(pos: Column, packets: int = HISTORY_BLOCK) -> Column:
+    return F.call_function("div", pos, F.lit(SETS_PER_PACKET * packets))
+
+
+def _by_block(closed: DataFrame) -> DataFrame:
+    """Versions that have ended, once per block that they were valid in."""
+    blocks = F.sequence(_block(F.col("from_pos"), LOOKUP_BLOCK), _block(F.col("to_pos") - 1, LOOKUP_BLOCK))
+    return closed.withColumn("block", F.explode(blocks))
+
 
-    def block(pos: Column) -> Column:
-        return F.call_function("div", pos, span)
+def _broadcast_lookup(placed: DataFrame, closed: DataFrame, latest: DataFrame) -> DataFrame:
+    found = ["total_length", "usable", *OFFSET_COLUMNS]
+    past = closed.select(*TEMPLATE_KEY, "block", "from_pos", "to_pos", F.struct(*found).alias("past")).alias("k")
+    now = latest.select(*TEMPLATE_KEY, F.col("from_pos").alias("since"), F.struct(*found).alias("now")).alias("n")
 
+    def on_key(left: str, right: str) -> Column:
+        match = F.lit(True)
+        for name in TEMPLATE_KEY:
+            match = match & (F.col(f"{left}.{name}") == F.col(f"{right}.{name}"))
+        return match
+
+    rows = placed.withColumn("block", _block(F.col("pos"), LOOKUP_BLOCK)).alias("d")
+    joined = rows.join(
+        F.broadcast(past), on_key("d", "k") & (F.col("d.block") == F.col("k.block")) & _valid(), "left").join(
+        F.broadcast(now), on_key("d", "n") & (F.col("d.pos") >= F.col("n.since")), "left")
+    layout = F.coalesce("past", "now")
+    return joined.select(*[F.col(f"d.{c}") for c in placed.columns], *[layout[c].alias(c) for c in found])
+
+
+def _blocked_lookup(placed: DataFrame, layouts: DataFrame) -> DataFrame:
     ends = placed.groupBy(*TEMPLATE_KEY).agg(F.max("pos").alias("last_pos"))
     until = F.least(F.coalesce("to_pos", "last_pos"), "last_pos")
     spread = (
         layouts.join(ends, TEMPLATE_KEY).where(F.col("from_pos") <= F.col("last_pos"))
-        .withColumn("block", F.explode(F.sequence(block(F.col("from_pos")), block(until))))
+        .withColumn("block", F.explode(F.sequence(_block(F.col("from_pos")), _block(until))))
         .drop("last_pos")
     )
     return (
-        placed.withColumn("block", block(F.col("pos"))).join(spread, [*TEMPLATE_KEY, "block"])
+        placed.withColumn("block", _block(F.col("pos"))).join(spread, [*TEMPLATE_KEY, "block"])
         .where(_valid()).drop("block", "from_pos", "to_pos")
     )
