@@ -32,7 +32,7 @@ def connected(edges: DataFrame) -> DataFrame:
             stars.select(F.col("parent").alias("node"), F.col("child").alias("near")))
         lowest = both.groupBy("node").agg(F.least(F.min("near"), F.col("node")).alias("low"))
         large = both.where("near > node").join(lowest, "node").select(
-            F.col("near").alias("child"), F.col("low").alias("parent"))
+            F.col("near").alias("child"), F.col("low").alias("parent")).distinct()  # a hub gets few different ones
         lowest = large.groupBy("child").agg(F.min("parent").alias("low"))
         small = large.join(lowest, "child").where("parent <> low").select(
             F.col("parent").alias("child"), F.col("low").alias("parent"))
