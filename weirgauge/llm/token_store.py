@@ -17,8 +17,10 @@ shards. A chunk closes at ``CHUNK_IDS`` ids; a longer document is a chunk alone.
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections.abc import Iterable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pandas as pd
@@ -31,9 +33,11 @@ from weirgauge.llm.words import small_batches, split_words
 CHUNK_IDS = 1 << 18
 END_ID = 2
 KEPT_WORDS = 400_000
+KEPT_RUNS = 600_000
 KEPT_BYTES = 64
 RUNS_PER_CALL = 5_000
 MARKS = ".,;:!?"
+_HOME = "weirgauge_worker_words"
 SCHEMA = "shard int, chunk int, first_id long, n_ids long, doc_ids array<{id}>, boundaries binary, width int, ids binary"
 
 
@@ -70,8 +74,9 @@ class WordIds(dict):
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
     def _learn(self, split: list[list[bytes]]) -> None:
-        if len(self) > KEPT_WORDS or len(self._runs) > KEPT_WORDS:
+        if len(self) > KEPT_WORDS:
             self.clear()
+        if len(self._runs) > KEPT_RUNS:
             self._runs.clear()
         new: dict[bytes, tuple[str, ...]] = {}
         for words in split:
@@ -120,10 +125,20 @@ def _runs_of(word: bytes) -> tuple[str, ...]:
     return (text[:-1], text[-1]) if text[-1] in MARKS and text[:-1].isalpha() else ()
 
 
+def _word_ids(tokenizer_file: str) -> WordIds:
+    """The word table of this Python worker. Workers live on from task to task, while
+    functions and their globals arrive anew with each, so it hangs on a module."""
+    home = sys.modules.setdefault(_HOME, ModuleType(_HOME))
+    table = getattr(home, "table", None)
+    if table is None or table[0] != tokenizer_file:
+        home.table = table = (tokenizer_file, WordIds(tokenizer_file))
+    return table[1]
+
+
 def _chunks(batches: Iterator[pd.DataFrame], tokenizer_file: str, end_id: int, width: int) -> Iterator[pd.DataFrame]:
     from pyspark import TaskContext
 
-    word_ids, shard = WordIds(tokenizer_file), TaskContext.get().partitionId()
+    word_ids, shard = _word_ids(tokenizer_file), TaskContext.get().partitionId()
     end, wide = np.array([end_id], "<u4").tobytes(), np.dtype(f"<u{width}")
     doc_ids: list = []
     parts: list[bytes] = []
