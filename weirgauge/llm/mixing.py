@@ -28,7 +28,7 @@ from weirgauge.storage import settle
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_000
 HELD_BACK = 10
 _EDGE = 1e-9
 _PLACE_BITS = 33  # of monotonically_increasing_id within a partition
