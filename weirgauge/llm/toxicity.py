@@ -167,11 +167,13 @@ def fit_logistic(x: np.ndarray, label: np.ndarray, ridge: float = 0.1) -> np.nda
 
 def _one_of_copies(train: DataFrame) -> DataFrame:
     """One of the training documents that share label and smallest shingle hash. Else
-    every word of a toxic document with many near copies would look toxic."""
+    every word of a toxic document with many near copies would look toxic. The hash of
+    the text decides which, so that reruns agree."""
     smallest = F.array_min(F.expr(f"""transform(sequence(0, greatest(0, size(w) - {COPY_WORDS})),
         i -> xxhash64(array_join(slice(w, i + 1, {COPY_WORDS}), ' ')))"""))
     hashed = train.withColumn("w", F.split("text", r"[\x20\x09-\x0D]+")).withColumn("_least", smallest).drop("w")
-    return settle(hashed.dropDuplicates(["toxic", "_least"]).select("text", "toxic"), "toxic-distinct")
+    one = hashed.groupBy("toxic", "_least").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return settle(one.select("text", "toxic"), "toxic-distinct")
 
 
 def learn_lexicon(
