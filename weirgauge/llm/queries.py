@@ -16,7 +16,7 @@ from weirgauge.llm.mixing import mix_sources
 from weirgauge.llm.simhash import simhash_components
 from weirgauge.llm.token_store import read_digests, write_store
 from weirgauge.llm.toxicity import score_toxicity
-from weirgauge.storage import shared_path
+from weirgauge.storage import settle, shared_path
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,8 +33,10 @@ def tokenizer_file() -> str:
 
 
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "pages")
-    cleaned = line_dedup.drop_site_lines(pages, line_dedup.host_of(F.col("url")), line_dedup.page_lines(F.col("html")))
+    # The lines are read twice, to be counted and to be cut: they are made once.
+    pages = settle(table(spark, folder, "pages").select(
+        "page_id", "url", line_dedup.page_lines(F.col("html")).alias("lines")), "page-lines")
+    cleaned = line_dedup.drop_site_lines(pages, line_dedup.host_of(F.col("url")), F.col("lines"))
     return cleaned.select("page_id", "url", "host", "n_lines", "n_dropped", F.array_join("kept_lines", "\n").alias("text"))
 
 
