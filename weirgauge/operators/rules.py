@@ -15,7 +15,7 @@ from weirgauge.config import TICK_SECS, DetectionConfig
 from weirgauge.functions.net import ip_text
 from weirgauge.functions.numbers import ratio, text_0, text_1
 from weirgauge.operators.coverage import at_ticks
-from weirgauge.operators.metrics import UDP, with_tick
+from weirgauge.operators.metrics import UDP, fanout_spans, with_tick
 from weirgauge.operators.panes import pane_contacts, pane_metrics, pane_rows
 from weirgauge.schema import FIRED_COLUMNS
 from weirgauge.storage import settle
@@ -144,7 +144,7 @@ def route_rules(metrics: DataFrame, config: DetectionConfig = DetectionConfig())
     )
 
 
-def scanners(spans: DataFrame, config: DetectionConfig = DetectionConfig(), tick_secs: int = TICK_SECS) -> DataFrame:
+def scanners_in(spans: DataFrame, config: DetectionConfig = DetectionConfig(), tick_secs: int = TICK_SECS) -> DataFrame:
     """Sources with enough distinct destination ports, per tick, from the spans of
     their port counts.
 
@@ -157,6 +157,11 @@ def scanners(spans: DataFrame, config: DetectionConfig = DetectionConfig(), tick
     return per_tick if c.all_sources else widest_scanner(per_tick)
 
 
+def scanners(flows: DataFrame, config: DetectionConfig = DetectionConfig(), tick_secs: int = TICK_SECS) -> DataFrame:
+    """Sources with enough distinct destination ports, per tick."""
+    return scanners_in(fanout_spans(flows, (RULES["port_scan"][0],), tick_secs), config, tick_secs)
+
+
 def widest_scanner(per_tick: DataFrame) -> DataFrame:
     order = Window.partitionBy("window_secs", "tick").orderBy(F.desc("scan_ports"), F.asc("scan_ip"))
     return per_tick.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
@@ -184,5 +189,5 @@ def candidate_alerts(
         panes = settle(pane_rows(flows, windows, tick_secs, contacts=bool(scanned)), "panes")
         metrics = pane_metrics(panes, windows, tick_secs) if metrics is None else metrics
     if scanned:
-        metrics = with_scanners(metrics, scanners(pane_contacts(panes, scanned, tick_secs), config, tick_secs))
+        metrics = with_scanners(metrics, scanners_in(pane_contacts(panes, scanned, tick_secs), config, tick_secs))
     return route_rules(metrics, config)

@@ -20,7 +20,7 @@ from weirgauge.config import TICK_SECS, WINDOW_SECS, DetectionConfig
 from weirgauge.functions.clock import MICROS, date_of_ms, timestamp_of_us
 from weirgauge.operators.flow_queries import exporter_last_seen, flow_totals
 from weirgauge.operators.panes import PANE_SCHEMA, pane_contacts, pane_metrics, pane_rows
-from weirgauge.operators.rules import route_rules, scan_windows, scanners, with_scanners
+from weirgauge.operators.rules import route_rules, scan_windows, scanners_in, with_scanners
 from weirgauge.operators.ticks import expand_windows
 from weirgauge.schema import ALERT_SCHEMA, FIRED_COLUMNS, METRIC_COLUMNS, WINDOW_METRICS_SCHEMA
 from weirgauge.streaming.tables import BATCH, read_batch, read_parts, read_table, write_batch
@@ -76,7 +76,7 @@ def absorb_flows(flows: DataFrame, batch_id: int, root: str, config: DetectionCo
     write_batch(metrics.select(*METRIC_COLUMNS).withColumn(DAY, by_day), f"{root}/metrics", batch_id, [DAY])
     watched = read_batch(spark, f"{root}/metrics", _METRICS, batch_id, [DAY]).drop(DAY)
     if scanned:
-        watched = with_scanners(watched, scanners(pane_contacts(around, scanned, tick_secs), config, tick_secs))
+        watched = with_scanners(watched, scanners_in(pane_contacts(around, scanned, tick_secs), config, tick_secs))
     found = route_rules(watched, config).withColumn(DAY, _day(F.unix_micros("triggered_at")))
     write_batch(found, f"{root}/candidates", batch_id, [DAY])
     return low, high
