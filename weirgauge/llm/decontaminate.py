@@ -4,7 +4,7 @@ A seed is a fixed mask over consecutive tokens: positions marked 1 are hashed, t
 others are ignored, so a substituted token under a 0 does not disturb the match.
 Seeds of documents that pass a fixed-size filter over the benchmark's seeds are
 joined with these; every hit names an alignment (document, item, shift), and each
-alignment is verified token by token: the best ungapped stretch, which tolerates
+alignment is verified token by token: an ungapped stretch, which tolerates
 substitutions, must be long and mostly equal.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -70,6 +71,26 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int]:
     return int(np.argmax(score[:end + 1] == low[end])), end
 
 
+def longest_share(equal: np.ndarray) -> tuple[int, int]:
+    """``first, end`` of the stretch with the most equal positions among those of which
+    at least ``MIN_SHARE`` are equal, without different positions at its ends; the
+    shortest, then first such."""
+    if not equal.any():
+        return 0, 0
+    share = Fraction(MIN_SHARE).limit_denominator(1000)
+    total = np.concatenate(([0], np.cumsum(equal, dtype=np.int64)))
+    above = share.denominator * total - share.numerator * np.arange(len(total))
+    # A stretch has its share if it ends no lower than it starts: of all starts the first.
+    starts = np.searchsorted(-np.minimum.accumulate(above), -above)
+    count = total - total[starts]
+    places = np.flatnonzero(equal)
+    ends = np.flatnonzero(count == count.max())
+    # The first and the last equal position of each; the ends differ in what is between.
+    first, last = places[total[starts[ends]]], places[total[ends] - 1]
+    at = int(np.argmin(last - first))
+    return int(first[at]), int(last[at]) + 1
+
+
 def _masks(lengths: Sequence[int], masks: Sequence[str]) -> list[str]:
     """The fixed masks, and for items too short for one of them the whole item."""
     widest = max(map(len, masks))
@@ -106,7 +127,8 @@ def contaminated(
 ) -> DataFrame:
     """``<id>, <item>, n_equal, n_aligned, doc_at, item_at`` for every document and
     benchmark item that share a passage: its equal and aligned tokens and its first
-    token in both, of the best stretch.
+    token in both, of the best stretch. That is the one of ``best_stretch`` if it is a
+    passage, else the passage with the most equal tokens.
 
     Tokens are runs of letters and digits in lower case. A passage counts if at least
     ``MIN_SHARE`` of its tokens are equal and it has ``LONG_TOKENS`` equal ones, or
@@ -165,18 +187,23 @@ def contaminated(
                 if row.text is not last:
                     last, tokens = row.text, hashes.of(row.text)
                 wanted = hashes.of(row.item_text)
-                best = None
-                for shift in row.shifts:
-                    first, end = max(0, -shift), min(len(wanted), len(tokens) - shift)
-                    equal = wanted[first:end] == tokens[first + shift:end + shift]
-                    a, b = best_stretch(equal)
-                    got = (int(equal[a:b].sum()), a - b, -(first + a + shift), first + a)
-                    best = max(best, got) if best else got
-                n_equal, length, doc_at, item_at = best[0], -best[1], -best[2], best[3]
-                enough = n_equal >= LONG_TOKENS or n_equal >= min(
-                    len(wanted), max(MIN_TOKENS, MIN_SHARE * len(wanted)))
-                if enough and n_equal >= MIN_SHARE * length:
-                    found.append((row.id, row.item, n_equal, length, doc_at, item_at))
+                enough = min(LONG_TOKENS, len(wanted), max(MIN_TOKENS, MIN_SHARE * len(wanted)))
+
+                def best(stretch, row=row, tokens=tokens, wanted=wanted):
+                    top = None
+                    for shift in row.shifts:
+                        first, end = max(0, -shift), min(len(wanted), len(tokens) - shift)
+                        equal = wanted[first:end] == tokens[first + shift:end + shift]
+                        a, b = stretch(equal)
+                        got = (int(equal[a:b].sum()), a - b, -(first + a + shift), first + a)
+                        top = max(top, got) if top else got
+                    return top[0], -top[1], -top[2], top[3]
+
+                got = best(best_stretch)
+                if got[0] < enough or got[0] < MIN_SHARE * got[1]:
+                    got = best(longest_share)  # its stretches all have the share
+                if got[0] >= enough:
+                    found.append((row.id, row.item, *got))
             yield pd.DataFrame(found, columns=["id", "item", "n_equal", "n_aligned", "doc_at", "item_at"])
 
     texts = items.withColumnRenamed("text", "item_text").withColumnRenamed("item", "_item")
