@@ -1,0 +1,54 @@
+import random
+
+import numpy as np
+
+from weirgauge.llm.simhash import BANDS, SPLITS, drop_near_duplicates, sample_keys, shingle_set, similar_texts
+
+
+def sharers(pairs=100, own=90, edits=4, shared=300):
+    """Pairs of near copies; all of their texts hold one passage."""
+    rng = random.Random(17)
+    passage = [f"p{i}" for i in range(shared)]
+    rows = []
+    for i in range(pairs):
+        words = [f"u{i}x{k}" for k in range(own)]
+        copy = list(words)
+        for at in rng.sample(range(own), edits):
+            copy[at] = f"e{i}x{at}"
+        cut = rng.randrange(own)
+        # Ids of a pair lie far apart: the smallest of a band is no help.
+        rows += [(i, " ".join(words[:cut] + passage + words[cut:]), "en", "a"),
+                 (1000 + i, " ".join(copy[:cut] + passage + copy[cut:]), "en", "b")]
+    return rows
+
+
+def similarity(a, b):
+    a, b = set(shingle_set(a, 5).tolist()), set(shingle_set(b, 5).tolist())
+    return len(a & b) / len(a | b)
+
+
+def test_pairs_among_texts_that_share_a_passage(make_docs):
+    rows = sharers()
+    texts = {r[0]: r[1] for r in rows}
+    want = {(1000 + i, i) for i in range(100) if similarity(texts[i], texts[1000 + i]) >= 0.8}
+    assert len(want) > 90
+    links = {(r["a"], r["b"]) for r in similar_texts(make_docs(rows), "doc_id", "text", 5, 0.8).collect()}
+    assert all(similarity(texts[a], texts[b]) >= 0.8 for a, b in links)
+    assert want <= links
+    kept = {r["doc_id"] for r in drop_near_duplicates(make_docs(rows)).select("doc_id").collect()}
+    assert not kept & {a for a, _ in want}  # fingerprints may link others, too
+
+
+def test_few_texts_are_split_by_every_key(make_docs):
+    """Also with groups of two at most, which are reached by splits alone."""
+    rows = sharers(pairs=30)
+    links = {(r["a"], r["b"]) for r in similar_texts(make_docs(rows), "doc_id", "text", 5, 0.8, few=2).collect()}
+    assert {(1000 + i, i) for i in range(30)} <= links
+
+
+def test_sample_keys():
+    assert sample_keys(np.empty(0, np.uint64)) == []
+    many = shingle_set(" ".join(map(str, range(5000))), 5)
+    keys = sample_keys(many)
+    assert len(keys) == BANDS and {len(k) for k in keys} == {SPLITS + 1}
+    assert len({k for path in keys for k in path}) == BANDS * (SPLITS + 1) and keys == sample_keys(many[::-1])
