@@ -1,6 +1,7 @@
 """Licences in documents, by recognising their sentences.
 
-Each sentence of a text is normalised and looked up among known licence sentences;
+Each sentence of a text is normalised and looked up among known licence sentences,
+which may also go over several lines or marks, as in wrapped notices and comments;
 the identifiers found, in order, are matched against ordered rules, each a sequence
 of identifiers. Rules come first that say more; what a rule has matched is not open
 to the ones after it. Only DataFrame functions are used.
@@ -100,15 +101,22 @@ RULES = (
 
 # A sentence ends at a line end, or at a mark before white space or the end.
 SENTENCE_END = r"[.!?;:]+(?:[\x20\x09-\x0D]+|$)|\n"
-NOT_WORD = "[^a-z0-9]+"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences: A-Z in lower case, other characters than a-z and 0-9 as
-    one space. Sentences without such characters stay as empty strings, so that the
-    place of a sentence can be told."""
-    lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.transform(F.split(lowered, SENTENCE_END), lambda s: F.trim(F.regexp_replace(s, NOT_WORD, " ")))
+def marked_sentences(text: Column) -> Column:
+    """Normalised sentences, each between two bars: A-Z in lower case, other characters
+    than a-z and 0-9 as one space. Sentences without such characters stay as empty
+    strings, so that the place of a sentence can be told."""
+    lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ|", "abcdefghijklmnopqrstuvwxyz,")
+    cut = F.regexp_replace(F.regexp_replace(lowered, SENTENCE_END, "|"), "[^a-z0-9|]+", " ")
+    return F.concat(F.lit("|"), F.regexp_replace(cut, r" ?\| ?", "|"), F.lit("|"))
+
+
+def known_sentences() -> str:
+    """Pattern of a known sentence that is one or several whole sentences of a text, the
+    longest first. White space, marks and line ends may stand between its words."""
+    longest = sorted(SENTENCES.values(), key=len, reverse=True)
+    return r"(?<=\|) ?(?:" + "|".join(s.replace(" ", "[ |]+") for s in longest) + r") ?(?=\|)"
 
 
 def _rule_key(ids: tuple[str, ...]) -> str:
@@ -124,13 +132,18 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``sentence_ids``: identifiers in order, comma-joined, repeats included;
     ``first_sentence``: place of the first among the text's sentences, from 0. A rule
     matches identifiers that follow each other, whatever unknown sentences lie between.
+    A known sentence may be several of the text's that follow each other: its words count,
+    not where lines end or marks stand between them. The longest known sentence is taken.
     Null and empty texts have no sentences. Repeated rows and null ids give results
     like others; other columns are not read. An empty table gives no rows.
     """
     known = F.create_map(*[F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)])
-    found = docs.select(F.col(id_col).alias("id"), F.transform(
-        sentences(F.col(text_col)), lambda s: F.element_at(known, s)).alias("names"))
-    listed = found.withColumn("ids", F.filter("names", lambda x: x.isNotNull())).where(F.size("ids") > 0)
+    pattern = F.lit(known_sentences())
+    found = docs.select(F.col(id_col).alias("id"), marked_sentences(F.col(text_col)).alias("marked")).withColumn(
+        "found", F.regexp_extract_all("marked", pattern, F.lit(0))).where(F.size("found") > 0)
+    listed = found.select(
+        "id", F.transform("found", lambda s: F.element_at(known, F.trim(F.regexp_replace(s, "[ |]+", " ")))).alias("ids"),
+        F.substring("marked", F.lit(1), F.regexp_instr("marked", pattern) - 1).alias("before"))
     # Markers stand for positions; a matched rule leaves a gap that nothing spans.
     left = F.concat(*[F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">")))])
     state = listed.withColumn("_left", F.array_join(left, "")).withColumn("_hits", F.array().cast("array<string>"))
@@ -142,7 +155,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return state.select(
         F.col("id").alias(id_col), F.array_join(F.array_sort(F.array_distinct("_hits")), ",").alias("licences"),
         F.array_join("ids", ",").alias("sentence_ids"), F.size("ids").cast("bigint").alias("n_sentences"),
-        (F.array_position(F.transform("names", lambda x: x.isNotNull()), True) - 1).alias("first_sentence"))
+        (F.length("before") - F.length(F.replace("before", F.lit("|"), F.lit(""))) - 1).cast("bigint").alias("first_sentence"))
 
 
 def sql() -> str:
