@@ -1,22 +1,14 @@
-import datetime as dt
 import os
 import sys
 
 import pytest
+from moments import T0, moment
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from weirgauge.schema import FLOW_SCHEMA, WINDOW_METRICS_SCHEMA  # noqa: E402
 from weirgauge.session import local_session  # noqa: E402
 
-# A tick: 2024-01-01 00:00:00 UTC.
-T0 = 1_704_067_200_000
-UTC = dt.timezone.utc
-
-
-def moment(ms: int) -> dt.datetime:
-    return dt.datetime.fromtimestamp(ms / 1000, UTC)
-
 
 @pytest.fixture(scope="session")
 def spark():

@@ -1,9 +1,9 @@
 import json
 
 import pytest
+from moments import T0, moment
 from pyspark.sql import functions as F
 
-from conftest import T0, moment
 from weirgauge.operators import alerts as A
 from weirgauge.streaming.metrics_stream import FIRED_SCHEMA
 

@@ -1,8 +1,8 @@
 import random
 
 import pytest
+from moments import T0, moment
 
-from conftest import T0, moment
 from weirgauge.operators.cooldown import apply_cooldown
 from weirgauge.schema import ALERT_SCHEMA, FIRED_COLUMNS
 from weirgauge.streaming.metrics_stream import FIRED_SCHEMA

@@ -1,7 +1,7 @@
 import pytest
+from moments import T0, moment
 from packets import STANDARD, cut, ipfix, record, template, v5, v5_record, v9
 
-from conftest import T0, moment
 from weirgauge.operators.decode import decode_flows, decode_templated, decode_v5
 from weirgauge.operators.sets import split_sets
 from weirgauge.operators.templates import parse_templates, read_templates, template_history

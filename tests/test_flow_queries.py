@@ -1,9 +1,9 @@
 import json
 
 import pytest
+from moments import T0, moment
 from pyspark.sql import functions as F
 
-from conftest import T0, moment
 from weirgauge.config import DetectionConfig, EngineConfig, PortScanConfig, UdpFloodConfig, validate_config
 from weirgauge.operators import flow_queries as Q
 from weirgauge.operators import views as V

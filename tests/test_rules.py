@@ -1,8 +1,8 @@
 import dataclasses
 
+from moments import T0
 from pyspark.sql import functions as F
 
-from conftest import T0
 from weirgauge.config import (
     DestinationHotspotConfig, DetectionConfig, PortScanConfig, SynFloodConfig, UdpFloodConfig,
 )

@@ -1,10 +1,10 @@
 import random
 
 import pytest
+from moments import T0, moment
 from packets import STANDARD, cut, record, template, v5, v5_record, v9
 from pyspark.sql import functions as F
 
-from conftest import T0, moment
 from weirgauge.config import DetectionConfig, EngineConfig, PortScanConfig
 from weirgauge.operators import alerts as A
 from weirgauge.operators import metrics as M

@@ -1,10 +1,10 @@
 import random
 
 import pytest
+from moments import T0
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import T0
 from weirgauge.operators import coverage as C
 from weirgauge.operators import metrics as M
 from weirgauge.operators.ticks import assign_windows, pane_secs, tick_spine
