@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirgauge.llm import licences, line_dedup, quality, substring_dedup
+from weirgauge.llm import centroids, embedding_links, importance, licences, line_dedup, quality, substring_dedup
 from weirgauge.llm.decontaminate import contaminated
 from weirgauge.llm.html_text import page_texts
 from weirgauge.llm.mixing import mix_sources
@@ -78,6 +78,19 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_importance(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_embedding_links(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_links.link_vectors(table(spark, folder, "embeddings"))
+
+
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, folder, "embeddings")).drop("centroid")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash": op2_simhash,
@@ -89,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_toxicity": op10_toxicity,
+    "op11_importance": op11_importance,
+    "op12_embedding_links": op12_embedding_links,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLES: dict[str, str] = {
@@ -96,4 +112,7 @@ ORACLES: dict[str, str] = {
     "op4_quality_rules": quality.sql(),
     "op7_licences": licences.sql(),
     "op8_substring_dedup": substring_dedup.sql(),
+    "op11_importance": importance.sql(),
+    "op12_embedding_links": embedding_links.sql(),
+    "op13_centroids": centroids.sql(),
 }
