@@ -1,7 +1,9 @@
 import pytest
 
 CLASHING = ("id", "tie", "key", "fp", "size", "target", "copies", "starts", "seed", "item", "feature", "bucket", "stratum",
-            "words", "names", "ids", "_host", "_kept", "host", "n_words", "score", "component_id", "fingerprint")
+            "words", "names", "ids", "_host", "_kept", "host", "n_words", "score", "component_id", "fingerprint",
+            "_text_key", "text_key", "_score", "_copies", "_times", "_id", "_key", "_bad", "n", "row", "again", "root", "first_id", "place",
+            "copies_", "_lines", "_site", "_drop", "_line", "_pages")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
 
 
