@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weirgauge.llm.rows import same_row, text_key
 from weirgauge.llm.words import small_batches
 from weirgauge.storage import settle
 
@@ -122,8 +123,7 @@ def _benchmark_filter(item_seeds: DataFrame, bits: int) -> np.ndarray:
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", masks: Sequence[str] = MASKS, filter_bits: int = FILTER_BITS,
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", **options,
 ) -> DataFrame:
     """``<id>, <item>, n_equal, n_aligned, doc_at, item_at`` for every document and
     benchmark item that share a passage: its equal and aligned tokens and its first
@@ -137,6 +137,19 @@ def contaminated(
     others and are told apart by text only; rows that repeat id and text give one
     result. Extra columns are not read. Empty tables give no rows.
 
+    ``options`` are those of ``passages``.
+    """
+    found = passages(docs, benchmark, id_col, text_col, item_col, **options)
+    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_equal", "n_aligned", "doc_at", "item_at").distinct()
+
+
+def passages(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str = "text", masks: Sequence[str] = MASKS, filter_bits: int = FILTER_BITS,
+) -> DataFrame:
+    """The rows of ``contaminated`` as ``id, key, item, ...``, where ``key`` is the hash of
+    the document's text, so that rows with null or repeated ids can be named.
+
     The filter has a fixed size and only saves work. Documents reach the join as
     seeds that pass it, and their texts are read again only for documents with a hit.
     """
@@ -203,20 +216,22 @@ def contaminated(
                 if got[0] < enough or got[0] < MIN_SHARE * got[1]:
                     got = best(longest_share)  # its stretches all have the share
                 if got[0] >= enough:
-                    found.append((row.id, row.item, *got))
-            yield pd.DataFrame(found, columns=["id", "item", "n_equal", "n_aligned", "doc_at", "item_at"])
+                    found.append((row.id, row.text_key, row.item, *got))
+            yield pd.DataFrame(found, columns=["id", "key", "item", "n_equal", "n_aligned", "doc_at", "item_at"])
 
     texts = items.withColumnRenamed("text", "item_text").withColumnRenamed("item", "_item")
     found = pairs.join(keyed, "key").join(texts, F.col("item").eqNullSafe(F.col("_item"))).select(
-        "id", "item", "text", "item_text", "shifts").mapInPandas(
-        verify, f"id {id_type}, item {item_type}, n_equal int, n_aligned int, doc_at int, item_at int")
-    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_equal", "n_aligned", "doc_at", "item_at").distinct()
+        "id", text_key(F.col("text")).alias("text_key"), "item", "text", "item_text", "shifts").mapInPandas(
+        verify, f"id {id_type}, key long, item {item_type}, n_equal int, n_aligned int, doc_at int, item_at int")
+    return found
 
 
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options,
 ) -> DataFrame:
-    """``docs`` without the rows that share a passage with a benchmark item. A row with
-    a null id goes if any row with a null id does."""
-    bad = contaminated(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+    """``docs`` without the rows that share a passage with a benchmark item. A row is
+    judged by its own text, also where its id is null or that of other rows. Null and
+    empty texts stay. Columns and their order remain, whatever their names; empty tables
+    are returned as they are."""
+    bad = passages(docs, benchmark, id_col, text_col, **options).select("id", "key").distinct()
+    return docs.join(bad, same_row(docs, bad, id_col, text_col), "left_anti")

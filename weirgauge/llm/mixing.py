@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weirgauge.llm.rows import one_row_each, text_key
 from weirgauge.llm.words import word_count
 from weirgauge.storage import settle
 
@@ -175,7 +176,7 @@ def mix_sources(
     names. An empty table gives no rows.
     """
     sized = settle(docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(F.col(text_col)).alias("text_key"),
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), text_key(F.col(text_col)).alias("text_key"),
         word_count(F.col(text_col)).alias("size")), "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_stratum"))
     targets = source_targets(sources, weights, most).withColumnRenamed("source", "_source")
@@ -193,13 +194,10 @@ def mixed_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options,
 ) -> DataFrame:
     """``docs`` with every document repeated as often as the mix takes it. Columns
-    and their order stay. Rows that agree in id and text are one document here, with
-    the copies of all of them."""
+    and their order stay, whatever their names. Rows that agree in id and text are one
+    document here, with the copies of all of them; null ids and texts are taken like
+    others. An empty table gives no rows."""
     picked = mix_sources(docs, id_col, text_col, source_col, **options).groupBy(
-        F.col(id_col).alias("_id"), F.col("text_key").alias("_text_key")).agg(F.sum("copies").alias("_copies")).where(
-        "_copies > 0")
-    named = docs.withColumn("_text_key", F.xxhash64(F.col(text_col))).dropDuplicates([id_col, "_text_key"])
-    joined = named.alias("d").join(picked.alias("p"), F.col(f"d.{id_col}").eqNullSafe(F.col("p._id")) & (
-        F.col("d._text_key") == F.col("p._text_key")))
-    return joined.select("d.*", F.explode(F.array_repeat(F.lit(0), F.col("p._copies").cast("int"))).alias("_copy")).select(
-        *docs.columns)
+        F.col(id_col).alias("id"), F.col("text_key").alias("key")).agg(
+        F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")).where("copies > 0")
+    return one_row_each(docs, settle(picked, "picked"), id_col, text_col, times="copies")

@@ -192,8 +192,8 @@ def learn_lexicon(
         F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic"))
     share = min(1.0, train_rows / max(1, usable.count()))
     drawn = usable.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    train = settle(docs.where(F.col(text_col).isNotNull()).join(F.broadcast(drawn), F.col(id_col) == F.col("_id")).select(
-        F.col(text_col).alias("text"), "toxic"), "toxic-train")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    train = settle(texts.join(F.broadcast(drawn), F.col("id") == F.col("_id")).select("text", "toxic"), "toxic-train")
     train = _one_of_copies(train)
     sizes = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -255,7 +255,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents predicted toxic."""
+    """``docs`` without the documents predicted toxic. Null and empty texts are judged as
+    texts without terms, rows with null or repeated ids by their own texts. Columns and
+    their order remain, whatever their names; an empty table gives no rows, and without
+    labels every row stays."""
     small_batches(docs.sparkSession)
     lexicon = learn_lexicon(docs, labels, id_col, text_col, **options)
-    return docs.withColumn("_score", toxicity(F.col(text_col), lexicon)).where("_score < 0.5").drop("_score")
+    return docs.where(toxicity(F.col(text_col), lexicon) < 0.5)
