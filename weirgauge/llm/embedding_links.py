@@ -195,15 +195,24 @@ def tile_pairs(tiles: DataFrame, threshold: float) -> DataFrame:
     return met.where(angle <= reach).select("tile", paired["other"].alias("other"))
 
 
+def _chained(units: np.ndarray) -> np.ndarray:
+    """The pivots in an order in which each is followed by the nearest of the rest."""
+    cosine, order, left = units @ units.T, [0], list(range(1, len(units)))
+    while left:
+        order.append(left.pop(int(cosine[order[-1], left].argmax())))
+    return units[order]
+
+
 def _ordered(vectors: DataFrame, pivots: int) -> DataFrame:
-    """Number the vectors so that those near the same pivot follow one another."""
+    """Number the vectors so that those near the same pivot follow one another, and so
+    do pivots that are near each other."""
     given = vectors.select("dim", "vector").orderBy(F.xxhash64("vector"), "vector").limit(pivots).collect()
     by_dim: dict[int, list] = {}
     for row in given:
         by_dim.setdefault(row.dim, []).append(row.vector)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {dim: unit_vectors(np.array(v)) for dim, v in by_dim.items()}
+        known = {dim: _chained(unit_vectors(np.array(v))) for dim, v in by_dim.items()}
         for batch in batches:
             lists = batch.column("vector")
             offsets = lists.offsets.to_numpy()

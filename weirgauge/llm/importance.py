@@ -41,12 +41,13 @@ def run_buckets(words: Column, longest: int, n_buckets: int) -> Column:
     def bucket(run: Column) -> Column:
         return (F.crc32(F.encode(run, "UTF-8")) % n_buckets).cast("int")
 
-    parts = [F.transform(words, bucket)]
-    for width in range(2, longest + 1):
+    def runs(width: int) -> Column:
         starts = F.sequence(F.lit(1), F.size(words) - (width - 1))
-        runs = F.transform(starts, lambda at, w=width: bucket(F.array_join(F.slice(words, at, F.lit(w)), " ")))
-        parts.append(F.when(F.size(words) >= width, runs).otherwise(F.array().cast("array<int>")))
-    return parts[0] if longest == 1 else F.concat(*parts)
+        found = F.transform(starts, lambda at: bucket(F.array_join(F.slice(words, at, F.lit(width)), " ")))
+        return F.when(F.size(words) >= width, found).otherwise(F.array().cast("array<int>"))
+
+    single = F.transform(words, bucket)
+    return single if longest == 1 else F.concat(single, *[runs(width) for width in range(2, longest + 1)])
 
 
 def _hashed(texts: DataFrame, keep: list[Column], text_col: str, longest: int, n_buckets: int) -> DataFrame:
