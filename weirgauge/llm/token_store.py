@@ -17,6 +17,7 @@ shards. A chunk closes at ``CHUNK_IDS`` ids; a longer document is a chunk alone.
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
 from collections.abc import Iterable, Iterator
@@ -28,101 +29,94 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirgauge.llm.elias_fano import EliasFano, encode
-from weirgauge.llm.words import small_batches, split_words
+from weirgauge.llm.words import WORD, small_batches
 
 CHUNK_IDS = 1 << 18
 END_ID = 2
-KEPT_WORDS = 400_000
-KEPT_RUNS = 600_000
-KEPT_BYTES = 64
-RUNS_PER_CALL = 5_000
-MARKS = ".,;:!?"
+KEPT_WORDS = 300_000
+KEPT_LETTERS = 64
+WORDS_PER_CALL = 5_000
+_WORD = re.compile(WORD)
+# How the tokenizer cuts lower-case text, for the letters, digits and white space of Latin-1.
+_LETTERS, _DIGITS, _SPACES = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", " \t\n\v\f\r\x85\xa0"
+_RUN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_SPACES}{_LETTERS}{_DIGITS}]+")
 _HOME = "weirgauge_worker_words"
 SCHEMA = "shard int, chunk int, first_id long, n_ids long, doc_ids array<{id}>, boundaries binary, width int, ids binary"
 
 
-class WordIds(dict):
-    """Ids of single words, little-endian in 32 bits.
+class Recent:
+    """What was used of late: two generations, of which the older goes as a whole when
+    the newer is full. The bound only decides what is computed again."""
+
+    def __init__(self, most: int):
+        self.newer: dict = {}
+        self._older: dict = {}
+        self._most = most
+
+    def missing(self, keys: set) -> list:
+        """The ``keys`` that are not known; the others are in ``newer`` from now on."""
+        if len(self.newer) > self._most:
+            self._older, self.newer = self.newer, {}
+        unknown = []
+        for key in keys.difference(self.newer):
+            value = self._older.get(key)
+            if value is None:
+                unknown.append(key)
+            else:
+                self.newer[key] = value
+        return unknown
+
+
+class WordIds:
+    """Ids of texts by their words, little-endian in 32 bits.
 
     The tokenizer drops white space and looks at words one by one, so the ids of a
-    text are those of its words. Within a word it looks at runs of letters and of
-    marks one by one, in lower case: words that differ in case or punctuation share
-    the ids of their runs, and all runs new to a batch are encoded in one call. What
-    is kept is bounded; the bound only decides what is computed again.
+    text are those of its words. Within words it looks at runs of letters and of marks and
+    at digits one by one, in lower case. Texts of Latin-1 are cut into these, so that
+    words that differ in case or punctuation share their ids; other texts are cut at white
+    space, and the tokenizer cuts on. What is new to a batch is encoded in a few calls.
     """
 
     def __init__(self, tokenizer_file: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(tokenizer_file)
-        self._runs: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: bytes) -> bytes:
-        packed = self._encode(word.decode("utf-8", "replace"))
-        if len(word) <= KEPT_BYTES:
-            self[word] = packed
-        return packed
+        self._known = Recent(KEPT_WORDS)
 
     def of_batch(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text of a batch."""
-        split = [_words(text) for text in texts]
-        self._learn(split)
-        return [b"".join(map(self.__getitem__, words)) for words in split]
-
-    def _learn(self, split: list[list[bytes]]) -> None:
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        if len(self._runs) > KEPT_RUNS:
-            self._runs.clear()
-        new: dict[bytes, tuple[str, ...]] = {}
-        for words in split:
-            for word in set(words):
-                if word not in self and word not in new and len(word) <= KEPT_BYTES and (runs := _runs_of(word)):
-                    new[word] = runs
-        unknown = [*{run for runs in new.values() for run in runs}.difference(self._runs)]
-        for at in range(0, len(unknown), RUNS_PER_CALL):
-            self._encode_runs(unknown[at:at + RUNS_PER_CALL])
-        known = self._runs
-        for word, runs in new.items():
-            self[word] = known[runs[0]] if len(runs) == 1 else known[runs[0]] + known[runs[1]]
-
-    def _encode_runs(self, runs: list[str]) -> None:
-        found = self._tokenizer.encode(" ".join(runs), add_special_tokens=False)
-        packed, owners = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids, np.int64)
-        first = (4 * np.flatnonzero(np.diff(owners, prepend=-1))).tolist()
-        if len(first) != len(runs):  # a run is not one unit to this tokenizer
-            self._runs.update((r, self._encode(r)) for r in runs)
-            return
-        for run, start, end in zip(runs, first, [*first[1:], len(packed)]):
-            self._runs[run] = packed[start:end]
-
-
-def _words(text: str | None) -> list[bytes]:
-    """Words of a text, A-Z in lower case where that surely changes no id: without
-    special tokens and without letters that could combine with others."""
+        cut = [_pieces(text) for text in texts]
+        new = self._known.missing(set().union(*cut))
+        for at in range(0, len(new), WORDS_PER_CALL):
+            self._encode(new[at:at + WORDS_PER_CALL])
+        found = [b"".join(map(self._known.newer.__getitem__, pieces)) for pieces in cut]
+        for piece in new:
+            if len(piece) > KEPT_LETTERS:
+                del self._known.newer[piece]
+        return found
+
+    def _encode(self, pieces: list[str]) -> None:
+        """Learn all pieces in one call: a token belongs to the piece it begins in."""
+        found = self._tokenizer.encode(" ".join(pieces), add_special_tokens=False)
+        packed, owners = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids, np.float64)
+        first = np.flatnonzero(np.diff(owners, prepend=-1))
+        if len(first) != len(pieces):  # some are several units to this tokenizer, or none
+            begins = np.fromiter((begin for begin, _ in found.offsets), np.int64, len(found.ids))
+            lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            first = np.searchsorted(begins, np.cumsum(lengths + 1) - lengths - 1)
+        cuts = (4 * first).tolist()
+        self._known.newer.update((piece, packed[a:b]) for piece, a, b in zip(pieces, cuts, [*cuts[1:], len(packed)]))
+
+
+def _pieces(text: str | None) -> list[str]:
+    """A text cut where its parts surely keep their ids."""
     if not text:
         return []
     try:
         text.encode("latin-1")
-    except UnicodeEncodeError:
-        return split_words(text)
-    words = text.encode()
-    return (words if b"<|" in words else words.lower()).split()
-
-
-def _runs_of(word: bytes) -> tuple[str, ...]:
-    """The runs of a word of Latin-1 letters, with one ASCII mark at most at its end;
-    empty for any other, which the tokenizer has to cut itself."""
-    text = word.decode("utf-8", "replace").lower()
-    if not text.isascii() and max(text) > "\xff":
-        return ()
-    if text.isalpha():
-        return (text,)
-    return (text[:-1], text[-1]) if text[-1] in MARKS and text[:-1].isalpha() else ()
+    except UnicodeEncodeError:  # has letters that combine
+        return _WORD.findall(text)
+    return _WORD.findall(text) if "<|" in text else _RUN.findall(text.lower())
 
 
 def _word_ids(tokenizer_file: str) -> WordIds:
@@ -217,7 +211,8 @@ def _read(spark: SparkSession, path: str, digest: bool) -> DataFrame:
     # A chunk holds many documents: few chunks per Arrow batch bound a worker's memory.
     small_batches(spark)
     last = "ids_crc32 long" if digest else "ids array<long>"
-    return store.join(shard_starts(store), "shard").select(
+    # A row per write task, however many documents there are.
+    return store.join(F.broadcast(shard_starts(store)), "shard").select(
         "start", "first_id", "doc_ids", "boundaries", "width", "ids"
     ).mapInPandas(lambda batches: _documents(batches, digest), f"doc_id {id_type}, start long, n_tokens long, {last}")
 
