@@ -1,8 +1,10 @@
 import random
+from functools import reduce
 
 import pytest
 from moments import T0, moment
 from packets import STANDARD, cut, record, template, v5, v5_record, v9
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirgauge.config import DetectionConfig, EngineConfig, PortScanConfig
@@ -10,15 +12,17 @@ from weirgauge.operators import alerts as A
 from weirgauge.operators import metrics as M
 from weirgauge.operators.cooldown import apply_cooldown
 from weirgauge.operators.decode import decode_flows
+from weirgauge.operators.panes import merge_panes, pane_rows
 from weirgauge.operators.rules import candidate_alerts
 from weirgauge.plans.pipelines import run_available, stream_samples
 from weirgauge.schema import DATAGRAM_SCHEMA, FLOW_SCHEMA, WINDOW_METRICS_SCHEMA
 from weirgauge.sources.flow_table import read_flows
-from weirgauge.streaming import metrics_stream
+from weirgauge.streaming import metrics_stream, tables
 from weirgauge.streaming.alert_stream import sent_alerts, stored_alerts
+from weirgauge.streaming.decode_stream import VERSION_TABLE, decode_batch
 from weirgauge.streaming.engine import FLOW_TABLE, process_flows, start_flow_engine
 from weirgauge.streaming.metrics_stream import absorb_flows, current_metrics, stored_exporters, stored_totals
-from weirgauge.streaming.tables import read_batch, read_table, write_batch
+from weirgauge.streaming.tables import FANOUT, groups_of, read_batch, read_table, write_batch
 
 NOW = {"availableNow": True}
 FLAT = ["map_entries(protocol_dist) as protocol_dist" if c == "protocol_dist" else c for c in WINDOW_METRICS_SCHEMA.fieldNames()]
@@ -154,6 +158,68 @@ def test_write_batch(spark, tmp_path):
     assert read_batch(spark, path, schema, 6).count() == 0
 
 
+def test_groups_of_batches():
+    for n in (0, 1, 7, 8, 9, 63, 64, 65, 8640):
+        groups = groups_of(n)
+        covered = [b for tier, last in groups for b in range(last - FANOUT ** tier + 1, last + 1)]
+        assert covered == list(range(n))
+    assert len(groups_of(8640)) <= 20 and max(len(groups_of(n)) for n in range(8640)) <= 35
+
+
+def test_many_batches_are_merged_by_tiers(spark, make_flows, tmp_path, monkeypatch):
+    """Groups of two and four batches; a replay of the batch that closes them."""
+    monkeypatch.setattr(tables, "FANOUT", 2)
+    root = str(tmp_path / "out")
+    parts = [make_flows(*[dict(at=(7 * n + k) * 1000, src_ip=k, dst_port=n * 64 + k, bytes=n) for k in range(4)]) for n in range(5)]
+    for n, part in enumerate(parts):
+        absorb_flows(part, n, root)
+        if n == 3:
+            absorb_flows(part, n, root)
+    flows = reduce(DataFrame.unionByName, parts)
+    same(current_metrics(spark, root).selectExpr(*FLAT), M.window_metrics(flows, keep_empty=False).selectExpr(*FLAT))
+    read = tables.read_tiered(spark, f"{root}/panes", metrics_stream._PANES, 4, "hour", [T0 // 3_600_000])
+    assert {tuple(f.split("/")[-4:-2]) for f in read.inputFiles()} == {("tier=2", "batch_id=3"), ("tier=0", "batch_id=4")}
+    merged = merge_panes(read.drop("hour"))
+    same(merged, merge_panes(pane_rows(flows)))
+
+
+def test_a_stray_old_flow_reads_its_own_hour(spark, make_flows, tmp_path, monkeypatch):
+    root = str(tmp_path / "out")
+    process_flows(hot_flows(make_flows, range(0, 7200, 600)), 0, root)
+    stray = make_flows(dict(at=-T0 + 1000 * 3600 * 5 + 1_800_000), dict(at=7_150_000, bytes=7))
+    seen, read = [], metrics_stream.read_tiered
+
+    def noted(spark, path, schema, batch_id, by, values):
+        rows = read(spark, path, schema, batch_id, by, values)
+        seen.append((sorted(values), {f.split("/hour=")[1].split("/")[0] for f in rows.inputFiles()}))
+        return rows
+
+    monkeypatch.setattr(metrics_stream, "read_tiered", noted)
+    process_flows(stray, 1, root)
+    today = T0 // 3_600_000
+    assert seen == [([5, today + 1, today + 2], {"5", str(today + 1)})]
+    flows = hot_flows(make_flows, range(0, 7200, 600)).unionByName(stray)
+    same(current_metrics(spark, root).selectExpr(*FLAT), M.window_metrics(flows, keep_empty=False).selectExpr(*FLAT))
+
+
+def test_templates_written_per_batch_do_not_grow(spark, tmp_path):
+    """A batch writes the versions that it has received, not those known before."""
+    path, narrow = str(tmp_path / "templates"), STANDARD[:9]
+    got = []
+    for n in range(6):
+        fields = narrow if n % 2 else STANDARD
+        packets = [v9(cut(256, record(narrow if n % 2 == 0 else STANDARD, ie1=10 * n))) if n else v9(),
+                   v9(cut(0, template(256, fields)), cut(256, record(fields, ie1=10 * n + 1)))]
+        batch = spark.createDataFrame(
+            [(10 * n + k, moment(T0 + n), "e", bytearray(p)) for k, p in enumerate(packets)], DATAGRAM_SCHEMA)
+        for _ in range(1 + (n == 3)):  # one batch is replayed
+            rows = decode_batch(batch, n, path).select("bytes").collect()
+        got += [r.bytes for r in rows]
+    assert sorted(got) == sorted([10 * n + 1 for n in range(6)] + [10 * n for n in range(1, 6)])
+    own = [tables.read_own(spark, path, VERSION_TABLE, n, "shard").count() for n in range(6)]
+    assert own == [1] * 6
+
+
 def test_contacts_only_where_they_are_read(spark, make_flows, tmp_path):
     off = DetectionConfig(port_scan=PortScanConfig(enabled=False))
     flows = make_flows(*[dict(at=n * 100, dst_port=n) for n in range(60)])

@@ -119,3 +119,28 @@ def test_latest_snapshot_and_event(make_flows):
     assert latest == [(10, 30_000, 1), (60, 30_000, 2)]
     event = M.snapshot_event(metrics).orderBy("window_secs", "tick").first()
     assert (event.top_src_ips, event.protocol_dist) == ("1.1.1.1=7", "6=1")
+
+
+def test_ports_of_a_source_are_bitmaps(spark, make_flows):
+    """A scanner of all ports beside sources with a few, also on word borders."""
+    ports = [0, 63, 64, 127, 4095, 32767, 32768, 65535]
+    few = make_flows(*[dict(src_ip=7, dst_port=p, at=n * 9000 + 1) for n, p in enumerate(ports * 2)])
+    base = make_flows(dict(src_ip=9, at=5000))
+    scan = base.drop("dst_port").crossJoin(spark.range(65_536).select(F.col("id").cast("int").alias("dst_port"))).select(*base.columns)
+    flows = few.unionByName(scan)
+    panes = M.port_panes(flows, 10)
+    assert panes.where("src_ip = 9").count() == 1024  # not 65536
+    fanout = M.source_port_fanout(flows, (60,))
+    got = sorted((r.src_ip, int(r.tick.timestamp() * 1000) - T0, r.n_ports) for r in fanout.collect())
+    want = M.with_tick(M.expand_windows(flows.withColumn("moment_us", M.event_us(flows)), "moment_us", (60,), 10)).groupBy(
+        "src_ip", "tick").agg(F.countDistinct("dst_port").alias("n"))
+    assert got == sorted((r.src_ip, int(r.tick.timestamp() * 1000) - T0, r.n) for r in want.collect())
+    assert max(n for _, _, n in got) == 65_536
+
+
+def test_port_bitmaps_are_opened_where_they_arrive(make_flows):
+    plan = M.source_port_fanout(make_flows(dict()), (60,))._jdf.queryExecution().executedPlan().toString()
+    plan = plan[plan.index("Initial Plan") if "Initial Plan" in plan else 0:]
+    assert "dst_port" not in "".join(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+    # Pane bitmaps, bitmaps by segment, change points of the counts by place and in order.
+    assert plan.count("Exchange hashpartitioning") == 4

@@ -83,9 +83,29 @@ def endpoint_panes(flows: DataFrame, width_secs: int) -> DataFrame:
     )
 
 
+def port_word(port: Column) -> Column:
+    """Number of the word of 64 ports that a port is in."""
+    return F.shiftright(port, 6).cast("int")
+
+
+def port_bit(port: Column) -> Column:
+    """The port's bit in its word."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), port.bitwiseAND(63).cast("int"))
+
+
+def ports_of(word: Column, bits: Column) -> Column:
+    """The ports of a word, as an array."""
+    return F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(F.getbit(bits, b) == 1, word * 64 + b)),
+        lambda port: port.isNotNull())
+
+
 def port_panes(flows: DataFrame, width_secs: int) -> DataFrame:
+    """Ports contacted per source, as bitmaps of 64 ports. They merge by OR, before the
+    shuffle too: a scanner of all ports has 1024 rows in a pane, a source with one port one."""
     moment = pane_moment(event_us(flows), width_secs)
-    return flows.select(moment.alias("moment_us"), "src_ip", "dst_port").distinct()
+    return flows.groupBy(moment.alias("moment_us"), "src_ip", port_word(F.col("dst_port")).alias("word")).agg(
+        F.bit_or(port_bit(F.col("dst_port"))).alias("ports"))
 
 
 # -- per-protocol windows and the scalar counters -----------------------------
@@ -215,11 +235,14 @@ def top_talkers(
 # -- destination ports per source ----------------------------------------------
 
 def contact_spans(panes: DataFrame, windows: Sequence[int], tick_secs: int = TICK_SECS) -> DataFrame:
-    """Distinct destination ports of each source, as spans, from contacts at pane
-    moments; repeats of a contact add nothing."""
-    contact, reaches = ["dst_port", "src_ip"], closed_reaches(windows)
-    contacts = presence_spans(place_partials(panes, contact, reaches, tick_secs), contact, reaches, tick_secs)
-    return count_spans(contacts, ["src_ip"], "n_ports")
+    """Distinct destination ports of each source, as spans, from port bitmaps at pane
+    moments; repeats of a contact add nothing. The bitmaps are shuffled, and opened
+    where they have arrived: a port's spans need no exchange of their own."""
+    owner, reaches = ["src_ip", "word"], closed_reaches(windows)
+    placed = place_partials(panes.select("moment_us", *owner, "ports"), owner, reaches, tick_secs)
+    contacts = placed.select("moment_us", *owner, "segment", F.explode(ports_of(F.col("word"), F.col("ports"))).alias("dst_port"))
+    spans = presence_spans(contacts, ["dst_port", *owner], reaches, tick_secs)
+    return count_spans(spans, ["src_ip"], "n_ports")
 
 
 def fanout_spans(flows: DataFrame, windows=(60,), tick_secs: int = TICK_SECS) -> DataFrame:

@@ -1,7 +1,7 @@
 """All pane sums of flows in one pass.
 
-A pane row is about an endpoint side, a protocol or a (source, port) contact. One
-scan and one aggregation make all of them; metrics, talkers and scanners follow from
+A pane row is about an endpoint side, a protocol or the contacts of a source with a word
+of 64 ports, a bitmap. One scan and one aggregation make all of them; metrics, talkers and scanners follow from
 them, in batch and in streams.
 """
 
@@ -17,7 +17,7 @@ from weirgauge.config import TICK_SECS, TOP_TALKERS, WINDOW_SECS
 from weirgauge.functions.net import has_bits
 from weirgauge.functions.numbers import saturating_minus
 from weirgauge.operators.metrics import (
-    ACK, DST, SRC, SYN, TCP, TRAFFIC_SUMS, contact_spans, metrics_from_panes,
+    ACK, DST, SRC, SYN, TCP, TRAFFIC_SUMS, contact_spans, metrics_from_panes, port_bit, port_word,
 )
 from weirgauge.operators.ticks import event_us, first_tick, pane_moment, pane_secs, unrolled_ticks
 
@@ -31,12 +31,20 @@ PANE_SCHEMA = T.StructType([
     T.StructField("key", T.LongType()),
     T.StructField("sub", T.IntegerType()),
     *[T.StructField(name, T.LongType()) for name in TRAFFIC_SUMS],
+    T.StructField("ports", T.LongType()),
 ])
 
 
+def merge_panes(rows: DataFrame) -> DataFrame:
+    """Partial pane rows → one row per pane and key."""
+    return rows.groupBy("moment_us", *PANE_KEY).agg(
+        *[F.sum(c).alias(c) for c in TRAFFIC_SUMS], F.bit_or("ports").alias("ports"))
+
+
 def pane_rows(flows: DataFrame, windows: Sequence[int] = WINDOW_SECS, tick_secs: int = TICK_SECS,
               contacts: bool = True) -> DataFrame:
-    """Sums per pane moment, topic and key; without ``contacts`` no contact rows."""
+    """Sums and port bitmaps per pane moment, topic and key; without ``contacts`` no
+    contact rows."""
     is_tcp = F.col("protocol") == TCP
     syn_only = is_tcp & has_bits(F.col("tcp_flags"), SYN) & ~has_bits(F.col("tcp_flags"), ACK)
     zero = F.lit(0).cast("bigint")
@@ -52,14 +60,15 @@ def pane_rows(flows: DataFrame, windows: Sequence[int] = WINDOW_SECS, tick_secs:
             (F.when(syn_only, 1).otherwise(0).cast("bigint") if full else zero).alias("syn_only_flows"),
             (F.when(is_tcp, saturating_minus(F.col("end_time"), F.col("start_time"))).otherwise(zero)
              if full else zero).alias("duration_ms"),
+            (port_bit(F.col("dst_port")) if number == CONTACT else zero).alias("ports"),
         )
 
     topics = [topic(SRC, F.col("src_ip")), topic(DST, F.col("dst_ip")), topic(PROTOCOL, F.col("protocol"))]
     if contacts:
-        topics.append(topic(CONTACT, F.col("src_ip"), F.col("dst_port")))
+        topics.append(topic(CONTACT, F.col("src_ip"), port_word(F.col("dst_port"))))
     moment = pane_moment(event_us(flows), pane_secs(windows, tick_secs))
     rows = flows.select(moment.alias("moment_us"), F.explode(F.array(*topics)).alias("t")).select("moment_us", "t.*")
-    return rows.groupBy("moment_us", *PANE_KEY).agg(*[F.sum(c).alias(c) for c in TRAFFIC_SUMS])
+    return merge_panes(rows)
 
 
 def pane_metrics(panes: DataFrame, windows: Sequence[int] = WINDOW_SECS, tick_secs: int = TICK_SECS,
@@ -77,7 +86,7 @@ def pane_metrics(panes: DataFrame, windows: Sequence[int] = WINDOW_SECS, tick_se
 def pane_contacts(panes: DataFrame, windows: Sequence[int], tick_secs: int = TICK_SECS) -> DataFrame:
     """Spans with the distinct destination ports of each source."""
     contacts = panes.where(F.col("topic") == CONTACT).select(
-        "moment_us", F.col("key").alias("src_ip"), F.col("sub").alias("dst_port"))
+        "moment_us", F.col("key").alias("src_ip"), F.col("sub").alias("word"), "ports")
     return contact_spans(contacts, windows, tick_secs)
 
 

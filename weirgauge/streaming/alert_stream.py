@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirgauge.config import TICK_SECS
+from weirgauge.config import TICK_SECS, WINDOW_SECS
 from weirgauge.functions.clock import MICROS, date_of_ms
 from weirgauge.operators.alerts import alert_outbox, number_alerts
 from weirgauge.operators.cooldown import apply_cooldown
 from weirgauge.schema import FIRED_COLUMNS
 from weirgauge.streaming.metrics_stream import (
-    DAY, FIRED_SCHEMA, current_candidates, days_between, last_tick_us, newest_moment,
+    DAY, FIRED_SCHEMA, Span, current_candidates, days_of, in_spans, joined_spans, last_tick_us, newest_moment,
 )
 from weirgauge.streaming.tables import BATCH, read_parts, read_table, write_batch
 
@@ -27,20 +29,21 @@ def _at() -> Column:
     return F.unix_micros("triggered_at")
 
 
-def deliver(spark: SparkSession, root: str, batch_id: int, from_us: int, upto_us: int, cooldown_secs: int = 60,
+def deliver(spark: SparkSession, root: str, batch_id: int, spans: Sequence[Span], cooldown_secs: int = 60,
             still_open: bool = False) -> None:
-    """Put alerts of the ticks in ``[from_us, upto_us]`` into the outbox, those that
-    were not sent before. What was sent in the cooldown before ``from_us`` still
-    suppresses; an alert that late flows call into question stays sent."""
+    """Put alerts of the ticks in ``spans`` into the outbox, those that were not sent
+    before. What was sent in the cooldown before a span still suppresses; an alert that
+    late flows call into question stays sent."""
     quiet = cooldown_secs * MICROS
-    span = (from_us - quiet, upto_us)
+    spans = joined_spans(spans, quiet)  # else what one span fires would suppress in the next
+    wide = [(low - quiet, high) for low, high in spans]
     path = f"{root}/outbox"
-    sent = read_parts(spark, path, SENT_SCHEMA, DAY, days_between(*span)).where(
+    sent = read_parts(spark, path, SENT_SCHEMA, DAY, days_of(wide)).where(
         (F.col(BATCH) < batch_id) | ((F.col(BATCH) == batch_id) & (F.col(OPEN) < int(still_open)))
-    ).where(_at().between(*span)).select(*FIRED_COLUMNS)
-    before = sent.where(_at() < from_us)
-    due = current_candidates(spark, root, batch_id, span).where(_at().between(from_us, upto_us))
-    fired = apply_cooldown(before.unionByName(due), cooldown_secs).where(_at() >= from_us)
+    ).where(in_spans(_at(), wide)).select(*FIRED_COLUMNS)
+    before = sent.where(~in_spans(_at(), spans))
+    due = current_candidates(spark, root, batch_id, wide).where(in_spans(_at(), spans))
+    fired = apply_cooldown(before.unionByName(due), cooldown_secs).where(in_spans(_at(), spans))
     mine, known = fired.alias("f"), sent.select(*ALERT).alias("s")
     same = F.lit(True)
     for column in ALERT:
@@ -52,18 +55,20 @@ def deliver(spark: SparkSession, root: str, batch_id: int, from_us: int, upto_us
                 path, batch_id, [DAY, OPEN])
 
 
-def deliver_batch(spark: SparkSession, root: str, batch_id: int, oldest_us: int, cooldown_secs: int = 60,
-                  tick_secs: int = TICK_SECS) -> None:
-    """Alerts of the ticks that a batch has touched or closed. A tick is closed when a
-    flow at or after it has come in."""
+def deliver_batch(spark: SparkSession, root: str, batch_id: int, spans: Sequence[Span], cooldown_secs: int = 60,
+                  tick_secs: int = TICK_SECS, windows: Sequence[int] = WINDOW_SECS) -> None:
+    """Alerts of the ticks that a batch with flows in ``spans`` has touched or closed. A
+    tick is closed when a flow at or after it has come in; of the ticks closed now only
+    those whose windows reach back to a flow can have alerts."""
     newest, former = newest_moment(spark, root, batch_id), newest_moment(spark, root, batch_id - 1)
-    step = tick_secs * MICROS
+    step, reach = tick_secs * MICROS, max(windows) * MICROS
     closed = newest // step * step
-    start = last_tick_us(oldest_us, tick_secs)
+    touched = [(last_tick_us(low, tick_secs), high + reach) for low, high in spans]
     if former is not None:
-        start = min(start, former // step * step + step)
-    if start <= closed:
-        deliver(spark, root, batch_id, start, closed, cooldown_secs)
+        touched.append((former // step * step + step, former + reach))
+    due = [(low, min(high, closed)) for low, high in touched if low <= closed]
+    if due:
+        deliver(spark, root, batch_id, due, cooldown_secs)
 
 
 def deliver_rest(spark: SparkSession, root: str, batch_id: int, cooldown_secs: int = 60, tick_secs: int = TICK_SECS) -> None:
@@ -71,7 +76,7 @@ def deliver_rest(spark: SparkSession, root: str, batch_id: int, cooldown_secs: i
     newest = newest_moment(spark, root, batch_id)
     if newest is not None and newest % (tick_secs * MICROS):
         last = last_tick_us(newest, tick_secs)
-        deliver(spark, root, batch_id, last, last, cooldown_secs, still_open=True)
+        deliver(spark, root, batch_id, [(last, last)], cooldown_secs, still_open=True)
 
 
 def stored_alerts(spark: SparkSession, root: str, cooldown_secs: int = 60, tick_secs: int = TICK_SECS) -> DataFrame:

@@ -29,9 +29,9 @@ def process_flows(flows: DataFrame, batch_id: int, root: str, config: EngineConf
     write_batch(placed, f"{root}/flows", batch_id, [PARTITION])
     own = read_batch(flows.sparkSession, f"{root}/flows", FLOW_TABLE, batch_id, [PARTITION]).drop(PARTITION)
     add_totals(own, batch_id, root)
-    span = absorb_flows(own, batch_id, root, detection, tick_secs=tick)
-    if span is not None:
-        deliver_batch(flows.sparkSession, root, batch_id, span[0], detection.cooldown_secs, tick)
+    spans = absorb_flows(own, batch_id, root, detection, tick_secs=tick)
+    if spans:
+        deliver_batch(flows.sparkSession, root, batch_id, spans, detection.cooldown_secs, tick)
 
 
 def process_datagrams(datagrams: DataFrame, batch_id: int, root: str, config: EngineConfig = EngineConfig()) -> None:

@@ -1,8 +1,10 @@
 """Flows of a micro-batch → pane sums → metrics and candidates of the ticks they touch.
 
-Pane sums of every batch are kept as partial rows that add up. A batch computes anew
-the windows that its flows fall into, from its own and all earlier partial rows, with
-the operators of the batch engine. Whatever order flows arrive in, from however many
+Pane sums of every batch are kept as partial rows that add up, by hour. A batch computes
+anew the windows that its flows fall into, from its own and all earlier partial rows of
+the hours around its flows, with the operators of the batch engine. Hours between, as
+between a stray old flow and today's, are not looked at, and the partial rows of many
+batches are merged tier by tier. Whatever order flows arrive in, from however many
 sources, and however late, every window is complete after the batch that brings its
 last flow, nothing is dropped, and nothing waits for later traffic.
 """
@@ -19,14 +21,18 @@ from pyspark.sql import types as T
 from weirgauge.config import TICK_SECS, WINDOW_SECS, DetectionConfig
 from weirgauge.functions.clock import MICROS, date_of_ms, timestamp_of_us
 from weirgauge.operators.flow_queries import exporter_last_seen, flow_totals
-from weirgauge.operators.panes import PANE_SCHEMA, pane_contacts, pane_metrics, pane_rows
+from weirgauge.operators.panes import PANE_SCHEMA, merge_panes, pane_contacts, pane_metrics, pane_rows
 from weirgauge.operators.rules import route_rules, scan_windows, scanners_in, with_scanners
 from weirgauge.operators.ticks import expand_windows
 from weirgauge.schema import ALERT_SCHEMA, FIRED_COLUMNS, METRIC_COLUMNS, WINDOW_METRICS_SCHEMA
-from weirgauge.streaming.tables import BATCH, read_batch, read_parts, read_table, write_batch
-
-DAY = "day"  # of a pane moment or a tick
-_PANES = T.StructType([*PANE_SCHEMA.fields, T.StructField(DAY, T.DateType())])
+from weirgauge.streaming.tables import (
+    BATCH, read_batch, read_own, read_parts, read_table, read_tiered, write_batch, write_tiered,
+)
+
+DAY = "day"  # of a tick
+HOUR = "hour"  # of a pane moment, since the epoch
+HOUR_US = 3600 * MICROS
+_PANES = T.StructType([*PANE_SCHEMA.fields, T.StructField(HOUR, T.LongType())])
 _METRICS = T.StructType([*WINDOW_METRICS_SCHEMA.fields, T.StructField(DAY, T.DateType())])
 FIRED_SCHEMA = T.StructType([f for f in ALERT_SCHEMA.fields if f.name in FIRED_COLUMNS])
 _CANDIDATES = T.StructType([*FIRED_SCHEMA.fields, T.StructField(DAY, T.DateType())])
@@ -39,38 +45,72 @@ def _day(micros: Column) -> Column:
     return date_of_ms(F.call_function("div", micros, F.lit(1000)))
 
 
-def days_between(low_us: int, high_us: int) -> list[dt.date]:
-    first, last = (dt.date(1970, 1, 1) + dt.timedelta(microseconds=us) for us in (low_us, high_us))
-    return [first + dt.timedelta(days=n) for n in range((last - first).days + 1)]
+Span = tuple[int, int]  # first and last microsecond
+
+
+def _units(spans: Sequence[Span], unit_us: int) -> list[int]:
+    return sorted({n for low, high in spans for n in range(low // unit_us, high // unit_us + 1)})
+
+
+def days_of(spans: Sequence[Span]) -> list[dt.date]:
+    """The days that spans lie in."""
+    return [dt.date(1970, 1, 1) + dt.timedelta(days=n) for n in _units(spans, 24 * HOUR_US)]
+
+
+def joined_spans(spans: Sequence[Span], gap_us: int) -> list[Span]:
+    """Spans in order, those that are ``gap_us`` or less apart as one."""
+    out: list[Span] = []
+    for low, high in sorted(spans):
+        if out and low <= out[-1][1] + gap_us:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
+
+
+def in_spans(micros: Column, spans: Sequence[Span]) -> Column:
+    """Whether a moment lies in one of a batch's spans, of which there are few."""
+    listed = F.array(*[F.struct(F.lit(low).alias("low"), F.lit(high).alias("high")) for low, high in spans])
+    return F.exists(listed, lambda span: micros.between(span["low"], span["high"]))
 
 
-def panes_around(spark: SparkSession, path: str, batch_id: int, low_us: int, high_us: int) -> DataFrame:
-    """Pane rows of all batches up to this one between two moments. Only the folders
-    of their days are listed."""
-    rows = read_parts(spark, path, _PANES, DAY, days_between(low_us, high_us))
-    return rows.where((F.col(BATCH) <= batch_id) & F.col("moment_us").between(low_us, high_us)).drop(BATCH, DAY)
+def touched_spans(moments: DataFrame, cell_us: int) -> list[Span]:
+    """The moments of a batch as spans. What reaches the driver is a row per ``cell_us``
+    of time that has flows."""
+    cell = F.floor(F.col("moment_us") / cell_us)
+    found = moments.groupBy(cell.alias("cell")).agg(F.min("moment_us").alias("low"), F.max("moment_us").alias("high"))
+    return joined_spans([(r["low"], r["high"]) for r in found.collect()], 2 * cell_us)
+
+
+def panes_around(spark: SparkSession, path: str, batch_id: int, spans: Sequence[Span], reach_us: int) -> DataFrame:
+    """Pane rows of all batches up to this one that lie within ``reach_us`` of a span.
+    Only the folders of their hours are read."""
+    wide = [(low - reach_us, high + reach_us) for low, high in spans]
+    rows = read_tiered(spark, path, _PANES, batch_id, HOUR, _units(wide, HOUR_US))
+    return rows.where(in_spans(F.col("moment_us"), wide)).drop(HOUR)
 
 
 def absorb_flows(flows: DataFrame, batch_id: int, root: str, config: DetectionConfig = DetectionConfig(),
-                 windows: Sequence[int] = WINDOW_SECS, tick_secs: int = TICK_SECS) -> tuple[int, int] | None:
-    """Add the flows of one batch to the tables under ``root``. Returns the oldest and
-    newest moment of the batch, None without flows."""
+                 windows: Sequence[int] = WINDOW_SECS, tick_secs: int = TICK_SECS) -> list[Span]:
+    """Add the flows of one batch to the tables under ``root``. Returns the spans of time
+    that its flows lie in."""
     spark, scanned = flows.sparkSession, scan_windows(config)
+    # A touched window reaches back to W before its tick, which is at most W after.
+    reach = (max(windows) + tick_secs) * MICROS
     panes = pane_rows(flows, windows, tick_secs, contacts=bool(scanned))
-    write_batch(panes.withColumn(DAY, _day(F.col("moment_us"))), f"{root}/panes", batch_id, [DAY])
-    own = read_batch(spark, f"{root}/panes", _PANES, batch_id, [DAY])
-    low, high = own.agg(F.min("moment_us"), F.max("moment_us")).first()
-    newest = [m for m in (newest_moment(spark, root, batch_id - 1), high) if m is not None]
+    hour = F.floor(F.col("moment_us") / HOUR_US).cast("bigint")
+    write_tiered(panes.withColumn(HOUR, hour), f"{root}/panes", batch_id, HOUR, _merge)
+    own = read_own(spark, f"{root}/panes", _PANES, batch_id, HOUR)
+    spans = touched_spans(own, reach)
+    newest = [m for m in (newest_moment(spark, root, batch_id - 1), spans[-1][1] if spans else None) if m is not None]
     if newest:
         write_batch(spark.createDataFrame([(max(newest),)], PROGRESS_SCHEMA), f"{root}/progress", batch_id)
-    if low is None:
-        return None
+    if not spans:
+        return []
 
     touched = expand_windows(own.select("moment_us").distinct(), "moment_us", windows, tick_secs).distinct().select(
         "window_secs", timestamp_of_us(F.col("tick_us")).alias("tick"))
-    # A touched window reaches back to W before its tick, which is at most W after.
-    reach = (max(windows) + tick_secs) * MICROS
-    around = panes_around(spark, f"{root}/panes", batch_id, low - reach, high + reach)
+    around = panes_around(spark, f"{root}/panes", batch_id, spans, reach)
     metrics = pane_metrics(around, windows, tick_secs, keep_empty=False).join(touched, ["window_secs", "tick"], "left_semi")
     by_day = _day(F.unix_micros("tick"))
     write_batch(metrics.select(*METRIC_COLUMNS).withColumn(DAY, by_day), f"{root}/metrics", batch_id, [DAY])
@@ -79,7 +119,11 @@ def absorb_flows(flows: DataFrame, batch_id: int, root: str, config: DetectionCo
         watched = with_scanners(watched, scanners_in(pane_contacts(around, scanned, tick_secs), config, tick_secs))
     found = route_rules(watched, config).withColumn(DAY, _day(F.unix_micros("triggered_at")))
     write_batch(found, f"{root}/candidates", batch_id, [DAY])
-    return low, high
+    return spans
+
+
+def _merge(rows: DataFrame) -> DataFrame:
+    return merge_panes(rows).withColumn(HOUR, F.floor(F.col("moment_us") / HOUR_US).cast("bigint")).select(*_PANES.fieldNames())
 
 
 def add_totals(flows: DataFrame, batch_id: int, root: str) -> None:
@@ -90,15 +134,15 @@ def add_totals(flows: DataFrame, batch_id: int, root: str) -> None:
 
 # -- views ----------------------------------------------------------------------
 
-def _between(spark: SparkSession, path: str, schema: T.StructType, span: tuple[int, int] | None) -> DataFrame:
-    if span is None:
+def _between(spark: SparkSession, path: str, schema: T.StructType, spans: Sequence[Span] | None) -> DataFrame:
+    if spans is None:
         return read_table(spark, path, schema)
-    return read_parts(spark, path, schema, DAY, days_between(*span))
+    return read_parts(spark, path, schema, DAY, days_of(spans))
 
 
-def newest_batches(spark: SparkSession, root: str, upto: int | None = None, span: tuple[int, int] | None = None) -> DataFrame:
-    """The batch that computed each (window, tick) last, of all days or those of ``span``."""
-    rows = _between(spark, f"{root}/metrics", _METRICS, span)
+def newest_batches(spark: SparkSession, root: str, upto: int | None = None, spans: Sequence[Span] | None = None) -> DataFrame:
+    """The batch that computed each (window, tick) last, of all days or those of ``spans``."""
+    rows = _between(spark, f"{root}/metrics", _METRICS, spans)
     if upto is not None:
         rows = rows.where(F.col(BATCH) <= upto)
     return rows.groupBy("window_secs", "tick").agg(F.max(BATCH).alias(BATCH))
@@ -117,10 +161,10 @@ def newest_moment(spark: SparkSession, root: str, batch_id: int | None = None) -
     return rows.agg(F.max("newest_us")).first()[0]
 
 
-def current_candidates(spark: SparkSession, root: str, upto: int | None = None, span: tuple[int, int] | None = None) -> DataFrame:
+def current_candidates(spark: SparkSession, root: str, upto: int | None = None, spans: Sequence[Span] | None = None) -> DataFrame:
     """Candidates as the latest computation of their tick has them."""
-    rows = _between(spark, f"{root}/candidates", _CANDIDATES, span)
-    latest = newest_batches(spark, root, upto, span).withColumnRenamed("tick", "triggered_at")
+    rows = _between(spark, f"{root}/candidates", _CANDIDATES, spans)
+    latest = newest_batches(spark, root, upto, spans).withColumnRenamed("tick", "triggered_at")
     return rows.join(latest, ["window_secs", "triggered_at", BATCH], "left_semi").select(*FIRED_COLUMNS)
 
 
