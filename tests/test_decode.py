@@ -1,10 +1,16 @@
+import random
+
 import pytest
 from moments import T0, moment
 from packets import STANDARD, cut, ipfix, record, template, v5, v5_record, v9
+from pyspark.sql import functions as F
 
 from weirgauge.operators.decode import decode_flows, decode_templated, decode_v5
 from weirgauge.operators.sets import split_sets
-from weirgauge.operators.templates import parse_templates, read_templates, template_history
+from weirgauge.operators import templates
+from weirgauge.operators.templates import (
+    dyadic_blocks, layout_cover, parse_templates, read_templates, template_history, template_layouts,
+)
 from weirgauge.schema import DATAGRAM_SCHEMA
 from weirgauge.sources.datagrams import classify_datagrams, decode_errors, read_datagrams, version_gate
 
@@ -108,10 +114,60 @@ def test_flapping_template(spark, capture, limit):
         fields = narrow if n % 2 else STANDARD
         packets += [v9(cut(0, template(256, fields))), v9(cut(256, record(fields, ie1=n)), cut(256, record(fields, ie1=n + 10_000)))]
         wanted += [] if n % 2 else [n, n + 10_000]
-    found = sorted(r.bytes for r in decode_flows(capture(*packets), broadcast_versions=limit).select("bytes").collect())
+    found = sorted(r.bytes for r in decode_flows(capture(*packets), broadcast_layouts=limit).select("bytes").collect())
     assert found == sorted(wanted)
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_versions_that_are_valid_for_long(spark, capture, limit):
+    """Three versions over 10^9 packets; data at their borders and far inside."""
+    narrow = STANDARD[:9]
+    far = [0, 5, 6, 7, 10**6, 10**9 - 1, 10**9, 10**9 + 1, 10**9 + 4095, 10**9 + 4096, 3 * 10**9, 3 * 10**9 + 1]
+    packets = {5: (STANDARD, 1), 10**9: (narrow, 2), 3 * 10**9: (STANDARD, 3)}
+    rows, wanted, fields = [], [], None
+    for seq in far:
+        fields = packets[seq][0] if seq in packets else fields
+        announce = [cut(0, template(256, fields))] if seq in packets else []
+        before = [cut(256, record(old, ie1=seq % 10**9 + 7))] if (old := {10**9: STANDARD, 3 * 10**9: narrow}.get(seq)) else []
+        rows.append((seq, v9(*before, *announce, cut(256, record(fields or STANDARD, ie1=seq % 10**9 + 1)))))
+        wanted += [seq % 10**9 + 7] * len(before) + ([seq % 10**9 + 1] if fields else [])
+    sent = spark.createDataFrame([(seq, moment(T0 + n), "127.0.0.1", bytearray(p)) for n, (seq, p) in enumerate(rows)], DATAGRAM_SCHEMA)
+    assert sorted(r.bytes for r in decode_flows(sent, broadcast_layouts=limit).select("bytes").collect()) == sorted(wanted)
+    cover = layout_cover(template_layouts(template_history(parse_templates(split_sets(classify_datagrams(sent))))))
+    per_version = cover.groupBy("from_pos").count().collect()
+    assert len(per_version) == 3 and max(r["count"] for r in per_version) < 64
+
+
+def test_payloads_stay_where_they_are(capture):
+    sent = capture(v9(cut(0, template(256, STANDARD))), v9(cut(0, template(256, STANDARD[:9]))), v9(cut(256, record())))
+    plan = decode_flows(sent)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and plan.count("BroadcastHashJoin") == 1
+
+
+def test_dyadic_blocks(spark):
+    rng = random.Random(4)
+    spans = [(0, 0), (0, 63), (1, 62), (5, 5), (2**48 - 1, 2**48), (0, 2**49 - 1)]
+    spans += [tuple(sorted((rng.randrange(2000), rng.randrange(2000)))) for _ in range(40)]
+    got = spark.createDataFrame(spans, "a long, b long").select("a", "b", dyadic_blocks(F.col("a"), F.col("b")).alias("c")).collect()
+    for a, b, blocks in got:
+        pieces = sorted((x.block << x.level, (x.block + 1 << x.level) - 1) for x in blocks)
+        assert pieces[0][0] == a and pieces[-1][1] == b
+        assert all(q == p + 1 for (_, p), (q, _) in zip(pieces, pieces[1:]))
+        assert len(blocks) <= 2 * (b - a + 1).bit_length()
+
+
+def test_history_is_carried_over_blocks(capture, monkeypatch):
+    """Versions, repeats and changes on either side of block borders."""
+    monkeypatch.setattr(templates, "HISTORY_BLOCK", 3)
+    layouts = {"A": STANDARD, "B": STANDARD[:9], "C": STANDARD[:8]}
+    for sent in ("AAAAAAAAA", "ABABABABAB", "AAABBBAAAC", "A--------B-----B---A", "AAAA----AAAABBBBBBBBBC"):
+        found = template_history(parse_templates(split_sets(classify_datagrams(capture(*[
+            v9(cut(0, template(256, layouts[x]))) if x != "-" else v9() for x in sent]))))).orderBy("from_pos").collect()
+        starts = [n for n, x in enumerate(sent) if x != "-" and x != sent[:n].replace("-", "")[-1:]]
+        assert [r.from_pos >> 14 for r in found] == starts
+        assert [r.to_pos and r.to_pos >> 14 for r in found] == [*starts[1:], None]
+
+
 def test_withdrawn_template(capture):
     rows = flows_of(capture(
         ipfix(cut(2, template(256, STANDARD))), ipfix(cut(256, record())), ipfix(cut(2, template(256, []))),
@@ -175,7 +231,7 @@ def test_lookup_without_broadcast_agrees(capture):
     classified = classify_datagrams(capture(*packets))
     wide = decode_templated(classified)
     assert wide.count() == 40
-    blocked = decode_templated(classified, broadcast_versions=0)
+    blocked = decode_templated(classified, broadcast_layouts=0)
     assert wide.exceptAll(blocked).count() == 0 and blocked.exceptAll(wide).count() == 0
 
 

@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 
 import pytest
@@ -35,6 +36,27 @@ def test_table_keeps_rows_and_prunes(spark, make_flows, tmp_path):
     assert query.count() == 1
 
 
+def test_newest_flows_of_a_long_range_read_the_newest_dates(spark, make_flows, tmp_path):
+    day, path = 86_400_000, str(tmp_path / "flows")
+    write_flows(make_flows(*[dict(at=n * day + k * 60_000, bytes=k) for n in range(0, 400, 8) for k in range(3)]), path)
+    table, last = read_flows(spark, path), T0 + 400 * day
+
+    def since(limit, start=T0):
+        return (Q.oldest_date_needed(table, start, last, limit) - dt.date(2024, 1, 1)).days
+
+    # Looked at: the last date, two before it, four before these, and so on.
+    assert [since(n) for n in (2, 6, 40, 1000)] == [400 - 14, 400 - 30, 400 - 126, 0]
+    newest = Q.flows_in_range(table, T0, last, 2)
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(flow_date" in plan and ">= 2025-01-2" in plan
+    assert [(r.received_at_ms - T0) // day for r in newest.collect()] == [392, 392]
+    some, everything = Q.flows_in_range(table, T0, last, 40), Q.flows_in_range(table, T0, last, 1000)
+    assert some.count() == 40 and everything.count() == 150
+    assert Q.flows_in_range(table, last - 20 * day, last, 1000).count() == 6
+    assert Q.flows_in_range(table, T0 + 5, T0 + 4, 10).count() == 0 and Q.flows_in_range(table, T0, last, 0).count() == 0
+    assert Q.flows_in_range(table.drop("flow_date"), T0, last, 40).collect() == some.collect()
+
+
 def test_history_arguments(make_flows):
     flows = make_flows(*[dict(at=n * 1000) for n in range(1200)])
     now = moment(T0 + 1_200_000)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weirgauge.functions.net import hex_uint
 from weirgauge.operators.sets import data_sets, split_sets
 from weirgauge.operators.templates import (
-    BROADCAST_VERSIONS, ELEMENTS, OFFSET_COLUMNS, V5_OFFSETS, parse_templates, resolve_template, template_history,
+    BROADCAST_LAYOUTS, ELEMENTS, OFFSET_COLUMNS, V5_OFFSETS, parse_templates, resolve_template, template_history,
     template_layouts,
 )
 from weirgauge.schema import FLOW_COLUMNS
@@ -53,26 +53,26 @@ def decode_v5(classified: DataFrame) -> DataFrame:
 
 
 def decode_with_layouts(
-    data: DataFrame, layouts: DataFrame, broadcast_versions: int = BROADCAST_VERSIONS
+    data: DataFrame, layouts: DataFrame, broadcast_layouts: int = BROADCAST_LAYOUTS
 ) -> DataFrame:
-    return map_fields(slice_records(resolve_template(data, layouts, broadcast_versions)))
+    return map_fields(slice_records(resolve_template(data, layouts, broadcast_layouts)))
 
 
-def _decode(classified: DataFrame, fixed_layout: bool, broadcast_versions: int) -> DataFrame:
+def _decode(classified: DataFrame, fixed_layout: bool, broadcast_layouts: int) -> DataFrame:
     layouts = template_layouts(template_history(parse_templates(split_sets(classified))))
-    return decode_with_layouts(data_sets(split_sets(classified, fixed_layout)), layouts, broadcast_versions)
+    return decode_with_layouts(data_sets(split_sets(classified, fixed_layout)), layouts, broadcast_layouts)
 
 
-def decode_templated(classified: DataFrame, broadcast_versions: int = BROADCAST_VERSIONS) -> DataFrame:
+def decode_templated(classified: DataFrame, broadcast_layouts: int = BROADCAST_LAYOUTS) -> DataFrame:
     """Flows of the template-based packets (both formats share their templates)."""
-    return _decode(classified, False, broadcast_versions)
+    return _decode(classified, False, broadcast_layouts)
 
 
 def decode_flows(
-    datagrams: DataFrame, accepted: Sequence[int] = (), broadcast_versions: int = BROADCAST_VERSIONS
+    datagrams: DataFrame, accepted: Sequence[int] = (), broadcast_layouts: int = BROADCAST_LAYOUTS
 ) -> DataFrame:
     """Flows of all formats. A bad datagram yields no rows and harms no other.
 
     Two passes over the datagrams: one collects the templates, one decodes.
     """
-    return _decode(classify_datagrams(version_gate(datagrams, accepted)), True, broadcast_versions)
+    return _decode(classify_datagrams(version_gate(datagrams, accepted)), True, broadcast_layouts)

@@ -51,15 +51,39 @@ def flow_events(flows: DataFrame) -> DataFrame:
     return flows.select("received_at_ms", F.to_json(F.struct(*fields)).alias("event"))
 
 
+def oldest_date_needed(table: DataFrame, start_ms: int, end_ms: int, limit: int) -> dt.date:
+    """The date from which on a date-partitioned table surely holds the ``limit`` newest
+    flows of the closed range; the first date of the range if it has fewer.
+
+    Looks at the last date first and then at twice as many, so that a request for the
+    newest flows of a long range reads the partitions that have them, and at most as
+    many again.
+    """
+    def date_of(ms: int) -> dt.date:
+        return dt.date(1970, 1, 1) + dt.timedelta(milliseconds=ms)
+
+    wanted = table.where((F.col("received_at_ms") >= start_ms) & (F.col("received_at_ms") <= end_ms))
+    first, upto = date_of(start_ms), date_of(end_ms)
+    days, held = 1, 0
+    while upto > first:
+        since = max(first, upto - dt.timedelta(days=days - 1))
+        held += wanted.where(F.col(PARTITION).between(F.lit(since), F.lit(upto))).limit(limit - held).count()
+        if held >= limit:
+            return since
+        upto, days = since - dt.timedelta(days=1), 2 * days
+    return first
+
+
 def flows_in_range(flows: DataFrame, start_ms: int, end_ms: int, limit: int) -> DataFrame:
     """Newest flows of the closed range, at most ``limit``.
 
-    Ties in time are broken by all columns, so the answer is the same on every run.
-    The date bound is redundant for the result and prunes partitions.
+    Ties in time are broken by all columns, so the answer is the same on every run. Of
+    a date-partitioned table only the newest partitions that hold ``limit`` flows are read.
     """
     wanted = flows.where((F.col("received_at_ms") >= start_ms) & (F.col("received_at_ms") <= end_ms))
-    if PARTITION in flows.columns:
-        wanted = wanted.where(F.col(PARTITION).between(date_of_ms(F.lit(start_ms)), date_of_ms(F.lit(end_ms))))
+    if PARTITION in flows.columns and 0 < limit and start_ms <= end_ms:
+        since = oldest_date_needed(flows, start_ms, end_ms, limit)
+        wanted = wanted.where(F.col(PARTITION).between(F.lit(since), date_of_ms(F.lit(end_ms))))
     ties = [F.asc(c) for c in FLOW_COLUMNS if c not in ("received_at", "received_at_ms")]
     return wanted.select(*FLOW_COLUMNS).orderBy(F.desc("received_at_ms"), *ties).limit(limit)
 

@@ -16,11 +16,14 @@ from weirgauge.storage import settle
 TEMPLATE_KEY = ["exporter_ip", "domain", "template_id"]
 # A packet holds at most 65535 / 4 sets, so (seq, set_idx) fits one long.
 SETS_PER_PACKET = 1 << 14
-HISTORY_BLOCK = 1 << 16
-LOOKUP_BLOCK = 1 << 12
+HISTORY_BLOCK = 1 << 16  # packets
+LOOKUP_LEVEL = 12  # payloads that are shuffled meet versions in blocks of 2**12 packets
+LEVELS = 49  # a packet's number is below 2**49, as its position fits one long
+# Levels of layout rows that are found without a block.
+LATEST, FIXED, WITHIN = -1, -2, -3
 # A layout row is below 200 bytes (fixed columns, addresses up to 45 characters),
 # so a broadcast of this many stays below 40 MB.
-BROADCAST_VERSIONS = 200_000
+BROADCAST_LAYOUTS = 200_000
 
 # Fixed values: (column, information element, width, Spark type, mandatory).
 ELEMENTS = [
@@ -95,27 +98,34 @@ def position() -> Column:
     return F.col("seq") * SETS_PER_PACKET + F.col("set_idx")
 
 
-def _changes(rows: DataFrame, group: list) -> DataFrame:
-    """Rows whose template differs from the one before it in the group."""
-    order = Window.partitionBy(*group).orderBy("from_pos")
-    marked = rows.withColumn("previous", F.lag("fields").over(order))
-    return marked.where(F.col("previous").isNull() | (F.col("previous") != F.col("fields"))).drop("previous")
-
-
 def template_history(templates: DataFrame) -> DataFrame:
     """Distinct consecutive versions per key with validity ``[from_pos, to_pos)``.
 
-    Exporters repeat their templates all the time. Repeats go in two steps, first
-    inside blocks of the arrival order: the full history of a busy exporter is
-    never sorted in one task.
+    Exporters repeat their templates all the time. A template is compared with the one
+    before it inside its block of the arrival order; the first of a block with the last
+    of the block before, which is known from one row per block. In the same way a
+    version ends where the next begins, in its block or in the next block that has one.
+    So no task sorts more than a block of a key, and the blocks of a key are all that is
+    looked at together.
     """
     block = F.call_function("div", F.col("seq"), F.lit(HISTORY_BLOCK))
-    placed = templates.groupBy(*TEMPLATE_KEY, block.alias("block"), position().alias("from_pos")).agg(
+    placed = settle(templates.groupBy(*TEMPLATE_KEY, block.alias("block"), position().alias("from_pos")).agg(
         F.max_by(F.struct("fields", "total_length"), "tmpl_idx").alias("t")
-    ).select(*TEMPLATE_KEY, "block", "from_pos", "t.fields", "t.total_length")
-    versions = _changes(_changes(placed, [*TEMPLATE_KEY, "block"]), TEMPLATE_KEY).drop("block")
-    order = Window.partitionBy(*TEMPLATE_KEY).orderBy("from_pos")
-    return versions.withColumn("to_pos", F.lead("from_pos").over(order))
+    ).select(*TEMPLATE_KEY, "block", "from_pos", "t.fields", "t.total_length"), "templates")
+    own = [*TEMPLATE_KEY, "block"]
+    within = Window.partitionBy(*own).orderBy("from_pos")
+    of_key = Window.partitionBy(*TEMPLATE_KEY).orderBy("block")  # a row per block
+
+    carried = placed.groupBy(*own).agg(F.max_by("fields", "from_pos").alias("last")).select(
+        *own, F.lag("last").over(of_key).alias("carried"))
+    marked = placed.withColumn("previous", F.lag("fields").over(within)).join(carried, own)
+    before = F.coalesce("previous", "carried")
+    changed = settle(marked.where(before.isNull() | (before != F.col("fields"))).drop("previous", "carried"), "template-changes")
+
+    heads = changed.groupBy(*own).agg(F.min("from_pos").alias("head")).select(
+        *own, F.lead("head").over(of_key).alias("next_head"))
+    ended = changed.withColumn("next", F.lead("from_pos").over(within)).join(heads, own)
+    return ended.select(*TEMPLATE_KEY, "from_pos", "fields", "total_length", F.coalesce("next", "next_head").alias("to_pos"))
 
 
 def template_layouts(history: DataFrame) -> DataFrame:
@@ -144,28 +154,57 @@ def template_layouts(history: DataFrame) -> DataFrame:
     return columns.withColumn("usable", usable)
 
 
+def dyadic_blocks(first: Column, last: Column) -> Column:
+    """The whole numbers from ``first`` (0 or more) to ``last`` as the fewest aligned
+    blocks of powers of two: an array of ``level, block``, block ``b`` of level ``l``
+    being the numbers from ``b * 2**l`` on. A level has two at most."""
+    def at(level: Column) -> Column:
+        low = F.call_function("shiftright", first - 1, level) + 1  # whole blocks of the level
+        end = F.call_function("shiftright", last + 1, level)
+
+        def block(number: Column, odd: Column) -> Column:
+            there = (low < end) & (odd.bitwiseAND(F.lit(1).cast("bigint")) == 1)
+            return F.when(there, F.struct(level.alias("level"), number.alias("block")))
+
+        return F.array(block(low, low), block(end - 1, end))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), at)))
+
+
+def layout_cover(layouts: DataFrame) -> DataFrame:
+    """Layouts once per ``level, block`` of packets that they are valid in. However long
+    a version was valid, it has two rows per binary digit of that at most. The latest
+    version of a key has one row, at the level ``LATEST``."""
+    def packet(pos: Column) -> Column:
+        return F.call_function("div", pos, F.lit(SETS_PER_PACKET))
+
+    past = dyadic_blocks(packet(F.col("from_pos")), packet(F.col("to_pos") - 1))
+    now = F.array(F.struct(F.lit(LATEST).alias("level"), F.lit(0).cast("bigint").alias("block")))
+    cover = F.explode(F.when(F.col("to_pos").isNull(), now).otherwise(past)).alias("c")
+    return layouts.select(*layouts.columns, cover).select(*layouts.columns, "c.level", "c.block")
+
+
 def resolve_template(
-    data: DataFrame, layouts: DataFrame, broadcast_versions: int = BROADCAST_VERSIONS
+    data: DataFrame, layouts: DataFrame, broadcast_layouts: int = BROADCAST_LAYOUTS
 ) -> DataFrame:
     """Give each data set the layout valid at its place; sets without one are
     dropped. Version 5 sets carry their fixed layout and need no lookup.
 
-    The layouts are written once and counted. Up to ``broadcast_versions`` rows
-    they are broadcast and the payloads stay where they are: past versions are found
-    by (key, block of the arrival order), so that a template that keeps changing is
-    no long chain, the latest by its key. Beyond that both sides meet on (key, block),
-    so neither a busy exporter nor a long version list lands in one task.
+    Versions are kept by the power-of-two blocks of packets that they cover, and a data
+    set looks into one block per level. The rows are written once and counted. Up to
+    ``broadcast_layouts`` rows they are broadcast, and the payloads stay where they are:
+    neither a version that is valid for long nor one that keeps changing makes a long
+    list. Beyond that both sides meet on (key, block of the arrival order).
     """
-    layouts = settle(layouts, "template-layouts")
+    cover = settle(layout_cover(layouts), "template-layouts")
+    sizes = {r["level"]: (r["count"], r["ends"]) for r in cover.groupBy("level").agg(  # a row per level
+        F.count(F.lit(1)).alias("count"), F.max("to_pos").alias("ends")).collect()}
     placed = data.withColumn("pos", position())
-    closed = _by_block(layouts.where(F.col("to_pos").isNotNull()))
-    latest = layouts.where(F.col("to_pos").isNull())
-    rows = closed.select("template_id").unionByName(latest.select("template_id"))
-    if rows.limit(broadcast_versions + 1).count() <= broadcast_versions:
-        joined = _broadcast_lookup(placed, closed, latest)
+    if sum(count for count, _ in sizes.values()) <= broadcast_layouts:
+        joined = _broadcast_lookup(placed, cover, sizes)
     else:
         fixed = placed.where(F.col("template_id") == V5_SET)
-        joined = _blocked_lookup(placed.where(F.col("template_id") != V5_SET), layouts).unionByName(fixed, True)
+        joined = _blocked_lookup(placed.where(F.col("template_id") != V5_SET), cover, sizes).unionByName(fixed, True)
     return with_fixed_layout(joined).where("usable").select(
         "exporter_ip", "received_at", "body", "total_length", *OFFSET_COLUMNS)
 
@@ -181,48 +220,50 @@ def with_fixed_layout(joined: DataFrame) -> DataFrame:
         *[F.when(is_v5, V5_OFFSETS[name]).otherwise(F.col(f"at_{name}")).alias(f"at_{name}") for name, *_ in ELEMENTS])
 
 
-def _valid() -> Column:
-    return (F.col("pos") >= F.col("from_pos")) & (F.col("to_pos").isNull() | (F.col("pos") < F.col("to_pos")))
+def _probe(level: int, block: Column | None = None) -> Column:
+    return F.struct(F.lit(level).alias("level"), (F.lit(0) if block is None else block).cast("bigint").alias("block"))
 
 
-def _block(pos: Column, packets: int = HISTORY_BLOCK) -> Column:
-    return F.call_function("div", pos, F.lit(SETS_PER_PACKET * packets))
-
-
-def _by_block(closed: DataFrame) -> DataFrame:
-    """Versions that have ended, once per block that they were valid in."""
-    blocks = F.sequence(_block(F.col("from_pos"), LOOKUP_BLOCK), _block(F.col("to_pos") - 1, LOOKUP_BLOCK))
-    return closed.withColumn("block", F.explode(blocks))
+def _valid() -> Column:
+    return (F.col("pos") >= F.col("from_pos")) & (F.col("to_pos").isNull() | (F.col("pos") < F.col("to_pos")))
 
 
-def _broadcast_lookup(placed: DataFrame, closed: DataFrame, latest: DataFrame) -> DataFrame:
+def _broadcast_lookup(placed: DataFrame, cover: DataFrame, sizes: dict[int, tuple[int, int | None]]) -> DataFrame:
+    """A row's probes are made and looked up one by one inside its task; one at most hits."""
+    past = sorted(level for level in sizes if level != LATEST)
+    ended = max([ends for _, ends in sizes.values() if ends is not None], default=0)
+    seq = F.col("seq")
+    probes = [_probe(level, F.shiftright(seq, level)) for level in past]
+    late = F.array(_probe(LATEST))
+    wanted = (
+        F.when(F.col("template_id") == V5_SET, F.array(_probe(FIXED)))
+        .when(F.col("pos") < ended, F.array(*probes, _probe(LATEST))).otherwise(late))
     found = ["total_length", "usable", *OFFSET_COLUMNS]
-    past = closed.select(*TEMPLATE_KEY, "block", "from_pos", "to_pos", F.struct(*found).alias("past")).alias("k")
-    now = latest.select(*TEMPLATE_KEY, F.col("from_pos").alias("since"), F.struct(*found).alias("now")).alias("n")
-
-    def on_key(left: str, right: str) -> Column:
-        match = F.lit(True)
-        for name in TEMPLATE_KEY:
-            match = match & (F.col(f"{left}.{name}") == F.col(f"{right}.{name}"))
-        return match
-
-    rows = placed.withColumn("block", _block(F.col("pos"), LOOKUP_BLOCK)).alias("d")
-    joined = rows.join(
-        F.broadcast(past), on_key("d", "k") & (F.col("d.block") == F.col("k.block")) & _valid(), "left").join(
-        F.broadcast(now), on_key("d", "n") & (F.col("d.pos") >= F.col("n.since")), "left")
-    layout = F.coalesce("past", "now")
-    return joined.select(*[F.col(f"d.{c}") for c in placed.columns], *[layout[c].alias(c) for c in found])
-
-
-def _blocked_lookup(placed: DataFrame, layouts: DataFrame) -> DataFrame:
-    ends = placed.groupBy(*TEMPLATE_KEY).agg(F.max("pos").alias("last_pos"))
-    until = F.least(F.coalesce("to_pos", "last_pos"), "last_pos")
-    spread = (
-        layouts.join(ends, TEMPLATE_KEY).where(F.col("from_pos") <= F.col("last_pos"))
-        .withColumn("block", F.explode(F.sequence(_block(F.col("from_pos")), _block(until))))
-        .drop("last_pos")
-    )
-    return (
-        placed.withColumn("block", _block(F.col("pos"))).join(spread, [*TEMPLATE_KEY, "block"])
-        .where(_valid()).drop("block", "from_pos", "to_pos")
-    )
+    rows = placed.select(*placed.columns, F.explode(wanted).alias("probe")).alias("d")
+    known = cover.select(*TEMPLATE_KEY, "level", "block", "from_pos", "to_pos", *found).alias("k")
+    match = (F.col("d.probe.level") == F.col("k.level")) & (F.col("d.probe.block") == F.col("k.block")) & _valid()
+    for name in TEMPLATE_KEY:
+        match = match & (F.col(f"d.{name}") == F.col(f"k.{name}"))
+    joined = rows.join(F.broadcast(known), match, "left").where(
+        F.col("k.level").isNotNull() | (F.col("d.probe.level") == FIXED))
+    return joined.select(*[F.col(f"d.{c}") for c in placed.columns], *[F.col(f"k.{c}") for c in found])
+
+
+def _blocked_lookup(placed: DataFrame, cover: DataFrame, sizes: dict[int, tuple[int, int | None]]) -> DataFrame:
+    """The blocks that have data are looked up first, as narrow rows, so that a version
+    is listed for those only, and payloads are shuffled once."""
+    here = F.shiftright(F.col("seq"), LOOKUP_LEVEL)
+    blocked = placed.withColumn("here", here)
+    above = sorted(level for level in sizes if level >= LOOKUP_LEVEL)
+    probes = F.array(
+        _probe(LATEST), _probe(WITHIN, F.col("here")),
+        *[_probe(level, F.shiftright(F.col("here"), level - LOOKUP_LEVEL)) for level in above])
+    asked = blocked.select(*TEMPLATE_KEY, "here").distinct().select(*TEMPLATE_KEY, "here", F.explode(probes).alias("p")).select(
+        *TEMPLATE_KEY, "here", "p.level", "p.block")
+    small = F.col("level").between(0, LOOKUP_LEVEL - 1)
+    inside = cover.select(
+        *[c for c in cover.columns if c not in ("level", "block")], F.when(small, WITHIN).otherwise(F.col("level")).alias("level"),
+        F.when(small, F.call_function("shiftright", F.col("block"), F.greatest(F.lit(LOOKUP_LEVEL) - F.col("level"), F.lit(0))))
+        .otherwise(F.col("block")).alias("block")).dropDuplicates([*TEMPLATE_KEY, "level", "block", "from_pos"])
+    spread = asked.join(inside, [*TEMPLATE_KEY, "level", "block"]).drop("level", "block")
+    return blocked.join(spread, [*TEMPLATE_KEY, "here"]).where(_valid()).drop("here", "from_pos", "to_pos")

@@ -26,7 +26,7 @@ from weirgauge.operators.cooldown import apply_cooldown
 from weirgauge.operators.decode import decode_flows, decode_templated, decode_v5
 from weirgauge.operators.sets import split_sets
 from weirgauge.operators.templates import (
-    ELEMENTS, parse_templates, template_history, template_layouts,
+    ELEMENTS, layout_cover, parse_templates, template_history, template_layouts,
 )
 from weirgauge.plans.pipelines import fired_alerts, run_available
 from weirgauge.schema import FLOW_COLUMNS, FLOW_SCHEMA, WINDOW_METRICS_SCHEMA
@@ -53,6 +53,9 @@ AS_OF = "2024-01-01T00:20:00Z"
 ALERT_ID = 7
 HOT_TARGET = "1.1.1.1"
 NORMALIZE_NOW = "2024-02-02T00:00:00Z"
+LONG_STEP = 999_983
+DAY_MS = 86_400_000
+YEAR_LIMIT = 700
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -128,6 +131,22 @@ def _(spark, folder):
         F.count(F.lit(1)).alias("datagrams"), F.sum(F.length("payload")).alias("payload_bytes"))
 
 
+@query("read_datagrams_rows")
+def _(spark, folder):
+    captured = _captured(spark, folder)
+    first, second = shared_path(spark, "capture"), shared_path(spark, "capture")
+    captured.where("exporter_ip = '127.0.0.1'").write.parquet(first)
+    captured.where("exporter_ip <> '127.0.0.1'").write.parquet(second)
+    return D.read_datagrams(spark, first, second).select(
+        "exporter_ip", "seq", F.length("payload").alias("payload_bytes"))
+
+
+@query("version_gate_rows")
+def _(spark, folder):
+    return D.version_gate(_captured(spark, folder), [5, 9]).select(
+        "exporter_ip", "seq", D.version_of(F.col("payload")).alias("version"), F.length("payload").alias("payload_bytes"))
+
+
 @query("version_gate")
 def _(spark, folder):
     kept = D.version_gate(_captured(spark, folder), [5, 9])
@@ -187,7 +206,7 @@ def _(spark, folder):
 
 @query("decode_templated_flows_without_broadcast")
 def _(spark, folder):
-    return _flat_flows(decode_templated(_classified(spark, folder), broadcast_versions=0))
+    return _flat_flows(decode_templated(_classified(spark, folder), broadcast_layouts=0))
 
 
 @query("decode_flows")
@@ -195,6 +214,25 @@ def _(spark, folder):
     return _flat_flows(decode_flows(_captured(spark, folder)))
 
 
+@query("decode_flows_long_validity")
+def _(spark, folder):
+    """Arrival numbers that lie far apart: versions are valid over 10^12 positions."""
+    captured = _captured(spark, folder)
+    return _flat_flows(decode_flows(captured.withColumn("seq", F.col("seq") * LONG_STEP)))
+
+
+@query("layout_cover")
+def _(spark, folder):
+    """The packets that each version's blocks make up, and how few blocks these are."""
+    captured = _captured(spark, folder).withColumn("seq", F.col("seq") * LONG_STEP)
+    history = template_history(parse_templates(split_sets(D.classify_datagrams(captured))))
+    size = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("level"))
+    past = layout_cover(template_layouts(history)).where(F.col("to_pos").isNotNull())
+    return past.groupBy("exporter_ip", "from_pos", "to_pos").agg(
+        F.min(F.col("block") * size).alias("first_packet"), F.max((F.col("block") + 1) * size - 1).alias("last_packet"),
+        F.sum(size).alias("packets"), (F.count(F.lit(1)) < 64).alias("few"))
+
+
 @query("decode_flows_several_sets")
 def _(spark, folder):
     return _flat_flows(decode_flows(multi_set_datagrams(read_events(spark, folder))))
@@ -236,6 +274,25 @@ def _(spark, folder):
         F.count(F.lit(1)).alias("flows"), F.sum("bytes").alias("bytes"), F.max("received_at_ms").alias("newest_ms"))
 
 
+@query("write_flows_rows")
+def _(spark, folder):
+    path = shared_path(spark, "flows")
+    write_flows(event_flows(spark, folder), path)
+    kept = [c for c in FLOW_COLUMNS if c != "received_at"]
+    return read_flows(spark, path).select(*kept, F.col("flow_date").cast("string").alias("flow_date"))
+
+
+@query("flow_history_of_a_year")
+def _(spark, folder):
+    """The newest flows of a table over a year: flows are dealt to days by their bytes."""
+    path = shared_path(spark, "flows")
+    flows = event_flows(spark, folder)
+    ms = F.col("received_at_ms") + (F.col("bytes") * 7 + F.col("src_port")) % 365 * DAY_MS
+    write_flows(flows.withColumn("received_at_ms", ms).withColumn("received_at", F.timestamp_millis("received_at_ms")), path)
+    return Q.flow_history(
+        read_flows(spark, path), "2024-01-01T00:00:00Z", "2025-06-01T00:00:00Z", YEAR_LIMIT, HISTORY_NOW)
+
+
 @query("flows_in_range")
 def _(spark, folder):
     return _flat_flows(Q.flows_in_range(event_flows(spark, folder), RANGE_START_MS, RANGE_END_MS, RANGE_LIMIT))

@@ -348,11 +348,18 @@ _HISTORY = (f"select {ip('src_ip')} as src_ip, {ip('dst_ip')} as dst_ip, src_por
             "(select * from all_flows where received_at_ms between {low} and {high} "
             f"order by received_at_ms desc, {_TIES} limit {{limit}})")
 
+YEAR = """
+year_flows as (
+  select * exclude (received_at_ms), received_at_ms + (bytes * 7 + src_port) % 365 * 86400000 as received_at_ms from all_flows)"""
+
 ORACLES: dict[str, str] = {
     "read_datagrams": _captured(
         "select exporter_ip, count(*) as datagrams, cast(sum(size) as bigint) as payload_bytes from captured group by all"),
     "version_gate": _captured(
         "select exporter_ip, version, count(*) as datagrams from captured where version in (5, 9) group by all"),
+    "read_datagrams_rows": _captured("select exporter_ip, seq, cast(size as integer) as payload_bytes from captured"),
+    "version_gate_rows": _captured(
+        "select exporter_ip, seq, version, cast(size as integer) as payload_bytes from captured where version in (5, 9)"),
     "classify_datagrams": _captured("select exporter_ip, seq, kind, error from captured"),
     "decode_errors": _captured(
         "select error, count(*) as datagrams, cast(sum(size) as bigint) as payload_bytes from captured "
@@ -369,9 +376,16 @@ ORACLES: dict[str, str] = {
         "lead(seq * 16384) over (partition by exporter_ip order by seq) as to_pos, total_length, usable, offsets from "
         "(select *, lag(layout) over (partition by exporter_ip order by seq) as previous from template_grams) "
         "join texts using (exporter_ip, layout) where previous is null or previous <> layout"),
+    "layout_cover": _captured(
+        "select exporter_ip, from_pos, to_pos, from_pos // 16384 as first_packet, to_pos // 16384 - 1 as last_packet, "
+        "(to_pos - from_pos) // 16384 as packets, true as few from (select exporter_ip, seq * 999983 * 16384 as from_pos, "
+        "lead(seq * 999983 * 16384) over (partition by exporter_ip order by seq) as to_pos from "
+        "(select *, lag(layout) over (partition by exporter_ip order by seq) as previous from template_grams) "
+        "where previous is null or previous <> layout) where to_pos is not null"),
     "decode_templated_flows": _decoded("decoded_templated"),
     "decode_templated_flows_without_broadcast": _decoded("decoded_templated"),
     "decode_flows": _decoded("all_decoded"),
+    "decode_flows_long_validity": _decoded("all_decoded"),
     "split_sets_several": sql(FLOWS, body=(
         "select exporter_ip, seq, s.set_idx, s.set_id, cast(s.body_bytes as integer) as body_bytes from (select exporter_ip, "
         "flow_id // 30 as seq, unnest([{'set_idx': 0, 'set_id': case exporter_ip when '127.0.0.2' then 0 else 2 end, "
@@ -400,6 +414,10 @@ ORACLES: dict[str, str] = {
     "write_flows": sql(FLOWS, body=(
         "select strftime(make_timestamp(received_at_ms * 1000), '%Y-%m-%d') as flow_date, count(*) as flows, "
         "cast(sum(bytes) as bigint) as bytes, max(received_at_ms) as newest_ms from all_flows group by all")),
+    "write_flows_rows": sql(FLOWS, body=(
+        f"select {FLOW_FIELDS}, received_at_ms, strftime(make_timestamp(received_at_ms * 1000), '%Y-%m-%d') as flow_date from all_flows")),
+    "flow_history_of_a_year": sql(FLOWS, YEAR, body=_HISTORY.format(
+        low=1704067200000, high=1748736000000, limit=700).replace("from all_flows", "from year_flows")),
     "flows_in_range": sql(FLOWS, body=(
         f"select {FLOW_FIELDS}, received_at_ms from all_flows where received_at_ms between 1704067800000 and 1704068100000 "
         f"order by received_at_ms desc, {_TIES} limit 500")),
