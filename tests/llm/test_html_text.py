@@ -77,3 +77,28 @@ def test_table(spark):
     want = [(r[0], r[1], t, len(t)) for r in rows for t in [main_text(r[2])]]
     assert got == sorted(want, key=str)
     assert page_texts(pages).columns == ["page_id", "url", "text", "n_chars"] and page_texts(pages.limit(0)).count() == 0
+
+
+def test_names_of_wrappers_leave_articles_alone():
+    body = "<p>" + LONG + "</p><p>Short.</p>"
+    want = LONG + "\nShort."
+    for wrapper in ("content has-sidebar", "no-comments", "share-price-analysis", "sidebar", "comments-open widget"):
+        assert main_text(f'<div class="{wrapper}"><article>{body}</article></div>') == want, wrapper
+        assert main_text(f'<article><div class="{wrapper}">{body}</div></article>') == (
+            "" if wrapper.split()[-1] in ("sidebar", "widget") else want), wrapper
+    for name in ("site-footer", "main_nav", "comment-list", "social-share", "cookie-banner", "related-posts", "ad", "ad-slot top"):
+        assert main_text(f'<article>{body}<div class="{name}"><p>{LONG}</p></div></article>') == want, name
+    assert main_text(f'<div hidden><article>{body}</article></div><article>{body}</article>') == want
+    assert main_text(f'<footer><article>{body}</article></footer>') == ""
+
+
+def test_pages_in_other_languages():
+    russian = "Весной река снова разлилась по лугам, и старый мост оказался под водой почти на две недели, так что деревня жила без хлеба. " * 3
+    japanese = "春になると川はふたたび牧草地にあふれ、古い橋は二週間ちかく水の下に沈んでいた。村の人びとは舟でパンを運んだ。" * 6
+    italian = "Quella primavera il fiume tornava a coprire i prati, mentre vecchi ponti sparivano sotto acqua fangosa per giorni interi. " * 3
+    links = "".join(f'<li><a href="/{i}">Раздел {i}</a></li>' for i in range(9))
+    for text in (russian, japanese, italian):
+        text = text.strip()
+        page = f"<html><body><ul>{links}</ul><h1>{text[:20].strip()}</h1><p>{text}</p><p>{text[:90].strip()}</p><p>{text}</p></body></html>"
+        got = main_text(page)
+        assert got.split("\n") == [text[:20].strip(), text, text[:90].strip(), text]

@@ -4,7 +4,9 @@ The page is cut into blocks at block-level tags. Pass one decides what markup, l
 density, length and stop-word density make clear; pass two lets the undecided, mostly
 short, blocks inherit the label of their nearest decided neighbours. Parts that the
 markup itself names as menus, footers, adverts and the like are out, and have no say
-about their neighbours.
+about their neighbours. A class name puts a part out if it names the part as a whole, as
+``site-footer`` does and ``has-sidebar`` does not, and an article in such a part is an
+article still. Stop words say nothing about a page whose language has none of them.
 """
 
 from __future__ import annotations
@@ -50,6 +52,13 @@ OUTSIDE_NAMES = frozenset(
     "notice notification popup promo promoted promotion related replies reply respond search share sharing sidebar "
     "signup skip social sponsor sponsored subscribe toolbar widget".split())
 
+# Words that follow such a name, as in ``comment-list``, and words that deny it.
+PART_NAMES = frozenset(
+    "area bar block body bottom box button buttons col column container content dialog form group header icons inner item "
+    "items left link links list menu message modal nav outer overlay panel popup posts right row section slot title top "
+    "unit wrap wrapper".split())
+DENIALS = frozenset("has hide hides is no non with without".split())
+
 SHORT_CHARS = 70
 LONG_CHARS = 200
 STOP_LOW, STOP_HIGH = 0.2, 0.3
@@ -71,7 +80,7 @@ GOOD, BAD, OUT, OPEN = "good", "bad", "out", "open"
 @dataclass
 class Block:
     """Text of a block with the characters of it inside links, the article it is in
-    (0: none) and whether its markup puts it outside of any article."""
+    (0: none) and whether its markup puts it outside of all articles."""
 
     text: str
     link_chars: int
@@ -84,14 +93,15 @@ class Block:
 class _Element:
     name: str
     article: int
-    outside: bool
+    outside: bool  # by an element or as hidden: nothing inside is main text
+    named_outside: bool  # by a name, which an article inside ends
 
 
 @dataclass
 class _Page:
     """Open elements and the block being filled."""
 
-    open: list[_Element] = field(default_factory=lambda: [_Element("", 0, False)])
+    open: list[_Element] = field(default_factory=lambda: [_Element("", 0, False, False)])
     parts: list[str] = field(default_factory=list)
     named_outside: bool = False  # the paragraph being filled
     link_depth: int = 0  # open elements where the current link began, 0 without one
@@ -108,7 +118,7 @@ class _Page:
         text = " ".join(html_lib.unescape("".join(self.parts)).split())
         if text:
             now = self.open[-1]
-            self.blocks.append(Block(text, self.link_chars, now.article, now.outside or self.named_outside))
+            self.blocks.append(Block(text, self.link_chars, now.article, now.outside or now.named_outside or self.named_outside))
         self.parts.clear()
         self.link_chars = 0
         self.named_outside = False
@@ -122,7 +132,7 @@ class _Page:
         if name in BLOCKS:
             self.close_block()
         if name == "p" and attributes:
-            self.named_outside = _named_outside(attributes)
+            self.named_outside = _hidden(attributes) or _named_outside(attributes)
         if name in REPEATED and self.open[-1].name == name:
             self.open.pop()
         if name in VOID or attributes.endswith("/"):
@@ -133,9 +143,11 @@ class _Page:
             self.articles += 1
             article = self.articles
         outside = now.outside or name in OUTSIDE or (name == "header" and not article)
-        if not outside and attributes and name not in ("html", "body"):
-            outside = _named_outside(attributes) and name not in ARTICLES
-        self.open.append(_Element(name, article, outside))
+        named = now.named_outside and name not in ARTICLES
+        if attributes and name not in ("html", "body"):
+            outside = outside or _hidden(attributes)
+            named = named or (name not in ARTICLES and _named_outside(attributes))
+        self.open.append(_Element(name, article, outside, named))
 
     def end(self, name: str) -> None:
         if name == "a":
@@ -150,11 +162,21 @@ class _Page:
             self.link_depth = 0
 
 
+def _hidden(attributes: str) -> bool:
+    return bool(_HIDDEN_ATTRIBUTE.search(attributes))
+
+
 def _named_outside(attributes: str) -> bool:
-    if _HIDDEN_ATTRIBUTE.search(attributes):
-        return True
-    return any(part in OUTSIDE_NAMES for found in _NAMES.finditer(attributes)
-               for part in _NAME_PART.findall((found[1] or found[2] or found[3] or "").lower()))
+    return any(_names_outside(_NAME_PART.findall(token)) for found in _NAMES.finditer(attributes)
+               for token in (found[1] or found[2] or found[3] or "").lower().split())
+
+
+def _names_outside(parts: list[str]) -> bool:
+    """Whether a class name, cut at its marks, says what the whole part is: by its last
+    word, or by its first if only words for parts follow."""
+    if not parts or parts[0] in DENIALS:
+        return False
+    return parts[-1] in OUTSIDE_NAMES or (parts[0] in OUTSIDE_NAMES and all(p in PART_NAMES or p in OUTSIDE_NAMES for p in parts[1:]))
 
 
 def blocks_of(page: str | None) -> list[Block]:
@@ -181,14 +203,24 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def first_pass(block: Block) -> str:
-    """The label that a block's own features give it."""
+def speaks(blocks: list[Block]) -> bool:
+    """Whether stop words tell anything on a page: its text outside of links has some.
+    Else its language has none or few of them."""
+    texts = [b.text for b in blocks if not b.outside and b.link_chars <= LINK_SHARE * len(b.text)]
+    return not texts or stop_density(" ".join(texts)) >= STOP_LOW
+
+
+def first_pass(block: Block, by_stop_words: bool = True) -> str:
+    """The label that a block's own features give it. Without stop words its length
+    speaks for it and nothing against it."""
     if block.outside:
         return OUT
     if block.link_chars > LINK_SHARE * len(block.text):
         return BAD
     if len(block.text) < SHORT_CHARS:
         return OPEN
+    if not by_stop_words:
+        return GOOD if len(block.text) >= LONG_CHARS else OPEN
     density = stop_density(block.text)
     if density >= STOP_HIGH and len(block.text) >= LONG_CHARS:
         return GOOD
@@ -223,8 +255,9 @@ def second_pass(blocks: list[Block]) -> None:
 def main_text(page: str | None) -> str:
     """Main text of one page: its good blocks, a line each; empty if there are none."""
     blocks = blocks_of(page)
+    by_stop_words = speaks(blocks)
     for block in blocks:
-        block.label = first_pass(block)
+        block.label = first_pass(block, by_stop_words)
     second_pass(blocks)
     if any(b.article and b.label == GOOD for b in blocks):
         blocks = [b for b in blocks if b.article]
