@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weirgauge.llm.substring_dedup import pack_places, remove_repeats, repeat_digests, unpack_places
+from weirgauge.llm.substring_dedup import _home, pack_places, remove_repeats, repeat_digests, unpack_places
 
 
 def brute_force(rows, window):
@@ -83,3 +83,10 @@ def test_many_copies_of_one_passage(make_docs):
 @given(st.lists(st.integers(0, 1 << 31), unique=True).map(sorted))
 def test_places_round_trip(places):
     assert unpack_places(pack_places(np.array(places, np.int64))).tolist() == places
+
+
+@pytest.mark.parametrize("buckets", [48, 64, 1000, 1024])
+def test_units_are_dealt_to_all_buckets(buckets):
+    """Units are numbered by task and order within it."""
+    homes = np.bincount([_home((task << 24) + k, buckets) for task in range(10 * buckets) for k in range(2)], minlength=buckets)
+    assert homes.min() > 0 and homes.max() < 4 * 20

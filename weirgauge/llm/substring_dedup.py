@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ PACKED = "bucket int, kind int, unit long, places binary, flags binary, hashes b
 MARKED = "unit long, places binary, docs binary"
 PER_DOC = "id long, tie int, starts binary"
 _DOC = np.dtype([("id", "<i8"), ("tie", "<i4"), ("first", "<u4")])
-_WIDE = np.dtype([("a", "<u8"), ("b", "<u2")])  # 80 bits of a window's hash, besides its bucket
+_WIDE = np.dtype([("a", "<u8"), ("b", "<u4")])  # 96 bits of a window's hash, besides its bucket
 
 
 def pack_places(places: np.ndarray) -> bytes:
@@ -92,6 +93,12 @@ def _row(bucket: int, kind: int, unit: int, places: np.ndarray, flags: bytes = b
     return bucket, kind, unit, pack_places(places), flags, hashes, docs
 
 
+def _home(unit: int, buckets: int) -> int:
+    """The bucket that takes what a unit has settled. Numbers of units have their task in
+    the high bits, so they are hashed."""
+    return xxhash.xxh64_intdigest(int(unit).to_bytes(8, "little")) % buckets
+
+
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in PACKED.split(", ")])
 
@@ -111,7 +118,7 @@ def _anchors_of(unit: Unit, number: int, buckets: int, block: int) -> pd.DataFra
     order = np.argsort(hashes, kind="stable")
     start, size = _groups(order, hashes[order])
     settled = np.sort(places[order[np.repeat(size > 1, size)]])
-    rows = [_row(number % buckets, 1, number, settled, docs=_packed_docs(table))]
+    rows = [_row(_home(number, buckets), 1, number, settled, docs=_packed_docs(table))]
     if len(start):
         one = order[start]
         blocks = np.logical_or.reduceat(is_block[order], start)
@@ -181,20 +188,20 @@ def _windows_of(unit: Unit, anchors: list[np.ndarray], number: int, buckets: int
             a, b = half[chosen], half[chosen + window - block]
             full = (a ^ (b * _SECOND)) * np.uint64(0x9E3779B97F4A7C15)
             first.append(full ^ (full >> np.uint64(31)))
-            mixed = ((a << np.uint64(23)) | (a >> np.uint64(41))) + b
-            second.append((mixed * _SECOND) >> np.uint64(16))
+            mixed = (((a << np.uint64(23)) | (a >> np.uint64(41))) + b) * _SECOND
+            second.append(mixed ^ (mixed >> np.uint64(29)))
             places.append(chosen + begin)
     if not first:
-        return _frame([_row(number % buckets, 1, number, np.empty(0, np.int64), docs=_packed_docs(table))])
+        return _frame([_row(_home(number, buckets), 1, number, np.empty(0, np.int64), docs=_packed_docs(table))])
     first, second, places = (np.concatenate(x) for x in (first, second, places))
-    bucket = ((second >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
+    bucket = ((second >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     key = np.zeros(len(first), _WIDE)
-    key["a"], key["b"] = first, second.astype("<u2")
+    key["a"], key["b"] = first, second.astype("<u4")
     order = np.lexsort((places, key["b"], key["a"]))
     start, size = _groups(order, key[order])
     rest = np.ones(len(order), bool)
     rest[start] = False
-    rows = [_row(number % buckets, 1, number, np.sort(places[order[rest]]), docs=_packed_docs(table))]
+    rows = [_row(_home(number, buckets), 1, number, np.sort(places[order[rest]]), docs=_packed_docs(table))]
     one = np.sort(order[start])
     for b in np.unique(bucket[one]):
         mine = one[bucket[one] == b]
