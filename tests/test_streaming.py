@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from weirgauge.config import DetectionConfig, EngineConfig, PortScanConfig
 from weirgauge.operators import alerts as A
 from weirgauge.operators import metrics as M
+from weirgauge.operators import views as V
 from weirgauge.operators.cooldown import apply_cooldown
 from weirgauge.operators.decode import decode_flows
 from weirgauge.operators.panes import merge_panes, pane_rows
 from weirgauge.operators.rules import candidate_alerts
+from weirgauge.operators.ticks import tick_spine
 from weirgauge.plans.pipelines import run_available, stream_samples
 from weirgauge.schema import DATAGRAM_SCHEMA, FLOW_SCHEMA, WINDOW_METRICS_SCHEMA
 from weirgauge.sources.flow_table import read_flows
@@ -85,6 +87,10 @@ def test_datagrams_to_alerts_in_two_sittings(spark, tmp_path):
     same(sent.select("rule", "target_ip", "triggered_at"), want.select("rule", "target_ip", "triggered_at"))
     assert stored_exporters(spark, root).count() == 2
     samples = stream_samples(spark, root)
+    assert not [f for f in samples.inputFiles() if "/flows/" in f]
+    flat = ["tick", "metric", "map_entries(labels) as labels", "value"]
+    batch = V.metric_samples(flows, M.window_metrics(flows), want, tick_spine(flows, (10,)))
+    same(samples.selectExpr(*flat), batch.selectExpr(*flat))
     assert samples.where("metric = 'flows_total'").agg(F.max("value")).first()[0] == flows.count()
 
 

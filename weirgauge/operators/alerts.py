@@ -9,7 +9,7 @@ from weirgauge.functions.clock import parse_rfc3339, rfc3339_text
 from weirgauge.functions.net import ip_literal, ip_number, ip_text
 from weirgauge.operators.prefix import running_totals
 from weirgauge.schema import ALERT_COLUMNS, ALERT_SCHEMA
-from weirgauge.storage import read_if_there
+from weirgauge.storage import read_if_there, settle
 
 # The whole text is a JSON array of strings.
 _BLANK = r"[ \t\r\n]*+"
@@ -37,9 +37,15 @@ def read_alerts(spark: SparkSession, path: str) -> DataFrame:
 def append_alerts(fired: DataFrame, path: str) -> None:
     """Append fired alerts to the alert table with auto-incremented ids. Alerts that
     the table has, by rule, target and time, are left out, so that a repeated call
-    changes nothing. One writer at a time."""
+    changes nothing; only the table's rows of their time are compared. One writer at a
+    time."""
+    fired = settle(fired, "fired")
     stored = read_alerts(fired.sparkSession, path)
     last = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    at = F.unix_micros("triggered_at")
+    oldest, newest = fired.agg(F.min(at), F.max(at)).first()
+    if oldest is not None:
+        stored = stored.where(F.col("triggered_at").between(F.timestamp_micros(F.lit(oldest)), F.timestamp_micros(F.lit(newest))))
     same = F.lit(True)
     for column in ("rule", "target_ip", "triggered_at"):
         same = same & F.col(f"f.{column}").eqNullSafe(F.col(f"s.{column}"))

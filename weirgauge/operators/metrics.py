@@ -19,6 +19,7 @@ from weirgauge.functions.numbers import saturating_minus, whole_quotient
 from weirgauge.operators.coverage import amount_spans, at_ticks, count_spans, place_partials, presence_spans
 from weirgauge.operators.ticks import event_us, expand_windows, pane_moment, pane_secs, tick_spine
 from weirgauge.schema import METRIC_COLUMNS
+from weirgauge.storage import settle
 
 # Protocol numbers, TCP flag bits and the two endpoint sides.
 TCP = 6
@@ -316,11 +317,12 @@ def window_metrics(
 
     ``keep_empty`` reports every tick between the first and the last flow;
     without it only ticks whose window holds flows appear, also past the last flow.
+    The flows are read once: their pane sums are written, and all else follows from these.
     """
-    width = pane_secs(windows, tick_secs)
-    return metrics_from_panes(
-        protocol_panes(flows, width), endpoint_panes(flows, width), windows, tick_secs, top_n,
-        tick_spine(flows, windows, tick_secs) if keep_empty else None)
+    from weirgauge.operators.panes import pane_metrics, pane_rows  # which is built on this module
+
+    panes = settle(pane_rows(flows, windows, tick_secs, contacts=False), "panes")
+    return pane_metrics(panes, windows, tick_secs, top_n, keep_empty)
 
 
 def latest_snapshot(metrics: DataFrame) -> DataFrame:

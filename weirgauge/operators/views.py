@@ -24,10 +24,18 @@ TALKER_WINDOW = 60
 SUMMARY_WINDOW = 10
 
 
+def exporter_moments(flows: DataFrame, tick_secs: int = TICK_SECS) -> DataFrame:
+    """The pane moments at which each exporter was heard from."""
+    return flows.select(pane_moment(event_us(flows), tick_secs).alias("moment_us"), "exporter_ip").distinct()
+
+
 def exporters_per_tick(flows: DataFrame, tick_secs: int = TICK_SECS) -> DataFrame:
     """Active exporters at every tick that has any; the age bound is strict."""
-    panes = flows.select(
-        pane_moment(event_us(flows), tick_secs).alias("moment_us"), "exporter_ip").distinct()
+    return exporters_at_ticks(exporter_moments(flows, tick_secs), tick_secs)
+
+
+def exporters_at_ticks(panes: DataFrame, tick_secs: int = TICK_SECS) -> DataFrame:
+    """The same from moments; repeated ones add nothing."""
     reach = {EXPORTER_ACTIVE_SECS: EXPORTER_ACTIVE_SECS * MICROS - 1}
     key = ["exporter_ip"]
     spans = presence_spans(place_partials(panes, key, reach, tick_secs), key, reach, tick_secs)
@@ -97,15 +105,21 @@ def _tick_day() -> Column:
     return F.call_function("div", F.col("tick_us"), F.lit(86_400 * MICROS))
 
 
-def counter_samples(flows: DataFrame, spine: DataFrame, tick_secs: int = TICK_SECS) -> DataFrame:
-    """Flow, packet and byte totals as of every tick."""
+ARRIVED = ["flows", "packets", "bytes"]
+
+
+def tick_arrivals(flows: DataFrame, tick_secs: int = TICK_SECS) -> DataFrame:
+    """Flows, packets and bytes by the tick that sees them first: what the counters grow by."""
+    return flows.groupBy(first_tick(event_us(flows), tick_secs).alias("tick_us")).agg(
+        F.count(F.lit(1)).alias("flows"), F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"))
+
+
+def counter_samples(arrived: DataFrame, spine: DataFrame) -> DataFrame:
+    """Flow, packet and byte totals as of every tick, from ``tick_arrivals``; partial
+    rows of a tick add up."""
     zero = F.lit(0).cast("bigint")
-    arrived = flows.select(
-        first_tick(event_us(flows), tick_secs).alias("tick_us"), F.lit(1).cast("bigint").alias("flows"),
-        "packets", "bytes")
     quiet = spine.select("tick_us", zero.alias("flows"), zero.alias("packets"), zero.alias("bytes")).distinct()
-    grown = arrived.unionByName(quiet).groupBy("tick_us").agg(
-        *[F.sum(c).alias(c) for c in ("flows", "packets", "bytes")])
+    grown = arrived.unionByName(quiet).groupBy("tick_us").agg(*[F.sum(c).alias(c) for c in ARRIVED])
     totals = running_totals(grown, _tick_day(), [F.asc("tick_us")], {
         "flows_total": F.col("flows"), "packets_total": F.col("packets"), "bytes_total": F.col("bytes")})
     pairs = F.array(*[
@@ -129,10 +143,10 @@ def alert_samples(fired: DataFrame, spine: DataFrame) -> DataFrame:
         F.col("so_far").cast("double").alias("value"))
 
 
-def exporter_samples(flows: DataFrame, spine: DataFrame, tick_secs: int = TICK_SECS) -> DataFrame:
+def exporter_samples(moments: DataFrame, spine: DataFrame, tick_secs: int = TICK_SECS) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     wanted = spine.select(timestamp_of_us(F.col("tick_us")).alias("tick")).distinct()
-    known = exporters_per_tick(flows, tick_secs).withColumn("on_spine", F.lit(False))
+    known = exporters_at_ticks(moments, tick_secs).withColumn("on_spine", F.lit(False))
     merged = known.unionByName(wanted.select("tick", zero.alias("active_exporters"), F.lit(True).alias("on_spine")))
     per_tick = merged.groupBy("tick").agg(
         F.max("active_exporters").cast("double").alias("value"), F.max("on_spine").alias("on_spine"))
@@ -145,10 +159,18 @@ def metric_samples(
     prefix: str = "",
 ) -> DataFrame:
     """All ten metric families in long form, one sample per tick and label set."""
+    return samples_of(tick_arrivals(flows, tick_secs), exporter_moments(flows, tick_secs), metrics, fired, spine, tick_secs, prefix)
+
+
+def samples_of(
+    arrived: DataFrame, moments: DataFrame, metrics: DataFrame, fired: DataFrame, spine: DataFrame,
+    tick_secs: int = TICK_SECS, prefix: str = "",
+) -> DataFrame:
+    """The same from ``tick_arrivals`` and ``exporter_moments``, without the flows."""
     samples = (
-        counter_samples(flows, spine, tick_secs)
+        counter_samples(arrived, spine)
         .unionByName(alert_samples(fired, spine))
-        .unionByName(exporter_samples(flows, spine, tick_secs))
+        .unionByName(exporter_samples(moments, spine, tick_secs))
         .unionByName(gauge_samples(metrics))
     )
     return samples.withColumn("metric", F.concat(F.lit(prefix), F.col("metric"))) if prefix else samples

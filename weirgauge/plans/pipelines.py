@@ -10,15 +10,14 @@ from weirgauge.functions.clock import timestamp_of_us
 from weirgauge.operators.cooldown import apply_cooldown
 from weirgauge.operators.decode import decode_flows
 from weirgauge.operators.rules import candidate_alerts
-from weirgauge.operators.ticks import tick_spine
-from weirgauge.operators.views import metric_samples
+from weirgauge.operators.ticks import unrolled_ticks
+from weirgauge.operators.views import samples_of
 from weirgauge.schema import METRIC_COLUMNS
 from weirgauge.sources.datagrams import read_datagrams
-from weirgauge.sources.flow_table import PARTITION, read_flows
 from weirgauge.storage import settle
 from weirgauge.streaming.alert_stream import deliver_rest, stored_alerts
 from weirgauge.streaming.engine import start_engine
-from weirgauge.streaming.metrics_stream import current_metrics
+from weirgauge.streaming.metrics_stream import current_metrics, stored_arrivals, stored_presence
 
 
 def fired_alerts(
@@ -57,10 +56,12 @@ def run_available(spark: SparkSession, capture: str, root: str, config: EngineCo
 
 
 def stream_samples(spark: SparkSession, root: str, config: EngineConfig = EngineConfig(), prefix: str = "") -> DataFrame:
-    """Metric samples of all that a stream has taken in, as of every tick up to the newest."""
+    """Metric samples of all that a stream has taken in, as of every tick up to the newest.
+    The counters come from what every batch has added per tick; flows are not read."""
     tick = config.snapshot_interval_secs
-    flows = read_flows(spark, f"{root}/flows").drop(PARTITION)
-    spine = tick_spine(flows, (tick,), tick)
+    arrived = settle(stored_arrivals(spark, root), "arrivals")
+    spine = unrolled_ticks(arrived.agg(F.min("tick_us").alias("low"), F.max("tick_us").alias("high")), (tick,), tick)
     wanted = spine.select(timestamp_of_us(F.col("tick_us")).alias("tick")).distinct()
     metrics = current_metrics(spark, root).join(wanted, "tick", "left_semi").select(*METRIC_COLUMNS)
-    return metric_samples(flows, metrics, stored_alerts(spark, root, config.detection.cooldown_secs, tick), spine, tick, prefix)
+    fired = stored_alerts(spark, root, config.detection.cooldown_secs, tick)
+    return samples_of(arrived, stored_presence(spark, root), metrics, fired, spine, tick, prefix)

@@ -28,7 +28,7 @@ def process_flows(flows: DataFrame, batch_id: int, root: str, config: EngineConf
     placed = flow_layout(flows).sortWithinPartitions(PARTITION, "received_at_ms")
     write_batch(placed, f"{root}/flows", batch_id, [PARTITION])
     own = read_batch(flows.sparkSession, f"{root}/flows", FLOW_TABLE, batch_id, [PARTITION]).drop(PARTITION)
-    add_totals(own, batch_id, root)
+    add_totals(own, batch_id, root, tick)
     spans = absorb_flows(own, batch_id, root, detection, tick_secs=tick)
     if spans:
         deliver_batch(flows.sparkSession, root, batch_id, spans, detection.cooldown_secs, tick)

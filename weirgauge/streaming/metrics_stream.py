@@ -24,6 +24,7 @@ from weirgauge.operators.flow_queries import exporter_last_seen, flow_totals
 from weirgauge.operators.panes import PANE_SCHEMA, merge_panes, pane_contacts, pane_metrics, pane_rows
 from weirgauge.operators.rules import route_rules, scan_windows, scanners_in, with_scanners
 from weirgauge.operators.ticks import expand_windows
+from weirgauge.operators.views import ARRIVED, exporter_moments, tick_arrivals
 from weirgauge.schema import ALERT_SCHEMA, FIRED_COLUMNS, METRIC_COLUMNS, WINDOW_METRICS_SCHEMA
 from weirgauge.streaming.tables import (
     BATCH, read_batch, read_own, read_parts, read_table, read_tiered, write_batch, write_tiered,
@@ -38,6 +39,10 @@ FIRED_SCHEMA = T.StructType([f for f in ALERT_SCHEMA.fields if f.name in FIRED_C
 _CANDIDATES = T.StructType([*FIRED_SCHEMA.fields, T.StructField(DAY, T.DateType())])
 PROGRESS_SCHEMA = T.StructType([T.StructField("newest_us", T.LongType())])
 EXPORTERS_SCHEMA = T.StructType([T.StructField("exporter_ip", T.StringType()), T.StructField("last_seen", T.TimestampType())])
+DATE = "date_number"  # days since the epoch
+ARRIVALS_SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in ("tick_us", *ARRIVED, DATE)])
+PRESENCE_SCHEMA = T.StructType([
+    T.StructField("moment_us", T.LongType()), T.StructField("exporter_ip", T.StringType()), T.StructField(DATE, T.LongType())])
 TOTALS_SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in ("flows", "packets", "bytes")])
 
 
@@ -126,10 +131,21 @@ def _merge(rows: DataFrame) -> DataFrame:
     return merge_panes(rows).withColumn(HOUR, F.floor(F.col("moment_us") / HOUR_US).cast("bigint")).select(*_PANES.fieldNames())
 
 
-def add_totals(flows: DataFrame, batch_id: int, root: str) -> None:
-    """Totals and last receive time per exporter of one batch."""
+def add_totals(flows: DataFrame, batch_id: int, root: str, tick_secs: int = TICK_SECS) -> None:
+    """What one batch adds to the totals, as a whole and per tick, and when exporters were
+    heard from."""
     write_batch(flow_totals(flows), f"{root}/totals", batch_id)
     write_batch(exporter_last_seen(flows), f"{root}/exporters", batch_id)
+    write_tiered(_dated(tick_arrivals(flows, tick_secs), "tick_us"), f"{root}/arrivals", batch_id, DATE, _merged_arrivals)
+    write_tiered(_dated(exporter_moments(flows, tick_secs), "moment_us"), f"{root}/presence", batch_id, DATE, DataFrame.distinct)
+
+
+def _dated(rows: DataFrame, moment: str) -> DataFrame:
+    return rows.withColumn(DATE, F.floor(F.col(moment) / (24 * HOUR_US)).cast("bigint"))
+
+
+def _merged_arrivals(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("tick_us", DATE).agg(*[F.sum(c).alias(c) for c in ARRIVED]).select(*rows.columns)
 
 
 # -- views ----------------------------------------------------------------------
@@ -181,6 +197,23 @@ def stored_totals(spark: SparkSession, root: str) -> DataFrame:
         *[F.coalesce(F.sum(c), zero).alias(c) for c in TOTALS_SCHEMA.fieldNames()])
 
 
+def last_batch(spark: SparkSession, root: str) -> int | None:
+    """The newest batch that is complete up to its metrics; None before the first."""
+    return read_table(spark, f"{root}/progress", PROGRESS_SCHEMA).agg(F.max(BATCH)).first()[0]
+
+
+def stored_arrivals(spark: SparkSession, root: str) -> DataFrame:
+    """Partial rows of ``tick_arrivals`` of all flows so far."""
+    last = last_batch(spark, root)
+    return read_tiered(spark, f"{root}/arrivals", ARRIVALS_SCHEMA, -1 if last is None else last, DATE).drop(DATE)
+
+
+def stored_presence(spark: SparkSession, root: str) -> DataFrame:
+    """``exporter_moments`` of all flows so far."""
+    last = last_batch(spark, root)
+    return read_tiered(spark, f"{root}/presence", PRESENCE_SCHEMA, -1 if last is None else last, DATE).drop(DATE)
+
+
 def stored_exporters(spark: SparkSession, root: str) -> DataFrame:
     """Last receive time of every exporter."""
     return read_table(spark, f"{root}/exporters", EXPORTERS_SCHEMA).groupBy("exporter_ip").agg(

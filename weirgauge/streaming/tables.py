@@ -93,12 +93,15 @@ def write_tiered(rows: DataFrame, path: str, batch_id: int, by: str, merge: Call
         tier, size = tier + 1, size * FANOUT
 
 
-def read_tiered(spark: SparkSession, path: str, schema: T.StructType, batch_id: int, by: str, values: Iterable) -> DataFrame:
-    """The rows of the batches up to ``batch_id`` in the partitions ``values`` of ``by``.
-    Groups were merged by themselves, so partial rows of a key may be left."""
-    values = list(values)
-    return reduce(DataFrame.unionByName, [
-        _group(spark, path, schema, tier, last, by, values) for tier, last in groups_of(batch_id + 1)])
+def read_tiered(
+    spark: SparkSession, path: str, schema: T.StructType, batch_id: int, by: str, values: Iterable | None = None,
+) -> DataFrame:
+    """The rows of the batches up to ``batch_id``, all or those in the partitions
+    ``values`` of ``by``. Groups were merged by themselves, so partial rows of a key may
+    be left."""
+    values = None if values is None else list(values)
+    parts = [_group(spark, path, schema, tier, last, by, values) for tier, last in groups_of(batch_id + 1)]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
 def read_own(spark: SparkSession, path: str, schema: T.StructType, batch_id: int, by: str) -> DataFrame:
