@@ -9,6 +9,9 @@ from weirgauge.llm.licences import RULES, SENTENCES, scan_licences
 from weirgauge.llm.line_dedup import drop_site_lines, host_of, page_lines, text_lines
 
 
+CLASH = ("clash",) * 5
+
+
 def brute_lines(rows, ratio, least):
     pages, seen = Counter(), defaultdict(Counter)
     for host, lines in rows:
@@ -26,13 +29,14 @@ def test_site_lines(spark, ratio, least):
     for i in range(300):
         host = rng.choice(["hot"] * 6 + ["b", "c", None])
         lines = [rng.choice(common) if rng.random() < 0.4 else f"own {i} {j}" for j in range(rng.randrange(0, 9))]
-        rows.append((i if i % 50 else None, host, "\n".join(lines), "clash"))
-    rows += rows[:3] + [(999, "hot", None, "clash"), (998, "solo", "only line", "clash"), (997, "hot", "long " * 30_000, "clash")]
-    pages = spark.createDataFrame(rows, "id long, host string, text string, _lines string")
+        rows.append((i if i % 50 else None, host, "\n".join(lines), *CLASH))
+    rows += rows[:3] + [(999, "hot", None, *CLASH), (998, "solo", "only line", *CLASH), (997, "hot", "long " * 30_000, *CLASH)]
+    pages = spark.createDataFrame(rows, "id long, host string, text string, _lines string, salt string, row string, lines string, `drop` string")
     got = drop_site_lines(pages, F.col("host"), text_lines(F.col("text")), ratio, least).collect()
     split = [(r[1], [x for x in (r[2] or "").split("\n") if x.strip(" ")]) for r in rows]
     want = sorted((r[0], r[1], len(s[1]), k) for r, s, k in zip(rows, split, brute_lines(split, ratio, least)) if r[0] is not None)
     assert sorted((r["id"], r["host"], r["n_lines"], r["kept_lines"]) for r in got if r["id"] is not None) == want
+    assert all(r["_lines"] == r["salt"] == r["row"] == r["lines"] == r["drop"] == "clash" for r in got)
     assert len(got) == len(rows) and all(r["n_lines"] - r["n_dropped"] == len(r["kept_lines"]) for r in got)
     assert drop_site_lines(pages.limit(0), F.col("host"), text_lines(F.col("text"))).count() == 0
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 MAX_RATIO = 0.05
 MIN_PAGES = 5
+SALTS = 32
 
 # What ends a line of a page, and the character references of markup.
 BLOCK_TAGS = (
@@ -62,23 +63,28 @@ def drop_site_lines(
     lines; pages without lines keep none. Each row is a page, also repeated ones. The
     new columns replace others of the same name. An empty table gives no rows.
     """
-    marked = pages.withColumns({"_lines": lines, "_host": host})
-    hosts = marked.where("_host is not null")
-    digests = F.array_distinct(F.transform("_lines", lambda x: F.unhex(F.md5(x))))
-    counts = hosts.select("_host", F.explode(digests).alias("_line")).groupBy("_host", "_line").agg(
-        F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pages)
-    totals = hosts.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
-    boilerplate = counts.join(totals, "_host").where(F.col("_n") > max_ratio * F.col("_pages")).groupBy("_host").agg(
-        F.collect_list("_line").alias("_drop"))
-    joined = marked.join(boilerplate.withColumnRenamed("_host", "_site"), F.col("_host") == F.col("_site"), "left")
-    kept = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(
-        F.filter("_lines", lambda x: ~F.array_contains("_drop", F.unhex(F.md5(x)))))
-    return joined.withColumn("_kept", kept).withColumns({
-        "host": F.col("_host"),
-        "n_lines": F.size("_lines").cast("bigint"),
-        "n_dropped": (F.size("_lines") - F.size("_kept")).cast("bigint"),
-        "kept_lines": F.col("_kept"),
-    }).drop("_lines", "_host", "_site", "_drop", "_kept")
+    new = ["host", "n_lines", "n_dropped", "kept_lines"]
+    given = [c for c in pages.columns if c not in new]
+    # Given columns travel in a struct, so that no name can clash. A host's pages are dealt
+    # to salts, each of which gets the host's list: no host is gathered in one task.
+    marked = pages.select(
+        F.struct(*[pages[c] for c in given]).alias("row"), lines.alias("lines"), host.alias("host"),
+        (F.monotonically_increasing_id() % SALTS).cast("int").alias("salt"))
+    hosts = marked.where("host is not null")
+    digests = F.array_distinct(F.transform("lines", lambda x: F.unhex(F.md5(x))))
+    counts = hosts.select("host", F.explode(digests).alias("line")).groupBy("host", "line").agg(
+        F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    totals = hosts.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    boilerplate = counts.join(totals, "host").where(F.col("n") > max_ratio * F.col("pages")).groupBy("host").agg(
+        F.collect_list("line").alias("drop"))
+    dealt = boilerplate.select("host", "drop", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    joined = marked.join(dealt, ["host", "salt"], "left")
+    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(
+        F.filter("lines", lambda x: ~F.array_contains("drop", F.unhex(F.md5(x)))))
+    cut = joined.select("row", "host", F.size("lines").cast("bigint").alias("n_lines"), kept.alias("kept_lines"))
+    return cut.select(
+        *[F.col("row")[c].alias(c) for c in given], "host", "n_lines",
+        (F.col("n_lines") - F.size("kept_lines")).alias("n_dropped"), "kept_lines")
 
 
 def sql(max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> str:
