@@ -1,3 +1,4 @@
+import pytest
 import random
 import zlib
 
@@ -79,3 +80,8 @@ def test_without_examples(spark, make_docs):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["predicted"] for r in score_toxicity(docs, empty).collect()} == {0}
     assert score_toxicity(docs.limit(0), empty).count() == 0 and drop_toxic(docs, empty).count() == 2
+
+
+@pytest.mark.parametrize("spelling", ["𝐢𝐝𝐢𝐨𝐭", "𝑰𝑫𝑰𝑶𝑻", "ⓘⓓⓘⓞⓣ", "ⒾⒹⒾⓄⓉ", "ᴉdiot", "ɪᴅɪᴏᴛ", "ｉｄｉｏｔ", "ìdïöt", "1d10t", "іdіоt", "🄸🄳🄸🄾🅃", "id\u200biot"])
+def test_spellings_fold_into_one(spelling):
+    assert total(spelling) == total("idiot") == [3.0]

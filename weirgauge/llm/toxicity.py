@@ -34,6 +34,8 @@ LOOKALIKES = {
     "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ø": "o", "ł": "i", "đ": "d", "ß": "ss",
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "|": "i",
     "l": "i",
+    "ᴀ": "a", "ʙ": "b", "ᴄ": "c", "ᴅ": "d", "ᴇ": "e", "ɢ": "g", "ʜ": "h", "ɪ": "i", "ᴊ": "j", "ᴋ": "k", "ʟ": "i", "ᴍ": "m",
+    "ɴ": "n", "ᴏ": "o", "ᴘ": "p", "ʀ": "r", "ꜱ": "s", "ᴛ": "t", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ʏ": "y", "ᴢ": "z", "ᴉ": "i",
 }
 INVISIBLE = "­​‌‍⁠﻿"
 # Harmless phrases around words that also serve as insults.
@@ -51,10 +53,13 @@ _WORD = re.compile(r"[^\W_]+")
 
 def _fold_table() -> dict[int, str]:
     """Lower case, no accents, compatibility forms resolved, look-alikes folded, for
-    the blocks of Latin, Greek, Cyrillic and full-width characters."""
+    the blocks of Latin, Greek, Cyrillic, phonetic, enclosed, full-width and mathematical
+    letters."""
     table = {}
-    for code in [*range(0x20, 0x530), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F)]:
-        plain = unicodedata.normalize("NFKD", chr(code).lower())
+    blocks = (range(0x20, 0x530), range(0x1D00, 0x1D2C), range(0x1E00, 0x1F00), range(0x24B6, 0x24EA), range(0xA730, 0xA732),
+              range(0xFF01, 0xFF5F), range(0x1D400, 0x1D800), range(0x1F130, 0x1F18A))
+    for code in (c for block in blocks for c in block):
+        plain = unicodedata.normalize("NFKD", chr(code).lower()).lower()
         bare = "".join(c for c in plain if not unicodedata.combining(c))
         folded = "".join(LOOKALIKES.get(c, c) for c in bare)
         if folded != chr(code) and (folded or unicodedata.combining(chr(code))):
