@@ -65,26 +65,24 @@ def drop_site_lines(
     """
     new = ["host", "n_lines", "n_dropped", "kept_lines"]
     given = [c for c in pages.columns if c not in new]
-    # Given columns travel in a struct, so that no name can clash. A host's pages are dealt
-    # to salts, each of which gets the host's list: no host is gathered in one task.
-    marked = pages.select(
-        F.struct(*[pages[c] for c in given]).alias("row"), lines.alias("lines"), host.alias("host"),
-        (F.monotonically_increasing_id() % SALTS).cast("int").alias("salt"))
-    hosts = marked.where("host is not null")
-    digests = F.array_distinct(F.transform("lines", lambda x: F.unhex(F.md5(x))))
-    counts = hosts.select("host", F.explode(digests).alias("line")).groupBy("host", "line").agg(
+    own = max(map(len, pages.columns), default=0) * "_"  # longer than any given name: none can clash
+    line, site, salt, drop, kept = (own + c for c in ("lines", "site", "salt", "drop", "kept"))
+    # A host's pages are dealt to salts, each of which gets the host's list: no host is
+    # gathered in one task.
+    marked = pages.withColumns({line: lines, site: host, salt: (F.monotonically_increasing_id() % SALTS).cast("int")})
+    hosts = marked.where(F.col(site).isNotNull())
+    digests = F.array_distinct(F.transform(line, lambda x: F.unhex(F.md5(x))))
+    counts = hosts.select(site, F.explode(digests).alias("line")).groupBy(site, "line").agg(
         F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    totals = hosts.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    boilerplate = counts.join(totals, "host").where(F.col("n") > max_ratio * F.col("pages")).groupBy("host").agg(
-        F.collect_list("line").alias("drop"))
-    dealt = boilerplate.select("host", "drop", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    joined = marked.join(dealt, ["host", "salt"], "left")
-    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(
-        F.filter("lines", lambda x: ~F.array_contains("drop", F.unhex(F.md5(x)))))
-    cut = joined.select("row", "host", F.size("lines").cast("bigint").alias("n_lines"), kept.alias("kept_lines"))
-    return cut.select(
-        *[F.col("row")[c].alias(c) for c in given], "host", "n_lines",
-        (F.col("n_lines") - F.size("kept_lines")).alias("n_dropped"), "kept_lines")
+    totals = hosts.groupBy(site).agg(F.count(F.lit(1)).alias("pages"))
+    boilerplate = counts.join(totals, site).where(F.col("n") > max_ratio * F.col("pages")).groupBy(site).agg(
+        F.collect_list("line").alias(drop))
+    dealt = boilerplate.select(site, drop, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
+    left = F.when(F.col(drop).isNull(), F.col(line)).otherwise(
+        F.filter(line, lambda x: ~F.array_contains(drop, F.unhex(F.md5(x)))))
+    return marked.join(dealt, [site, salt], "left").withColumn(kept, left).select(
+        *given, F.col(site).alias("host"), F.size(line).cast("bigint").alias("n_lines"),
+        (F.size(line) - F.size(kept)).cast("bigint").alias("n_dropped"), F.col(kept).alias("kept_lines"))
 
 
 def sql(max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> str:
