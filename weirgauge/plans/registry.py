@@ -35,6 +35,7 @@ from weirgauge.sources.event_flows import event_flows, flows_from_events, read_e
 from weirgauge.sources.flow_table import read_flows, write_flows
 from weirgauge.storage import settle, shared_path
 from weirgauge.streaming.alert_stream import stored_alerts
+from weirgauge.streaming.cooldown_tree import alerts_between
 from weirgauge.streaming.engine import start_flow_engine
 from weirgauge.streaming.metrics_stream import current_metrics, stored_totals
 from weirgauge.testing.datagram_fixture import datagrams_from_events, multi_set_datagrams
@@ -679,6 +680,16 @@ def _(spark, folder):
     return _flat_alerts(stored_alerts(spark, root))
 
 
+@query("stream_alerts_between")
+def _(spark, folder):
+    """The middle of the day from a stream whose batches have flows of all times."""
+    root, flows = shared_path(spark, "stream"), event_flows(spark, folder)
+    start_flow_engine(_flow_source(spark, folder, flows.repartition(4, "src_port")), root, availableNow=True).awaitTermination()
+    low, high = flows.agg(F.min("received_at_ms"), F.max("received_at_ms")).first()
+    third = ((high or 0) - (low or 0)) // 3
+    return _flat_alerts(alerts_between(spark, root, ((low or 0) + third) * 1000, ((low or 0) + 2 * third) * 1000))
+
+
 @query("stream_totals")
 def _(spark, folder):
     root = shared_path(spark, "stream")

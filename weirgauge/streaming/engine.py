@@ -15,6 +15,7 @@ from weirgauge.config import EngineConfig
 from weirgauge.schema import FLOW_SCHEMA
 from weirgauge.sources.flow_table import PARTITION, flow_layout
 from weirgauge.streaming.alert_stream import deliver_batch
+from weirgauge.streaming.cooldown_tree import update_cooldown
 from weirgauge.streaming.decode_stream import decode_batch
 from weirgauge.streaming.metrics_stream import absorb_flows, add_totals
 from weirgauge.streaming.tables import read_batch, write_batch
@@ -31,6 +32,7 @@ def process_flows(flows: DataFrame, batch_id: int, root: str, config: EngineConf
     add_totals(own, batch_id, root, tick)
     spans = absorb_flows(own, batch_id, root, detection, tick_secs=tick)
     if spans:
+        update_cooldown(flows.sparkSession, root, batch_id, spans, detection.cooldown_secs, tick)
         deliver_batch(flows.sparkSession, root, batch_id, spans, detection.cooldown_secs, tick)
 
 

@@ -511,6 +511,10 @@ ORACLES: dict[str, str] = {
         "(ts_ms + 14999) // 15000 * 15000, (ts_ms + 59999) // 15000 * 15000, 15000)) as tick_ms from logs) group by all")),
     "stream_window_metrics": windowed(f"select {ALL_METRIC_FIELDS} from busy"),
     "stream_window_metrics_out_of_order": windowed(f"select {ALL_METRIC_FIELDS} from busy"),
+    "stream_alerts_between": detected(STORED, body=(
+        f"select {STORED_FIELDS} from stored, (select min(received_at_ms) as low, "
+        "(max(received_at_ms) - min(received_at_ms)) // 3 as third from all_flows) "
+        "where triggered_ms between low + third and low + 2 * third")),
     "stream_alerts_from_datagrams": detected(STORED, flows="all_decoded", body=f"select {STORED_FIELDS} from stored"),
     "stream_totals": sql(FLOWS, body="select count(*) as flows, cast(sum(packets) as bigint) as packets, "
                                      "cast(sum(bytes) as bigint) as bytes from all_flows"),
