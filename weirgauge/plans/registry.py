@@ -88,6 +88,12 @@ def _captured(spark: SparkSession, folder: str) -> DataFrame:
     return datagrams_from_events(read_events(spark, folder))
 
 
+def _capture(spark: SparkSession, folder: str) -> DataFrame:
+    """Datagrams that are there already, as a capture is: for operators that pass over
+    them several times, each of which would pack all flows anew."""
+    return settle(_captured(spark, folder), "capture")
+
+
 def _classified(spark: SparkSession, folder: str) -> DataFrame:
     return D.classify_datagrams(_captured(spark, folder))
 
@@ -123,7 +129,7 @@ def _log_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("read_datagrams")
 def _(spark, folder):
-    captured = _captured(spark, folder)
+    captured = _capture(spark, folder)
     first, second = shared_path(spark, "capture"), shared_path(spark, "capture")
     captured.where("exporter_ip = '127.0.0.1'").write.parquet(first)
     captured.where("exporter_ip <> '127.0.0.1'").write.parquet(second)
@@ -134,7 +140,7 @@ def _(spark, folder):
 
 @query("read_datagrams_rows")
 def _(spark, folder):
-    captured = _captured(spark, folder)
+    captured = _capture(spark, folder)
     first, second = shared_path(spark, "capture"), shared_path(spark, "capture")
     captured.where("exporter_ip = '127.0.0.1'").write.parquet(first)
     captured.where("exporter_ip <> '127.0.0.1'").write.parquet(second)
@@ -202,23 +208,23 @@ def _(spark, folder):
 
 @query("decode_templated_flows")
 def _(spark, folder):
-    return _flat_flows(decode_templated(_classified(spark, folder)))
+    return _flat_flows(decode_templated(D.classify_datagrams(_capture(spark, folder))))
 
 
 @query("decode_templated_flows_without_broadcast")
 def _(spark, folder):
-    return _flat_flows(decode_templated(_classified(spark, folder), broadcast_layouts=0))
+    return _flat_flows(decode_templated(D.classify_datagrams(_capture(spark, folder)), broadcast_layouts=0))
 
 
 @query("decode_flows")
 def _(spark, folder):
-    return _flat_flows(decode_flows(_captured(spark, folder)))
+    return _flat_flows(decode_flows(_capture(spark, folder)))
 
 
 @query("decode_flows_long_validity")
 def _(spark, folder):
     """Arrival numbers that lie far apart: versions are valid over 10^12 positions."""
-    captured = _captured(spark, folder)
+    captured = _capture(spark, folder)
     return _flat_flows(decode_flows(captured.withColumn("seq", F.col("seq") * LONG_STEP)))
 
 
@@ -236,7 +242,7 @@ def _(spark, folder):
 
 @query("decode_flows_several_sets")
 def _(spark, folder):
-    return _flat_flows(decode_flows(multi_set_datagrams(read_events(spark, folder))))
+    return _flat_flows(decode_flows(settle(multi_set_datagrams(read_events(spark, folder)), "capture")))
 
 
 # -- flows ---------------------------------------------------------------------------
@@ -671,7 +677,7 @@ def _(spark, folder):
 @query("stream_alerts_from_datagrams")
 def _(spark, folder):
     capture, root = shared_path(spark, "capture"), shared_path(spark, "stream")
-    packets = settle(_captured(spark, folder), "capture")
+    packets = _capture(spark, folder)
     middle = (packets.agg(F.max("seq")).first()[0] or 0) // 2
     # Files in the order of arrival, since templates hold for what comes after them.
     for part in (packets.where(F.col("seq") <= middle), packets.where(F.col("seq") > middle)):
