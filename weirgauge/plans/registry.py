@@ -679,10 +679,11 @@ def _(spark, folder):
     capture, root = shared_path(spark, "capture"), shared_path(spark, "stream")
     packets = _capture(spark, folder)
     middle = (packets.agg(F.max("seq")).first()[0] or 0) // 2
-    # Files in the order of arrival, since templates hold for what comes after them.
+    # In the order of arrival, since templates hold for what comes after them: a half is a
+    # micro-batch, of as many files as there are tasks that write it.
     for part in (packets.where(F.col("seq") <= middle), packets.where(F.col("seq") > middle)):
-        part.coalesce(1).write.mode("append").parquet(capture)
-    run_available(spark, capture, root, files_per_batch=1)
+        part.write.mode("append").parquet(capture)
+        run_available(spark, capture, root)
     return _flat_alerts(stored_alerts(spark, root))
 
 
